@@ -2,21 +2,70 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palate.llm import near_dup
+from palate.llm import decontaminate, near_dup, packing, pii, quality, sstable
+
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics, the fixed floor and the verdict of the list learned from the labels."""
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learn(quality.training_rows(docs, table(spark, sf_dir, "labels")))
+    s = F.col("__stats")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality.judge(docs.select("doc_id", "text"), rules).select(
+        "doc_id", *(s[c].alias(c) for c in counts), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept")
+    )
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item found in it within the edit budget."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, WORD_TOKENIZER).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op8_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to shards and read back."""
+    return sstable.round_trip(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with valid personal values replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_minhash_near_dup,)}
+    own = (
+        op2_quality_rules,
+        op3_benchmark_decontamination,
+        op4_minhash_near_dup,
+        op6_best_fit_packing,
+        op8_token_sstable,
+        op9_pii_pseudonyms,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
