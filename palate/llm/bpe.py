@@ -15,6 +15,8 @@ import re
 
 import numpy as np
 
+from palate.llm.common import in_process
+
 END = (0).to_bytes(4, "little")
 #: Letters of the plain set; digits and other ASCII make up its rest.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -81,7 +83,7 @@ class Encoder:
         seen = self.chunk_ids
         if len(seen) > self.most:
             seen.clear()
-        if len(self.piece_ids) > self.most:
+        if len(self.piece_ids) > 2 * self.most:
             self.piece_ids.clear()
         for c in {c for c in chunks if c not in seen}:
             seen[c] = self._chunk(c)
@@ -102,9 +104,9 @@ class Encoder:
 
 def byte_encoder(path: str) -> Encoder:
     """For byte-level vocabularies that keep a blank with the word after it."""
-    return Encoder(path, True)
+    return in_process(("byte", path), lambda: Encoder(path, True))
 
 
 def word_encoder(path: str) -> Encoder:
     """For lower-casing vocabularies that drop white space."""
-    return Encoder(path, False)
+    return in_process(("word", path), lambda: Encoder(path, False))

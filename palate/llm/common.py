@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -69,6 +72,14 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def in_process(key: tuple, make: Callable):
+    """What ``make`` builds, once a Python process: workers live on between tasks, functions sent to them do not."""
+    held = sys.modules.setdefault("_palate_held", types.ModuleType("_palate_held")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 # --- storage that all executors share -------------------------------------------------------------
 
 

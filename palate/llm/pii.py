@@ -17,6 +17,7 @@ from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 ROUNDS = 8
 #: Used where a caller brings no key of their own: good for tests, not for secrecy.
@@ -256,7 +257,7 @@ def pseudonymise(docs: DataFrame, key: bytes = SAMPLE_KEY, text_col: str = "text
     """
     docs = docs.drop("pii_found")
     at = docs.columns.index(text_col)
-    schema = docs.schema.add("pii_found", "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField("pii_found", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pseudonyms = Pseudonyms(key, back)

@@ -5,7 +5,8 @@ about BLOCK bytes; a sparse index has each block's last key and place; a Bloom f
 of fixed size finds both. ``lookup`` reads the footer, the filter and the index, then one block.
 
 Layout: blocks | index | filter | footer. An entry is varint(shared key bytes), varint(other key bytes),
-varint(value bytes), key bytes, value. Every block ends with its crc32. Values are little-endian unsigned 32-bit ids.
+varint(value bytes), key bytes, value. A block is deflated and ends with its crc32. A value is a width byte (2 or 4)
+and ids of so many bytes, little-endian; vocabularies under 65,536 ids need two.
 """
 
 from __future__ import annotations
@@ -44,6 +45,16 @@ def decode_key(key: bytes) -> int | None:
     return None if key == b"\0" else int.from_bytes(key[1:], "big") - (1 << 63)
 
 
+def encode_ids(ids: bytes) -> bytes:
+    """A value from little-endian unsigned 32-bit ids, two bytes each where they all fit."""
+    wide = np.frombuffer(ids, dtype="<u4")
+    return b"\2" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 65536 else b"\4" + ids
+
+
+def decode_ids(value: bytes) -> bytes:
+    return np.frombuffer(value, dtype="<u2", offset=1).astype("<u4").tobytes() if value[0] == 2 else value[1:]
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
@@ -109,7 +120,7 @@ class Writer:
         self.last = key
         self.keys.append(key)
         self.entries += 1
-        self.tokens += len(value) // 4
+        self.tokens += (len(value) - 1) // value[0]
         if len(self.block) >= BLOCK:
             self._flush()
 
@@ -121,7 +132,7 @@ class Writer:
 
     def _flush(self) -> None:
         if self.block:
-            data = bytes(self.block)
+            data = zlib.compress(bytes(self.block), 1)
             self.index.append((self.last, *self._put(data + zlib.crc32(data).to_bytes(4, "little"))))
             self.block, self.last = bytearray(), b""
 
@@ -162,7 +173,8 @@ class Reader:
         data = self._get(place, size)
         if zlib.crc32(data[:-4]) != int.from_bytes(data[-4:], "little"):
             raise ValueError(f"block {number} is damaged")
-        at, key, end = 0, b"", len(data) - 4
+        data = zlib.decompress(data[:-4])
+        at, key, end = 0, b"", len(data)
         while at < end:
             shared, at = _read_varint(data, at)
             other, at = _read_varint(data, at)
@@ -229,7 +241,7 @@ def write_shards(
                 if writer is None:
                     out = fs.open_output_stream(temporary)
                     writer, first = Writer(out), doc
-                writer.add(encode_key(doc), encoder.encode(text.as_py()) + bpe.END)
+                writer.add(encode_key(doc), encode_ids(encoder.encode(text.as_py()) + bpe.END))
                 last = doc
         if writer is None:
             return
@@ -281,6 +293,7 @@ def read_shards(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     for number in range(len(reader.index)):
                         cols: list[list] = [[] for _ in kinds]
                         for key, value in reader.block(number):
+                            value = decode_ids(value)
                             got = (decode_key(key), start, len(value) // 4, zlib.crc32(value), value)
                             for c, v in zip(cols, got, strict=False):
                                 c.append(v)
@@ -303,7 +316,7 @@ def find(spark: SparkSession, path: str, doc_ids: Iterable[int]) -> dict[int, li
         found = out.setdefault(doc, [])
         for row in hit:
             with fs.open_input_file(f"{where}/{row['file']}") as file:
-                found += [np.frombuffer(v, dtype="<u4") for v in Reader(file, row["bytes"]).lookup(doc)]
+                found += [np.frombuffer(decode_ids(v), dtype="<u4") for v in Reader(file, row["bytes"]).lookup(doc)]
     return out
 
 
