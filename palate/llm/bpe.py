@@ -21,13 +21,14 @@ END = (0).to_bytes(4, "little")
 #: Letters of the plain set; digits and other ASCII make up its rest.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"[\x20-\x7e\n{LETTERS}]*")
-ODD = re.compile(r"<\||[\x1c-\x1f]")
+ODD = re.compile(r"[\x1c-\x1f]")
 #: Pieces of plain text: byte-level vocabularies keep a blank with what follows it, word vocabularies drop it.
 BYTE_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s")
 WORD_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 #: A word with at most one blank before it; white space up to its last character; that last character.
 BYTE_CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s")
-UNEVEN = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+#: A chunk of a text whose white space is single blanks and single line breaks between words.
+EVEN = re.compile(r"\n?\S+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -37,10 +38,42 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Uneven(Exception):
+    """A text has other white space than single blanks and line breaks between words."""
+
+
+class Chunks(dict):
+    """Ids of chunks. In texts of a vocabulary that keeps blanks, a chunk stands for a blank and itself, or for
+    itself where it begins with a line break; others never get in."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        """Forget what was not asked for since the last call."""
+        self.older = dict(self)
+        self.clear()
+
+    def __missing__(self, chunk: str) -> bytes:
+        encoder = self.encoder
+        if (out := self.older.get(chunk)) is not None:
+            pass
+        elif encoder.keep_blanks:
+            if not EVEN.fullmatch(chunk):
+                raise Uneven
+            out = encoder.chunk(chunk if chunk[0] == "\n" else " " + chunk)
+        else:
+            out = encoder.chunk(chunk)
+        self[chunk] = out
+        return out
+
+
 class Encoder:
     """``encode(text)`` gives the ids of a whole text as bytes; null and empty texts have none."""
 
-    def __init__(self, path: str, keep_blanks: bool, most: int = 500_000):
+    def __init__(self, path: str, keep_blanks: bool, most: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,7 +83,7 @@ class Encoder:
         self.pieces = BYTE_PIECES if keep_blanks else WORD_PIECES
         self.letters = byte_letters()
         self.most = most
-        self.chunk_ids: dict[str, bytes] = {}
+        self.chunks = Chunks(self)
         self.piece_ids: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -64,7 +97,7 @@ class Encoder:
             self.piece_ids[piece] = out
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
+    def chunk(self, chunk: str) -> bytes:
         if not PLAIN.fullmatch(chunk):
             return self.whole(chunk)
         return b"".join(map(self._piece, self.pieces.findall(chunk if self.keep_blanks else chunk.lower())))
@@ -72,34 +105,21 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if ODD.search(text):
+        if len(self.chunks) > self.most:
+            self.chunks.age()
+        if len(self.piece_ids) > 3 * self.most:
+            self.piece_ids.clear()
+        if "<|" in text:
             return self.whole(text)
         if not self.keep_blanks:
-            chunks = text.split()
-        elif UNEVEN.search(text):
-            chunks = BYTE_CHUNKS.findall(text)
-        else:  # single blanks and line breaks between words
-            chunks = self._blanks(text)
-        seen = self.chunk_ids
-        if len(seen) > self.most:
-            seen.clear()
-        if len(self.piece_ids) > 2 * self.most:
-            self.piece_ids.clear()
-        for c in {c for c in chunks if c not in seen}:
-            seen[c] = self._chunk(c)
-        return b"".join(map(seen.__getitem__, chunks))
-
-    @staticmethod
-    def _blanks(text: str) -> list[str]:
-        """Chunks of a text whose white space is single blanks and single line breaks between words."""
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if i:
-                out.append("\n")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        return out
+            return self.whole(text) if ODD.search(text) else b"".join(map(self.chunks.__getitem__, text.split()))
+        first, *rest = text.replace("\n", " \n").split(" ")
+        try:
+            if not EVEN.fullmatch(first) or first[0] == "\n":
+                raise Uneven
+            return self.chunk(first) + b"".join(map(self.chunks.__getitem__, rest))
+        except Uneven:
+            return self.whole(text) if ODD.search(text) else b"".join(map(self.chunk, BYTE_CHUNKS.findall(text)))
 
 
 def byte_encoder(path: str) -> Encoder:

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palate.llm import decontaminate, near_dup, packing, pii, quality, sstable
+from palate.llm import decontaminate, licenses, near_dup, packing, pii, quality, sstable, substring_dedup, url_filter, warc
+from palate.llm.common import shared_path
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics, the fixed floor and the verdict of the list learned from the labels."""
     docs = table(spark, sf_dir, "documents")
@@ -37,6 +43,23 @@ def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a response record, its derivatives written to WARC files in the shared folder and read back."""
+    path = shared_path(spark, "warc")
+    warc.write(warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages"))), path)
+    return warc.read(spark, path).select(
+        "record_id",
+        "kind",
+        "target_uri",
+        "date",
+        "refers_to",
+        F.col("headers")["WARC-Block-Digest"].alias("block_digest"),
+        F.col("headers")["WARC-Source-Payload-Digest"].alias("source_payload_digest"),
+        F.octet_length("block").cast("long").alias("n_bytes"),
+        F.when(F.col("kind") == "conversion", F.decode("block", "UTF-8")).alias("text"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     docs = table(spark, sf_dir, "documents")
@@ -45,6 +68,20 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict: the longest base rule's, else the method's own rules'."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = url_filter.rule_table(spark, url_filter.BASE_RULES + url_filter.OWN_RULES)
+    base = F.col("__rule").isin([r.name for r in url_filter.BASE_RULES])
+    return url_filter.judge(pages, rules).select(
+        "page_id",
+        F.col("__url.host").alias("host"),
+        F.col("__url.path").alias("path"),
+        F.when(base, F.col("__rule")).alias("rule"),
+        F.col("__verdict").alias("verdict"),
+    )
+
+
 def op8_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to shards and read back."""
     return sstable.round_trip(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
@@ -56,17 +93,50 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat, over all documents."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     own = (
+        op1_license_scan,
         op2_quality_rules,
         op3_benchmark_decontamination,
         op4_minhash_near_dup,
+        op5_warc_derivatives,
         op6_best_fit_packing,
+        op7_url_filter,
         op8_token_sstable,
         op9_pii_pseudonyms,
+        op10_substring_dedup,
     )
     return {f.__name__: f for f in own}
 
 
+def op7_sql() -> str:
+    """The same verdicts without tokens or an index: every rule's regular expression on every page."""
+
+    def text(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    def regex(r: url_filter.Rule) -> str:
+        return text(url_filter.to_regex(r.pattern))
+
+    ordered = sorted(url_filter.BASE_RULES + url_filter.OWN_RULES, key=lambda r: (-r.rank, r.name))
+    verdict = " ".join(f"WHEN regexp_matches(t, {regex(r)}) THEN {text(r.verdict)}" for r in ordered)
+    base = sorted(url_filter.BASE_RULES, key=lambda r: (-r.rank, r.name))
+    rule = " ".join(f"WHEN regexp_matches(t, {regex(r)}) THEN {text(r.name)}" for r in base)
+    a, z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+    return f"""
+        WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://(.*)$', 1)
+                   ELSE '' END AS r FROM pages),
+        b AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), {a}, {z}) AS host,
+              regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path,
+              regexp_extract(r, '^[^/?#]*[^?#]*(\\?[^#]*)?', 1) AS rest FROM a),
+        c AS (SELECT *, host || path || rest AS t FROM b)
+        SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": op7_sql()}
