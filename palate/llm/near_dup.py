@@ -1,10 +1,10 @@
 """MinHash near-duplicates with b-bit signatures.
 
 One pass over the texts gives each document its shingle count, a 128-bit fingerprint of its shingle set, band keys
-from groups of full minima, and a packed signature that keeps only the low two bits of each minimum. Documents with
+from groups of full minima, and a packed signature that keeps only the low four bits of each minimum. Documents with
 equal sets form a class; only class representatives go on. Within a bucket of a band, each representative is paired
 with the bucket's smallest one, never with all others. Pairs pass the collision-corrected similarity that counting
-equal two-bit fields gives, and are then confirmed on full shingle sets. A second round tests, in every bucket, the
+equal four-bit fields gives, and are then confirmed on full shingle sets. A second round tests, in every bucket, the
 members that the first round left in another component against all members of other components, so that every pair
 of documents that shares a bucket is either in one component or tested: no bucket has a cap.
 """
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from palate.llm.common import WordHashes, components, materialise, mix, shingle_hashes, spaced_words
 
 BANDS, ROWS = 32, 4
-MINIMA = BANDS * ROWS
-BITS = 2
+#: Minima behind the packed signature; the first BANDS * ROWS of them make the bands.
+MINIMA = 640
+BITS = 4
 PER_LONG = 64 // BITS
 LONGS = MINIMA // PER_LONG
-# Two sets of similarity 0.75 or more fall below this estimate less than once in a million pairs (128 minima).
-SLACK = 0.25
+#: How far under the threshold an estimate may lie: over four standard errors (0.018 at similarity 0.75).
+SLACK = 0.075
 
 _RNG = np.random.default_rng(20240131)
 _XOR = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -53,14 +54,14 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     """The smallest value of the set under each of MINIMA permutations of 32 bits, in blocks of bounded memory."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     out = np.full(MINIMA, np.uint32(0xFFFFFFFF))
-    for i in range(0, len(low), 4096):
-        part = low[i : i + 4096]
+    for i in range(0, len(low), 1024):
+        part = low[i : i + 1024]
         np.minimum(out, ((part[None, :] ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1), out=out)
     return out
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    wide = m.astype(np.uint64).reshape(BANDS, ROWS)
+    wide = m[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
     key = _BAND_SEED.copy()
     for r in range(ROWS):
         key = mix(key ^ wide[:, r]) + np.uint64(r)
@@ -108,7 +109,9 @@ def estimate(a: Column, b: Column) -> Column:
     differ = None
     for i in range(LONGS):
         x = a[i].bitwiseXOR(b[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(ones - (1 << 64) if ones >> 63 else ones))
+        for step in (BITS >> k for k in range(1, BITS.bit_length())):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        x = x.bitwiseAND(F.lit(ones))
         differ = F.bit_count(x) if differ is None else differ + F.bit_count(x)
     by_chance = 1.0 / (1 << BITS)
     return (1 - differ / F.lit(float(MINIMA)) - by_chance) / (1 - by_chance)
@@ -165,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = named.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = materialise(
         classes.join(whole.where("n_shingles > 0"), (classes.rep == whole.doc_id) & (classes.fp == whole.fp))
-        .select("rep", classes.fp, "bands", "sig")
+        .select("rep", classes.fp, "n_shingles", "bands", "sig")
         .dropDuplicates(["rep"]),
         "classes",
     )
@@ -190,14 +193,18 @@ def _links(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     members = reps.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("top")).where("center < top")
     shared = materialise(members.join(buckets.select("key", "center"), "key"), "buckets")
-    sigs = reps.select("rep", "sig")
+    sigs = reps.select("rep", "sig", F.col("n_shingles").alias("n"))
+
+    def near(a: tuple[str, str], b: tuple[str, str]) -> Column:
+        """Sizes that allow the similarity, and an estimate that comes near it."""
+        (sig_a, n_a), (sig_b, n_b) = a, b
+        sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+        return sizes & (estimate(F.col(sig_a), F.col(sig_b)) >= floor)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        a, b = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), sigs.select(
-            F.col("rep").alias("b"), F.col("sig").alias("sb")
-        )
-        both = pairs.join(b, "b").join(a, "a")
-        return both.where(estimate(F.col("sa"), F.col("sb")) >= floor).select("a", "b")
+        a = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
+        b = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
+        return pairs.join(b, "b").join(a, "a").where(near(("sa", "na"), ("sb", "nb"))).select("a", "b")
 
     one_text = texts.groupBy("id").agg(F.min("text").alias("text"))
     stars = shared.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
@@ -214,11 +221,14 @@ def _links(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
     # Only buckets whose members ended up in several components have anything left to test.
     rest = of.where("comp <> home").select("key", F.col("rep").alias("x"), F.col("comp").alias("x_comp"))
-    rest = rest.join(sigs.select(F.col("rep").alias("x"), F.col("sig").alias("sx")), "x")
-    open_ = of.join(rest.select("key").distinct(), "key", "left_semi").join(sigs, "rep")
+    full = reps.select("rep", "sig", F.col("n_shingles").alias("n"), "bands")
+    rest = rest.join(full.select(*(F.col(c).alias(d) for c, d in zip(full.columns, ("x", "sx", "nx", "bx")))), "x")
+    open_ = of.join(rest.select("key").distinct(), "key", "left_semi").join(full, "rep")
+    # two members can meet in many buckets; they are paired in the one with the smallest key
+    once = F.array_min(F.array_intersect("bx", "bands")) == F.col("key")
     more = (
         rest.join(open_, "key")
-        .where((F.col("comp") != F.col("x_comp")) & (estimate(F.col("sx"), F.col("sig")) >= floor))
+        .where((F.col("comp") != F.col("x_comp")) & near(("sx", "nx"), ("sig", "n")) & once)
         .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
