@@ -1,11 +1,15 @@
-"""The engine's registered queries and their SQL, gathered from palate.plans."""
+"""The engine's registered queries and their SQL."""
 
 from __future__ import annotations
 
+from palate.plans import queries as plans
+
+flagship = plans.flagship
+
 
 def queries() -> dict:
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(plans.SQL)
