@@ -106,7 +106,8 @@ def training_queue(items: DataFrame, scores: DataFrame, votes: DataFrame, runs:
     """A deck of up to ``limit`` cards for every user with a model: (user_id, story_id, reason, pos). Each stratum leaves
     out what an earlier one took; the same revision and cursor deal the same deck."""
     quota = allocate(limit)
-    c = candidates(items, scores, votes, runs, cursor, min_points)
+    # every stratum reads the candidates, so they are kept; what an executor loses is computed again
+    c = candidates(items, scores, votes, runs, cursor, min_points).persist()
     ids = ["user_id", "story_id"]
     picked = stratum_boundary(c, quota["boundary"])
     picked = picked.unionByName(stratum_novel(c.join(picked.select(*ids), ids, "left_anti"), quota["novel"]))

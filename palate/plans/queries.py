@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ def query(name: str, oracle: str | None = None) -> Callable:
     def keep(f: Callable[[Tables], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if oracle:
-            SQL[name] = oracle
+            SQL[name] = re.sub(r"""(?<![\w"'])at(?![\w"'])""", '"at"', oracle)  # a key word in some dialects
         return f
 
     return keep
@@ -568,7 +569,7 @@ def _feed(name: str, o: feed.FeedOptions, where: str, order: str, extra: str = "
 
 
 _feed("h1_feed_scope", feed.FeedOptions(days=14, min_points=30, min_comments=10, max_score=0.6, query="th", limit=200),
-      f"points >= 30 AND num_comments >= 10 AND created_at >= {AS_OF - 14 * 86400} AND contains(lower(title), 'th') AND score < 0.6", "score DESC, num_comments DESC")
+      f"points >= 30 AND num_comments >= 10 AND i.created_at >= {AS_OF - 14 * 86400} AND contains(lower(title), 'th') AND score < 0.6", "score DESC, num_comments DESC")
 _feed("h2_feed_foryou", feed.FeedOptions(limit=20), "TRUE", "score DESC, num_comments DESC")
 _feed("h3_feed_hybrid", feed.FeedOptions(mode="hybrid", limit=20), "TRUE", "hybrid DESC")
 _feed("h4_feed_top", feed.FeedOptions(mode="top", limit=20, include_voted=True), "TRUE", "num_comments DESC, points DESC")
@@ -654,12 +655,12 @@ def _(t: Tables) -> DataFrame:
     return decks.fill_from_boundary(c, decks.stratum_boundary(c, 5), 12).select("user_id", "story_id", "at")
 
 
-@query("h15_interleave", f"WITH {DECK} SELECT user_id, story_id, reason, pos FROM il WHERE user_id % 2 = 0")
+@query("h15_interleave", f"WITH {DECK} SELECT user_id, story_id, reason, row_number() OVER (PARTITION BY user_id ORDER BY at, reason) AS pos FROM (SELECT * FROM b UNION ALL SELECT * FROM n)")
 def _(t: Tables) -> DataFrame:
-    deck = _deck(t).where("user_id % 2 = 0")
-    quota = decks.allocate(12)
-    n = deck.groupBy("user_id").agg(F.count("*").alias("n"))
-    return deck.join(n, "user_id").where(F.lit(sum(quota.values())) >= F.col("pos")).select("user_id", "story_id", "reason", "pos")
+    c = _strata(t).persist()
+    b = decks.stratum_boundary(c, 5)
+    n = decks.stratum_novel(c.join(b, ["user_id", "story_id"], "left_anti"), 3)
+    return decks.interleave(b.unionByName(n)).select("user_id", "story_id", "reason", "pos")
 
 
 @query("h16_training_queue", f"WITH {DECK} SELECT user_id, story_id, reason, pos FROM deck")
