@@ -50,7 +50,6 @@ def fold_pairs() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-@F.pandas_udf("string")
 def _nfkd(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKD")
 
@@ -60,7 +59,7 @@ def fold_text(c: Column, exact_unicode: bool = False) -> Column:
     characters that decompose to one ASCII character; ``exact_unicode`` decomposes all, in a pandas UDF."""
     lower = F.lower(c)
     if exact_unicode:
-        lower = F.regexp_replace(_nfkd(lower), "[\\u0300-\\u036F]", "")
+        lower = F.regexp_replace(F.pandas_udf(_nfkd, "string")(lower), "[\\u0300-\\u036F]", "")
     else:
         source, target = fold_pairs()
         lower = F.translate(F.regexp_replace(lower, "[\\u0300-\\u036F]", ""), source, target)
