@@ -171,13 +171,10 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> list[Rule]:
     so counting a conjunction is an AND and a popcount. Ties go to the earlier feature, then to the cut farther
     from the rows to keep.
     """
-    rows = (
-        labelled.select("id", *FEATURES, "reject")
-        .dropna()
-        .orderBy(F.xxhash64("id"), "id", *FEATURES, "reject")
-        .limit(settings.most_rows)
-        .collect()
-    )
+    # Rows with nulls are left out here, not by a filter: Catalyst would move one over the statistics below the join
+    # with the labels, and so work them out for every document.
+    rows = labelled.select("id", *FEATURES, "reject").orderBy(F.xxhash64("id"), "id").limit(settings.most_rows).collect()
+    rows = sorted((r for r in rows if None not in r), key=lambda r: tuple(r)[1:])
     n = len(rows)
     bad = sum(1 << i for i, r in enumerate(rows) if r["reject"])
     prune_on = sum(1 << i for i in range(n) if i % settings.held_out == 0)
@@ -271,10 +268,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     )
     # at most most_rows ids, so the broadcast is bounded
     some = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(one), F.col("doc_id") == F.col("__id"))
-    some = statistics(some).where(~base_failed(F.col("__stats")))
-    return some.select(
-        F.col("__id").alias("id"), *(F.col("__stats")[f].alias(f) for f in FEATURES), F.col("__reject").alias("reject")
-    )
+    some = statistics(some)
+    # documents that fail the floor teach nothing: their label is null
+    label = F.when(~base_failed(F.col("__stats")), F.col("__reject")).alias("reject")
+    return some.select(F.col("__id").alias("id"), *(F.col("__stats")[f].alias(f) for f in FEATURES), label)
 
 
 def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
