@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palate.llm.common import WordHashes, components, materialise, mix, shingle_hashes, spaced_words
+from palate.llm.common import WordHashes, components, discard, materialise, mix, shingle_hashes, spaced_words
 
 BANDS, ROWS = 32, 4
 #: Minima behind the packed signature; the first BANDS * ROWS of them make the bands.
@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.groupBy("doc_id").agg(F.min(F.struct("fp", "n_shingles")).alias("s")).select(
         "doc_id", "s.n_shingles", "s.fp"
     )
+    named = materialise(named, "named")
     classes = named.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = materialise(
         classes.join(whole.where("n_shingles > 0"), (classes.rep == whole.doc_id) & (classes.fp == whole.fp))
@@ -172,6 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .dropDuplicates(["rep"]),
         "classes",
     )
+    discard(whole)
     texts = base.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     links = _links(reps, texts, percent)
     comp = components(links, "near")
