@@ -22,7 +22,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone"))
     left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
     # rows that repeat an id count as one document: the one with the smallest text
-    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice"))
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
+    if twice.isEmpty():
+        return left
     single = left.join(twice, left["doc_id"] == F.col("__twice"), "left_anti")
     again = left.join(twice, left["doc_id"] == F.col("__twice"), "left_semi")
     row = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text"))
