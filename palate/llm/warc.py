@@ -69,6 +69,7 @@ TAGS = re.compile(r"<[/!?]?[A-Za-z][^>]*>")
 TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
 LANG = re.compile(r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""")
 LINK = re.compile(r"""(?is)<a\b[^>]*\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+BREAK = re.compile(r"[\r\n]+")
 BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -94,21 +95,21 @@ def derivatives(record_id: str, uri: str | None, date: str | None, block: bytes)
     status, headers, payload = split_http(block)
     kind = headers.get("content-type", "")
     page = decode(payload, kind)
+    block_digest, payload_digest = digest(block), digest(payload)
     title, lang = TITLE.search(page), LANG.search(page)
     fields = [
         ("http-status", status),
         *((f"http-{k}", v) for k, v in sorted(headers.items())),
-        ("source-block-digest", digest(block)),
-        ("source-payload-digest", digest(payload)),
+        ("source-block-digest", block_digest),
+        ("source-payload-digest", payload_digest),
         ("title", BLANKS.sub(" ", html.unescape(title[1]).replace("\n", " ")).strip() if title else ""),
         ("lang", lang[1] if lang else ""),
         *(("outlink", html.unescape(next(filter(None, m.groups()), ""))) for m in LINK.finditer(page)),
     ]
-    clean = re.compile(r"[\r\n]+")
-    meta = "".join(f"{k}: {clean.sub(' ', v)}\r\n" for k, v in fields if v).encode()
+    meta = "".join(f"{k}: {BREAK.sub(' ', v)}\r\n" for k, v in fields if v).encode()
     shown = plain_text(page) if "html" in kind or not kind or page.lstrip()[:1] == "<" else page
     text = shown.encode("utf-8", "replace")
-    common = {"WARC-Source-Block-Digest": digest(block), "WARC-Source-Payload-Digest": digest(payload)}
+    common = {"WARC-Source-Block-Digest": block_digest, "WARC-Source-Payload-Digest": payload_digest}
     out = []
     for name, data, media in (("metadata", meta, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
         own = common | {"Content-Type": media, "WARC-Block-Digest": digest(data)}
@@ -177,11 +178,11 @@ def serialise(r: dict) -> bytes:
     block = r["block"] or b""
     fields = {"WARC-Type": r["kind"] or "resource", "WARC-Record-ID": r["record_id"], "WARC-Date": r["date"]}
     fields |= {"WARC-Target-URI": r["target_uri"], "WARC-Refers-To": r["refers_to"]} | dict(r["headers"] or {})
-    fields.setdefault("WARC-Block-Digest", digest(block))
+    if "WARC-Block-Digest" not in fields:
+        fields["WARC-Block-Digest"] = digest(block)
     fields["Content-Length"] = str(len(block))
-    clean = re.compile(r"[\r\n]+")
-    head = b"".join(f"{k}: {clean.sub(' ', v)}\r\n".encode() for k, v in fields.items() if v is not None)
-    return gzip.compress(VERSION + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n", 6, mtime=0)
+    head = b"".join(f"{k}: {BREAK.sub(' ', v)}\r\n".encode() for k, v in fields.items() if v is not None)
+    return gzip.compress(VERSION + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n", 1, mtime=0)
 
 
 def parse(stream) -> Iterator[tuple]:
