@@ -398,21 +398,21 @@ def _(t: Tables) -> DataFrame:
     return model.fit_pooled(ex, t.features())
 
 
-@query("e5_score_features", f"WITH {s.SCORED} SELECT user_id, story_id, round(score, 6) AS score, round(confidence, 6) AS confidence FROM scores WHERE story_id % 4 = 0")
+@query("e5_score_features", f"WITH {s.SCORED} SELECT user_id, story_id, score, confidence FROM scores WHERE story_id % 4 = 0")
 def _(t: Tables) -> DataFrame:
     users = t.runs().select("user_id")
     pairs = t.items().where("story_id % 4 = 0").select("story_id").crossJoin(users)
     out = score.score_pairs(pairs, t.features(), t.weights(), t.runs(), ["user_id"])
-    return out.select("user_id", "story_id", *r6("score", "confidence"))
+    return out.select("user_id", "story_id", "score", "confidence")
 
 
 @query("e6_contributions", f"""WITH {s.MODEL}, c AS (SELECT w.user_id, f.story_id, f.feature, f.pos, round(f.value * w.weight, 9) AS effect, support
     FROM votes v JOIN features f ON f.story_id = v.story_id JOIN weights w ON w.user_id = v.user_id AND w.feature = f.feature WHERE f.feature <> '__bias__' AND v.story_id % 7 = 0)
-    SELECT user_id, story_id, rank, feature, {s.kind_sql()} AS kind, {s.label_sql()} AS label, round(effect, 6) AS effect, support FROM (
+    SELECT user_id, story_id, rank, feature, {s.kind_sql()} AS kind, {s.label_sql()} AS label, effect, support FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id, story_id ORDER BY abs(effect) DESC, pos) AS rank FROM c WHERE effect <> 0) WHERE rank <= 10""")
 def _(t: Tables) -> DataFrame:
     out = score.contributions(t.votes().where("story_id % 7 = 0"), t.features(), t.weights())
-    return out.withColumn("effect", F.round("effect", 6))
+    return out
 
 
 AUC = f"""{s.VOTES},{s.HISTORY}, l AS (SELECT v.user_id, model_rev, CASE WHEN value > 0 THEN 1 ELSE 0 END AS label, round(score, 1) AS score FROM votes v
@@ -523,26 +523,26 @@ def _(t: Tables) -> DataFrame:
 # --- F: scoring jobs ------------------------------------------------------------------------------
 
 
-@query("f1_rescore_all", f"WITH {s.SCORED} SELECT user_id, story_id, round(score, 6) AS score, round(confidence, 6) AS confidence, model_rev FROM scores")
+@query("f1_rescore_all", f"WITH {s.SCORED} SELECT user_id, story_id, score, confidence, model_rev FROM scores")
 def _(t: Tables) -> DataFrame:
-    return t.scores().withColumns({"score": F.round("score", 6), "confidence": F.round("confidence", 6)})
+    return t.scores()
 
 
-@query("f2_score_missing", f"WITH {s.SCORED} SELECT user_id, story_id, round(score, 6) AS score FROM scores WHERE story_id % 6 = 0 OR (story_id % 6 = 1 AND user_id % 2 = 0)")
+@query("f2_score_missing", f"WITH {s.SCORED} SELECT user_id, story_id, score FROM scores WHERE story_id % 6 = 0 OR (story_id % 6 = 1 AND user_id % 2 = 0)")
 def _(t: Tables) -> DataFrame:
     have = t.items().select("story_id").crossJoin(t.runs().select("user_id")).where("story_id % 6 <> 0")
     stale = (F.col("story_id") % 6 == 1) & (F.col("user_id") % 2 == 0)
     have = have.select("user_id", "story_id", F.when(stale, 1).otherwise(2).alias("model_rev"))
     out = score.score_missing(t.items(), t.features(), have, t.weights(), t.runs())
-    return out.select("user_id", "story_id", *r6("score"))
+    return out.select("user_id", "story_id", "score")
 
 
-@query("f3_score_missing_all", f"WITH {s.SCORED} SELECT user_id, story_id, round(score, 6) AS score FROM scores WHERE story_id % 10 = 0 AND user_id % 3 <> 0")
+@query("f3_score_missing_all", f"WITH {s.SCORED} SELECT user_id, story_id, score FROM scores WHERE story_id % 10 = 0 AND user_id % 3 <> 0")
 def _(t: Tables) -> DataFrame:
     some, runs = t.items().where("story_id % 10 = 0"), t.runs().where("user_id % 3 <> 0")
     none = some.select(F.lit(0).cast("long").alias("user_id"), "story_id", F.lit(0).alias("model_rev")).limit(0)
     out = score.score_missing(some, features.featurize(some), none, t.weights(), runs)
-    return out.select("user_id", "story_id", *r6("score"))
+    return out.select("user_id", "story_id", "score")
 
 
 @query("f4_current_model", f"WITH {s.VOTES},{s.RUN_LOG} SELECT user_id, max(rev) AS rev, arg_max(n_votes, rev) AS n_votes, max(trained_at) AS trained_at FROM run_log WHERE rev + user_id % 3 <= 6 GROUP BY 1")
@@ -554,7 +554,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _feed(name: str, o: feed.FeedOptions, where: str, order: str, extra: str = "") -> None:
-    more = ", round(score, 6) AS score" + extra
+    more = ", score" + extra
     keep = "TRUE" if o.include_voted else "(value IS NULL OR value = 0)"
     oracle = f"""WITH {s.SCORED}, sc AS (SELECT s.user_id, i.*, s.score, s.confidence, v.value FROM items i JOIN scores s ON s.story_id = i.story_id
         LEFT JOIN votes v ON v.story_id = i.story_id AND v.user_id = s.user_id WHERE {keep} AND ({where})),
@@ -565,7 +565,7 @@ def _feed(name: str, o: feed.FeedOptions, where: str, order: str, extra: str = "
     @query(name, oracle)
     def _(t: Tables) -> DataFrame:
         out = feed.feed(t.items(), t.scores(), t.votes(), o, AS_OF)
-        return out.select("user_id", "story_id", "pos", "total", *r6("score"))
+        return out.select("user_id", "story_id", "pos", "total", "score")
 
 
 _feed("h1_feed_scope", feed.FeedOptions(days=14, min_points=30, min_comments=10, max_score=0.6, query="th", limit=200),
