@@ -109,10 +109,11 @@ def training_queue(items: DataFrame, scores: DataFrame, votes: DataFrame, runs:
     # every stratum reads the candidates, so they are kept; what an executor loses is computed again
     c = candidates(items, scores, votes, runs, cursor, min_points).persist()
     ids = ["user_id", "story_id"]
-    picked = stratum_boundary(c, quota["boundary"])
-    picked = picked.unionByName(stratum_novel(c.join(picked.select(*ids), ids, "left_anti"), quota["novel"]))
-    picked = picked.unionByName(stratum_recent(c, quota["recent"], cursor, as_of, picked.select(*ids)))
-    picked = picked.unionByName(stratum_explore(c.join(picked.select(*ids), ids, "left_anti"), quota["explore"]))
+    # so are the picks, a few rows a user: each step reads all earlier ones
+    picked = stratum_boundary(c, quota["boundary"]).persist()
+    picked = picked.unionByName(stratum_novel(c.join(picked.select(*ids), ids, "left_anti"), quota["novel"])).persist()
+    picked = picked.unionByName(stratum_recent(c, quota["recent"], cursor, as_of, picked.select(*ids))).persist()
+    picked = picked.unionByName(stratum_explore(c.join(picked.select(*ids), ids, "left_anti"), quota["explore"])).persist()
     deck = interleave(picked).select(*ids, "reason", "pos")
     fill = fill_from_boundary(c, deck, limit).select(*ids, "reason", (F.col("have") + F.col("at")).cast("int").alias("pos"))
     return deck.unionByName(fill)
