@@ -129,4 +129,4 @@ def byte_encoder(path: str) -> Encoder:
 
 def word_encoder(path: str) -> Encoder:
     """For lower-casing vocabularies that drop white space."""
-    return in_process(("word", path), lambda: Encoder(path, False))
+    return in_process(("word", path), lambda: Encoder(path, False, 180_000))
