@@ -271,6 +271,22 @@ def test_repeated_passages(spark, docs, empty):
         assert set(zip(*(x.tolist() for x in substring_dedup.compact_windows(h, t)), strict=True)) == want
 
 
+def test_passages_behind_a_stock_line(spark):
+    """Documents that share a passage around a line, which earlier documents hold in other passages."""
+    line, row = prose(900, 46), []
+    for i in range(40):
+        row.append((i, prose(1000 + i, 60) + " " + line + " " + prose(1100 + i, 60)))
+    for family in (0, 1):
+        passage = prose(2000 + family, 5) + " " + line + " " + prose(2100 + family, 5)
+        for k in range(2):
+            i = 50 + 2 * family + k
+            row.append((i, prose(2200 + i, 60) + " " + passage + " " + prose(2300 + i, 60)))
+    for some in (row, [row[0], *row[40:]]):  # a group that is parted, one that is not
+        got = substring_dedup.repeated_passages(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.source_id) for r in got} == {(51, 50), (53, 52)}
+        assert all(r.first_word <= 62 and r.n_words >= 52 for r in got)
+
+
 def test_learned_rules_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
