@@ -114,15 +114,22 @@ def fit_grouped(examples: DataFrame, features: DataFrame, options: FitOptions =
 def fit_pooled(examples: DataFrame, features: DataFrame, options: FitOptions = FitOptions()) -> DataFrame:
     """One model over a cohort of any size: (feature, weight, support), by Spark's distributed logistic regression.
 
-    The vocabulary is numbered by a hash of 2^18 slots for the optimiser only; weights come back by name, and names
-    that share a slot share its weight.
+    Every distinct feature has its own slot for the optimiser: numbered within buckets by hash, after the sizes of the
+    buckets before. Weights come back by name.
     """
     from pyspark.ml.classification import LogisticRegression
 
-    slots = 1 << 18
     some = examples.select("story_id", "label").join(features, "story_id")
-    slot = F.pmod(F.xxhash64("feature"), F.lit(slots)).cast("int")
-    pairs = some.withColumn("slot", slot).groupBy("story_id", "label", "slot").agg(F.sum("value").alias("v"))
+    named = some.groupBy("feature").agg(F.count("*").alias("support"))
+    named = named.withColumn("bucket", F.pmod(F.xxhash64("feature"), F.lit(4096)))
+    # 4096 rows at most
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = named.groupBy("bucket").agg(F.count("*").alias("n"))
+    offsets = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    number = F.col("offset") + F.row_number().over(Window.partitionBy("bucket").orderBy("feature")) - 1
+    named = named.join(F.broadcast(offsets), "bucket").select("feature", "support", number.cast("int").alias("slot"))
+    slots = max(named.count(), 1)
+    pairs = some.join(named.select("feature", "slot"), "feature").groupBy("story_id", "label", "slot").agg(F.sum("value").alias("v"))
     arrays = pairs.groupBy("story_id", "label").agg(F.array_sort(F.collect_list(F.struct("slot", "v"))).alias("e"))
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
@@ -140,7 +147,6 @@ def fit_pooled(examples: DataFrame, features: DataFrame, options: FitOptions = F
     w = model.coefficients.toArray()
     spark = examples.sparkSession
     table = spark.createDataFrame(pd.DataFrame({"slot": np.flatnonzero(w), "weight": np.round(w[np.flatnonzero(w)], 6)}))
-    named = some.groupBy("feature").agg(F.count("*").alias("support")).withColumn("slot", slot)
     return named.join(F.broadcast(table), "slot").select("feature", "weight", "support")
 
 

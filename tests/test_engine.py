@@ -66,6 +66,16 @@ def test_opposite_tastes_rank_opposite(spark):
     assert s[1, 7] > s[1, 8] and s[2, 7] < s[2, 8] and len(s) == 16
 
 
+def test_pooled_weights_are_kept_by_name(spark):
+    slot = F.pmod(F.xxhash64("feature"), F.lit(1 << 18))
+    names = spark.range(5000).select(F.concat(F.lit("w:"), F.col("id").cast("string")).alias("feature"))
+    a, b = sorted(names.groupBy(slot).agg(F.collect_list("feature").alias("f")).where("size(f) > 1").first()["f"])[:2]
+    f = spark.createDataFrame([(i, a if i % 2 else b, 1.0) for i in range(20)], "story_id long, feature string, value double")
+    ex = spark.createDataFrame([(i, i % 2) for i in range(20)], "story_id long, label int")
+    w = {r.feature: r.weight for r in model.fit_pooled(ex, f).collect()}
+    assert set(w) == {a, b} and w[a] > 0 > w[b]
+
+
 def test_auc_ties_and_missing_class(spark):
     d = spark.createDataFrame([(1, 1, 0.5), (1, 0, 0.5), (2, 1, 0.9), (3, 1, 0.9), (3, 0, 0.1)], "u int, label int, score double")
     assert rows(model.auc(d, ["u"]), "u", "auc") == [(1, 0.5), (2, None), (3, 1.0)]
