@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,22 +33,6 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(ALNUM_SPLIT).split() if text else []
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound so that a frequent word is hashed once."""
-
-    def __init__(self, most: int = 400_000):
-        self.seen: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > self.most:
-            seen.clear()
-        for w in {w for w in words if w not in seen}:
-            seen[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (two multiply-xorshift rounds), so that sums of word hashes spread over all bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -57,6 +40,74 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+#: Bytes hashed at once; about a hundred times as much memory is in use meanwhile.
+BLOCK = 1 << 20
+
+
+def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word in ``data``, words between blanks. A word's hash is the sum of a mixed value of each
+    (byte, place in the word), so that whole blocks are hashed by array operations."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    inside = raw != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    x = (raw[inside] + place * 257 + 1).astype(np.uint64) * _A
+    x ^= x >> np.uint64(32)
+    x *= _B
+    x ^= x >> np.uint64(29)
+    return mix(np.add.reduceat(x, first)), starts
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased (A-Z) words between white space of all ``texts``, one text after another, and for
+    each text where its words end among them. Null texts have no words. A text is cut only between words."""
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = b" ".join(raw).translate(LOWER_SPLIT)
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = data.find(b" ", at + BLOCK)
+        end = len(data) if end < 0 else end
+        h, s = _hash_block(data[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    if not hashes:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    ends = np.cumsum([len(x) + 1 for x in raw])
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends)
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, ascending."""
+    words, ends = word_hashes(texts)
+    if len(words) < SHINGLE:
+        return [np.unique(shingle_hashes(x)) for x in np.split(words, ends[:-1])]
+    s, out, begin = shingle_hashes(words), [], 0
+    for end in ends.tolist():
+        own = s[begin : end - SHINGLE + 1] if end - begin >= SHINGLE else shingle_hashes(words[begin:end])
+        out.append(np.unique(own))
+        begin = end
+    return out
+
+
+def text_parts(texts, most: int = 1 << 21):
+    """(from, texts) of consecutive pieces of a column, each of about ``most`` characters or one text."""
+    part, size, begin = [], 0, 0
+    for i, text in enumerate(texts):
+        part.append(text.as_py())
+        size += len(part[-1] or "")
+        if size >= most:
+            yield begin, part
+            part, size, begin = [], 0, i + 1
+    if part:
+        yield begin, part
+
+
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(1, SHINGLE + 1)]
 
 
@@ -131,6 +182,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def one_text_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text) without null ids, one row an id: the smallest of its texts, null only if all are. Texts are shuffled
+    only for ids that repeat."""
+    base = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
+    base = base.where("doc is not null")
+    twice = base.groupBy("doc").count().where("count > 1").select("doc")
+    if twice.isEmpty():
+        return base
+    again = base.join(twice, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+    return materialise(base.join(twice, "doc", "left_anti").unionByName(again), "texts")
+
+
 # --- connected components -------------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palate.llm.common import WordHashes, components, discard, materialise, mix, shingle_hashes, spaced_words
+from palate.llm.common import components, discard, materialise, mix, one_text_each, shingle_sets, text_parts
 
 BANDS, ROWS = 32, 4
 #: Minima behind the packed signature; the first BANDS * ROWS of them make the bands.
@@ -26,6 +26,8 @@ MINIMA = 640
 BITS = 4
 PER_LONG = 64 // BITS
 LONGS = MINIMA // PER_LONG
+#: Pairs of one document that are confirmed together.
+PARTS = 256
 #: How far under the threshold an estimate may lie: over four standard errors (0.018 at similarity 0.75).
 SLACK = 0.075
 
@@ -46,10 +48,6 @@ SKETCH = pa.schema(
 SKETCH_DDL = "doc_id long, n_shingles long, fp binary, bands array<long>, sig array<long>"
 
 
-def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
-    return np.unique(shingle_hashes(hashes(spaced_words(text))))
-
-
 def minima(shingles: np.ndarray) -> np.ndarray:
     """The smallest value of the set under each of MINIMA permutations of 32 bits, in blocks of bounded memory."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -76,21 +74,16 @@ def pack(m: np.ndarray) -> np.ndarray:
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in batches:
         ids, counts, fps, bands, sigs = batch.column(0).to_pylist(), [], [], [], []
-        for text in batch.column(1):
-            s = shingle_set(text.as_py(), hashes)
-            counts.append(len(s))
-            twice = mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-            fps.append(s.sum(dtype=np.uint64).tobytes() + twice.sum(dtype=np.uint64).tobytes())
-            if len(s):
-                m = minima(s)
-                bands.append(band_keys(m).view(np.int64))
-                sigs.append(pack(m).view(np.int64))
-            else:
-                bands.append(None)
-                sigs.append(None)
+        for _, texts in text_parts(batch.column(1)):
+            for s in shingle_sets(texts):
+                counts.append(len(s))
+                twice = mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+                fps.append(s.sum(dtype=np.uint64).tobytes() + twice.sum(dtype=np.uint64).tobytes())
+                m = minima(s) if len(s) else None
+                bands.append(None if m is None else band_keys(m).view(np.int64))
+                sigs.append(None if m is None else pack(m).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()),
@@ -120,26 +113,40 @@ def estimate(a: Column, b: Column) -> Column:
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    ``texts`` (id, text) has one row an id. The text of b joins first; a is the side that can be a hub, and a join
-    leaves a hot key's rows to be split. Sets are computed from the texts, and a's only when a changes.
+    ``texts`` (doc, text) has one row an id; those that no pair names are left behind first. The text of b joins first;
+    a is the side that can be a hub, and a hub of more than PARTS pairs stands in several parts of about that many, its
+    text beside each. Sets are computed from the texts, and a's only when a changes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, center = WordHashes(), None, None
+        last, center = None, None
         for batch in batches:
-            keep = []
-            for a, a_text, b_text in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
-                if center is None or a.as_py() != last:
-                    last, center = a.as_py(), shingle_set(a_text.as_py(), hashes)
-                other = shingle_set(b_text.as_py(), hashes)
-                both = len(np.intersect1d(center, other, assume_unique=True))
-                union = len(center) + len(other) - both
-                keep.append(union > 0 and 100 * both >= percent * union)
+            keep: list[bool] = []
+            hubs = batch.column(0).to_pylist()
+            for begin, others in text_parts(batch.column(3)):
+                for i, other in enumerate(shingle_sets(others), begin):
+                    if center is None or hubs[i] != last:
+                        last, center = hubs[i], shingle_sets([batch.column(2)[i].as_py()])[0]
+                    both = len(np.intersect1d(center, other, assume_unique=True))
+                    union = len(center) + len(other) - both
+                    keep.append(union > 0 and 100 * both >= percent * union)
             pairs = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"])
             yield pairs.filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
-    two = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
+    pairs = materialise(pairs, "pairs")
+    named = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    texts = materialise(texts.join(named, "doc", "left_semi"), "texts")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTS).alias("parts")).where("parts > 1")
+    salted = pairs.join(hubs, "a", "left").select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part")
+    )
+    sides = texts.join(hubs.withColumnRenamed("a", "doc"), "doc", "left").select(
+        F.col("doc").alias("a"),
+        F.col("text").alias("a_text"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"),
+    )
+    one = salted.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("b_text")), "b")
+    two = one.join(sides, ["a", "part"])
     return two.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
@@ -158,23 +165,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     nameless = base.where("doc_id is null")
-    whole = materialise(base.mapInArrow(sketch_batches, SKETCH_DDL), "sketches")
-    # a repeated id keeps the sketch of one text, chosen by content, so that any run chooses alike
+    texts = one_text_each(docs, id_col, text_col)
+    whole = materialise(texts.mapInArrow(sketch_batches, SKETCH_DDL), "sketches")
     # the sketch columns follow from the fingerprint alone, so a class's row needs no arrays in its aggregation
-    named = whole.where("doc_id is not null").select("doc_id", "n_shingles", "fp")
-    named = named.groupBy("doc_id").agg(F.min(F.struct("fp", "n_shingles")).alias("s")).select(
-        "doc_id", "s.n_shingles", "s.fp"
-    )
-    named = materialise(named, "named")
+    named = materialise(whole.select("doc_id", "n_shingles", "fp"), "named")
     classes = named.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(
-        classes.join(whole.where("n_shingles > 0"), (classes.rep == whole.doc_id) & (classes.fp == whole.fp))
-        .select("rep", classes.fp, "n_shingles", "bands", "sig")
-        .dropDuplicates(["rep"]),
-        "classes",
-    )
+    full = whole.where("n_shingles > 0").drop("fp")
+    reps = classes.join(full, classes.rep == full.doc_id).select("rep", classes.fp, "n_shingles", "bands", "sig")
+    reps = materialise(reps, "classes")
     discard(whole)
-    texts = base.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     links = _links(reps, texts, percent)
     comp = components(links, "near")
     out = named.join(reps.select("fp", "rep"), "fp", "left").join(
@@ -208,9 +207,8 @@ def _links(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         b = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
         return pairs.join(b, "b").join(a, "a").where(near(("sa", "na"), ("sb", "nb"))).select("a", "b")
 
-    one_text = texts.groupBy("id").agg(F.min("text").alias("text"))
     stars = shared.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    first = materialise(confirm(similar(stars), one_text, percent), "links")
+    first = materialise(confirm(similar(stars), texts, percent), "links")
     comp = materialise(components(first, "stars"), "labels")
     of = shared.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(
         "key", "rep", "center", F.coalesce("comp", "rep").alias("comp")
@@ -225,15 +223,19 @@ def _links(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     rest = of.where("comp <> home").select("key", F.col("rep").alias("x"), F.col("comp").alias("x_comp"))
     full = reps.select("rep", "sig", F.col("n_shingles").alias("n"), "bands")
     rest = rest.join(full.select(*(F.col(c).alias(d) for c, d in zip(full.columns, ("x", "sx", "nx", "bx")))), "x")
-    open_ = of.join(rest.select("key").distinct(), "key", "left_semi").join(full, "rep")
+    # sets that are alike have sizes of the same class or of neighbouring ones
+    size = F.floor(F.log("n") / np.log(100 / percent))
+    sizes = F.floor(F.log("nx") / np.log(100 / percent))
+    rest = rest.withColumn("size", F.explode(F.array(sizes - 1, sizes, sizes + 1)))
+    open_ = of.join(rest.select("key").distinct(), "key", "left_semi").join(full, "rep").withColumn("size", size)
     # two members can meet in many buckets; they are paired in the one with the smallest key
     once = F.array_min(F.array_intersect("bx", "bands")) == F.col("key")
     more = (
-        rest.join(open_, "key")
+        rest.join(open_, ["key", "size"])
         .where((F.col("comp") != F.col("x_comp")) & near(("sx", "nx"), ("sig", "n")) & once)
         .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    second = materialise(confirm(more, one_text, percent), "links")
+    second = materialise(confirm(more, texts, percent), "links")
     return first.unionByName(second)
