@@ -166,7 +166,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete what materialise() wrote, once nothing reads it any more."""
+    """Delete what materialise() or bucketed() wrote, once nothing reads it any more."""
+    if table := getattr(df, "_palate_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     path = getattr(df, "_palate_path", None)
     if path:
         jvm = df.sparkSession._jvm
@@ -174,6 +176,19 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
+    """Written once to the shared folder, dealt by ``by``: later joins on that column do not shuffle it again. As many
+    buckets as the session has shuffle partitions."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, name)
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, by).write.bucketBy(n, by).sortBy(by).format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._palate_path, out._palate_table = path, table
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once a row and hand it to ``body`` as a lambda variable.
 
