@@ -17,11 +17,18 @@ def unjudged(pairs: DataFrame, votes: DataFrame) -> DataFrame:
 
 
 def cold_queue(users: DataFrame, items: DataFrame, votes: DataFrame, limit: int = 12, min_points: int = 10) -> DataFrame:
-    """For users without a model: the most discussed unjudged items."""
+    """For users without a model: the most discussed unjudged items. A user looks only as deep into the one ranking of
+    all items as ``limit`` and the own votes reach."""
     some = items.where(F.col("points") >= min_points).select("story_id", "num_comments")
-    order = Window.partitionBy("user_id").orderBy(F.desc("num_comments"), F.desc("story_id"))
-    pairs = unjudged(users.select("user_id").crossJoin(some), votes)
-    return pairs.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).withColumn("reason", F.lit("popular"))
+    cast = users.select("user_id").join(votes.select("user_id", "story_id"), "user_id", "left").groupBy("user_id")
+    reach = cast.agg((F.count("story_id") + limit).cast("int").alias("reach"))
+    deepest = reach.agg(F.max("reach")).first()[0] or limit
+    best = some.orderBy(F.desc("num_comments"), F.desc("story_id")).limit(deepest)
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("num_comments"), F.desc("story_id"))))
+    pairs = reach.select("user_id", F.explode(F.sequence(F.lit(1), "reach")).alias("rank")).join(ranked, "rank")
+    order = Window.partitionBy("user_id").orderBy("rank")
+    out = unjudged(pairs, votes).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
+    return out.drop("rank").withColumn("reason", F.lit("popular"))
 
 
 def allocate(limit: int, shares: tuple[tuple[str, float], ...] = SHARES) -> dict[str, int]:
@@ -45,7 +52,7 @@ def sampling_key(rev: Column, cursor: Column) -> Column:
 def candidates(items: DataFrame, scores: DataFrame, votes: DataFrame, runs: DataFrame, cursor: int, min_points: int) -> DataFrame:
     """Unjudged items over the points floor of every user with a model, with score columns and the draw's key."""
     some = items.where(F.col("points") >= min_points).select("story_id", "num_comments", "created_at")
-    pairs = unjudged(runs.select("user_id", "rev").crossJoin(some), votes)
+    pairs = voted_out(runs.select("user_id", "rev").crossJoin(some), votes)
     out = pairs.join(scores.select("user_id", "story_id", "score", "confidence"), ["user_id", "story_id"], "left")
     return out.withColumns(
         {
@@ -102,21 +109,63 @@ def interleave(picked: DataFrame) -> DataFrame:
     return picked.withColumn("pos", F.row_number().over(order))
 
 
+def voted_out(pairs: DataFrame, votes: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """``unjudged``, with the votes sent to every task where they are counted to be at most ``most``; else both sides
+    are shuffled."""
+    some = votes.select("user_id", "story_id")
+    return pairs.join(F.broadcast(some) if some.count() <= most else some, ["user_id", "story_id"], "left_anti")
+
+
 def training_queue(items: DataFrame, scores: DataFrame, votes: DataFrame, runs: DataFrame, limit: int = 12, cursor: int = 0, min_points: int = 10, as_of: int = 0) -> DataFrame:
     """A deck of up to ``limit`` cards for every user with a model: (user_id, story_id, reason, pos). Each stratum leaves
-    out what an earlier one took; the same revision and cursor deal the same deck."""
+    out what an earlier one took; the same revision and cursor deal the same deck.
+
+    One pass finds the few rows at the head of each stratum's order that the deck can need, before anything is
+    shuffled; strata then exclude each other among those rows, all on one shuffle by user."""
     quota = allocate(limit)
-    # every stratum reads the candidates, so they are kept; what an executor loses is computed again
-    c = candidates(items, scores, votes, runs, cursor, min_points).persist()
-    ids = ["user_id", "story_id"]
-    # so are the picks, a few rows a user: each step reads all earlier ones
-    picked = stratum_boundary(c, quota["boundary"]).persist()
-    picked = picked.unionByName(stratum_novel(c.join(picked.select(*ids), ids, "left_anti"), quota["novel"])).persist()
-    picked = picked.unionByName(stratum_recent(c, quota["recent"], cursor, as_of, picked.select(*ids))).persist()
-    picked = picked.unionByName(stratum_explore(c.join(picked.select(*ids), ids, "left_anti"), quota["explore"])).persist()
-    deck = interleave(picked).select(*ids, "reason", "pos")
-    fill = fill_from_boundary(c, deck, limit).select(*ids, "reason", (F.col("have") + F.col("at")).cast("int").alias("pos"))
-    return deck.unionByName(fill)
+    some = items.where(F.col("points") >= min_points).select("story_id", "num_comments", "created_at")
+    model = runs.select("user_id", "rev")
+    key = sampling_key(F.col("rev"), F.lit(cursor).cast("long"))
+    offset = F.round(raw_offset(F.col("score"), F.col("confidence")), 9)
+    zero = F.lit(0).cast("double")
+    scored = scores.select("user_id", "story_id", "score", "confidence").join(some.select("story_id"), "story_id").join(model, "user_id")
+    near = (F.col("confidence") >= CONFIDENT) & (F.abs("offset") <= NEAR)
+    stratum = F.when(near, "boundary").when((F.col("confidence") >= 0) & (F.col("confidence") < CONFIDENT), "novel")
+    tag = lambda name, first, second: F.struct(name.alias("tag"), first.cast("double").alias("first"), second.cast("double").alias("second"))
+    scored = scored.withColumns({"offset": offset, "key": key})
+    scored = scored.select("user_id", "story_id", F.inline(F.array(
+        tag(stratum, F.col("key"), zero),
+        tag(F.lit("fill"), F.abs("offset"), (F.col("offset") < 0).cast("int")),
+    )))
+    every = model.crossJoin(some)
+    fresh = F.when(F.col("created_at") >= as_of - RECENT_DAYS * DAY, "recent")
+    every = every.select("user_id", "story_id", F.inline(F.array(
+        tag(F.lit("explore"), key, zero), tag(fresh, -F.col("num_comments"), -F.col("story_id"))
+    )))
+    rows = voted_out(scored.unionByName(every).where("tag is not null and first is not null"), votes)
+    start = (cursor % 8) * quota["recent"]
+    deep = {
+        "boundary": quota["boundary"], "novel": quota["novel"], "recent": start + 3 * quota["recent"], "explore": limit, "fill": 2 * limit,
+    }
+    head = Window.partitionBy("user_id", "tag").orderBy("first", "second", "story_id")
+    rows = rows.withColumn("at", F.row_number().over(head)).where(F.col("at") <= max(deep.values()))
+    wanted = F.lit(False)
+    for name, n in deep.items():
+        wanted = wanted | (F.col("tag") == name) & (F.col("at") <= n) & (F.col("at") > (start if name == "recent" else 0))
+    rows = rows.where(wanted).withColumn("taken", F.col("tag").isin("boundary", "novel"))
+    story = Window.partitionBy("user_id", "story_id")
+    for name, n in (("recent", quota["recent"]), ("explore", quota["explore"]), ("fill", None)):
+        rows = rows.withColumn("gone", F.max("taken").over(story))
+        left = (F.col("tag") == name) & ~F.col("gone")
+        place = F.row_number().over(Window.partitionBy("user_id", "tag").orderBy(F.col("gone"), "at"))
+        have = F.count_if("taken").over(Window.partitionBy("user_id"))
+        rows = rows.withColumns({"place": place, "have": have})
+        take = left & (F.col("place") <= (F.lit(limit) - F.col("have") if n is None else n))
+        rows = rows.withColumns({"taken": F.col("taken") | take, "at": F.when(F.col("tag") == name, F.col("place")).otherwise(F.col("at"))})
+    deck = rows.where("taken").select("user_id", "story_id", F.col("tag").alias("reason"), "at", "have")
+    dealt = interleave(deck.where("reason <> 'fill'")).select("user_id", "story_id", "reason", "pos")
+    fill = deck.where("reason = 'fill'").select("user_id", "story_id", F.lit("boundary").alias("reason"), (F.col("have") + F.col("at")).cast("int").alias("pos"))
+    return dealt.unionByName(fill)
 
 
 def explore_queue(items: DataFrame, scores: DataFrame, votes: DataFrame, users: DataFrame, runs: DataFrame, limit: int = 25, days: int = 7, bar: float = 0.35, as_of: int = 0) -> DataFrame:

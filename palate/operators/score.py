@@ -1,12 +1,14 @@
-"""Scoring: items x users by one join on feature names, shrunk by evidence.
+"""Scoring: items x users, shrunk by evidence.
 
-The heavy join is features with weights. Features that stand in nearly every item (bias, title style, top-level
-domains) would make hot keys, so each user's weights for them travel as one small map beside the user's model, and
-only content features join by name.
+A join of features with weights makes a row for each feature that an item and a user share, and features that stand in
+nearly every item are its hot keys. Where the whole grid of items and users is wanted, blocks of items meet blocks of
+users instead, and each pair of blocks is a small dense product; ``score_pairs`` joins by name for given pairs.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,51 +56,86 @@ def score_pairs(pairs: DataFrame, features: DataFrame, weights: DataFrame, count
     return out.withColumn("s", s).select(*pairs.columns, "s.z", "s.raw", "s.coverage", "s.confidence", "s.score")
 
 
-def is_dense(feature: Column) -> Column:
-    """Features that nearly every item has: their weights are kept beside the model, not joined by name."""
-    return (feature == "__bias__") | feature.startswith("t:") | feature.startswith("tld:")
+#: Stories and users of a block: what one group of the grid holds at most.
+STORIES, USERS = 4096, 256
+_GRID = "user_id long, story_id long, z double, known double, mass double, rev long, n_votes long, n_pos long, n_neg long"
+
+
+def _score_block(fs: pd.DataFrame, ws: pd.DataFrame) -> pd.DataFrame:
+    """All users of ``ws`` times all stories of ``fs``: sums of value * weight, of known and of all content values."""
+    codes, names = pd.factorize(fs["feature"])
+    story, stories = pd.factorize(fs["story_id"])
+    order = np.argsort(story, kind="stable")
+    codes, story = codes[order], story[order]
+    value = fs["value"].to_numpy()[order]
+    content = value * fs["content"].to_numpy()[order]
+    begins = np.flatnonzero(np.diff(story, prepend=-1))
+    mass = np.add.reduceat(content, begins)
+    feature = pd.Index(names).get_indexer(ws["feature"])
+    user, users = pd.factorize(ws["user_id"])
+    weight = ws["weight"].to_numpy()
+    counts = ws.groupby(user)[["rev", "n_votes", "n_pos", "n_neg"]].first()
+    out = []
+    for low in range(0, len(users), 32):
+        high = min(low + 32, len(users))
+        some = (user >= low) & (user < high) & (feature >= 0)
+        w, seen = np.zeros((len(names), high - low)), np.zeros((len(names), high - low))
+        w[feature[some], user[some] - low] = weight[some]
+        seen[feature[some], user[some] - low] = 1.0
+        z = np.add.reduceat(w[codes] * value[:, None], begins, axis=0)
+        known = np.add.reduceat(seen[codes] * content[:, None], begins, axis=0)
+        n = high - low
+        columns = {"user_id": np.tile(users[low:high], len(stories)), "story_id": np.repeat(stories, n)}
+        columns |= {"z": z.ravel(), "known": known.ravel(), "mass": np.repeat(mass, n)}
+        columns |= {c: np.tile(counts[c].to_numpy()[low:high], len(stories)) for c in counts}
+        out.append(pd.DataFrame(columns))
+    return pd.concat(out)
+
+
+def _grid(features: DataFrame, weights: DataFrame, runs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Scores of every (story, user) in ``blocks`` (sb, ub): stories and users meet block by block, each block a small
+    dense product, so no join row is made for a feature that a story and a user share. An id range bounds a block,
+    whatever is frequent; a user whose model is empty still has a row."""
+    f = features.select(
+        F.floor(F.col("story_id") / STORIES).alias("sb"), "story_id", "feature", "value",
+        is_content(F.col("feature")).cast("double").alias("content"),
+    )
+    models = runs.select("user_id", *(F.col(c).cast("long").alias(c) for c in ("rev", "n_votes", "n_pos", "n_neg")))
+    w = models.join(weights.select("user_id", "feature", "weight"), "user_id", "left").withColumn(
+        "ub", F.floor(F.col("user_id") / USERS)
+    )
+    left = f.join(blocks, "sb").groupBy("sb", "ub")
+    right = w.join(blocks, "ub").groupBy("sb", "ub")
+    grid = left.cogroup(right).applyInPandas(lambda fs, ws: _score_block(fs, ws) if len(fs) and len(ws) else _NONE, _GRID)
+    s = evidence(F.col("z"), F.col("known"), F.col("mass"), F.col("n_votes"), F.col("n_pos"), F.col("n_neg"))
+    return grid.withColumn("s", s).select(
+        "user_id", "story_id", "s.score", "s.confidence", F.col("rev").cast("int").alias("model_rev")
+    )
+
+
+_NONE = pd.DataFrame({c.split()[0]: [] for c in _GRID.split(", ")})
+
+
+def _blocks(ids: DataFrame, column: str, size: int, name: str) -> DataFrame:
+    return ids.select(F.floor(F.col(column) / size).alias(name)).distinct()
 
 
 def rescore_all(features: DataFrame, weights: DataFrame, runs: DataFrame) -> DataFrame:
-    """Every item for every user with a model: (user_id, story_id, score, confidence, model_rev).
-
-    Items carry their dense features as a map, users their weights for them, so those meet in the users x items grid
-    that the result needs anyway; content features meet in a hash join on their names, summed before the grid.
-    """
-    f = features.withColumn("dense", is_dense(F.col("feature")))
-    items = f.groupBy("story_id").agg(
-        F.collect_list(F.when(F.col("dense"), F.struct("feature", "value"))).alias("fs"),
-        F.sum(F.when(is_content(F.col("feature")), F.col("value")).otherwise(0.0)).alias("mass"),
-    )
-    content = f.where("not dense").select("story_id", "feature", "value")
-    sums = content.join(weights.where(~is_dense(F.col("feature"))).select("user_id", "feature", "weight"), "feature")
-    sums = sums.groupBy("user_id", "story_id").agg(
-        F.sum(F.col("value") * F.col("weight")).alias("z"), F.sum("value").alias("known")
-    )
-    own = weights.where(is_dense(F.col("feature"))).groupBy("user_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("ws")
-    )
-    users = runs.select("user_id", "rev", "n_votes", "n_pos", "n_neg").join(own, "user_id")
-    grid = items.crossJoin(users).join(sums, ["user_id", "story_id"], "left")
-    value = lambda x: x["value"]
-    w = lambda x: F.try_element_at("ws", x["feature"])
-    zero = F.lit(0.0)
-    dense = F.aggregate("fs", zero, lambda a, x: a + value(x) * F.coalesce(w(x), zero))
-    top = F.aggregate("fs", zero, lambda a, x: a + F.when(x["feature"].startswith("tld:") & w(x).isNotNull(), value(x)).otherwise(0.0))
-    s = evidence(
-        F.coalesce("z", zero) + dense, F.coalesce("known", zero) + top, F.col("mass"), F.col("n_votes"), F.col("n_pos"), F.col("n_neg")
-    )
-    return grid.withColumn("s", s).select("user_id", "story_id", "s.score", "s.confidence", F.col("rev").alias("model_rev"))
+    """Every item for every user with a model: (user_id, story_id, score, confidence, model_rev). The grid is the result,
+    and is never shuffled."""
+    blocks = _blocks(features, "story_id", STORIES, "sb").crossJoin(_blocks(runs, "user_id", USERS, "ub"))
+    return _grid(features, weights, runs, blocks)
 
 
 def score_missing(items: DataFrame, features: DataFrame, scores: DataFrame, weights: DataFrame, runs: DataFrame) -> DataFrame:
-    """Scores for user-item pairs that have none under the user's current revision; users without a model are skipped."""
+    """Scores for user-item pairs that have none under the user's current revision; users without a model are skipped.
+    Only items and blocks that lack something are scored."""
     fresh = runs.select("user_id", F.col("rev").alias("model_rev"))
     have = scores.join(fresh, ["user_id", "model_rev"], "left_semi").select("user_id", "story_id")
     lack = items.select("story_id").crossJoin(runs.select("user_id")).join(have, ["user_id", "story_id"], "left_anti")
-    # items that some user lacks are scored in one job, then cut to the pairs that lack
+    blocks = lack.select(F.floor(F.col("story_id") / STORIES).alias("sb"), F.floor(F.col("user_id") / USERS).alias("ub"))
     some = features.join(lack.select("story_id").distinct(), "story_id", "left_semi")
-    return rescore_all(some, weights, runs).join(lack, ["user_id", "story_id"], "left_semi")
+    return _grid(some, weights, runs, blocks.distinct()).join(lack, ["user_id", "story_id"], "left_semi")
 
 
 def contributions(pairs: DataFrame, features: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
