@@ -18,6 +18,7 @@ class FitOptions:
     lr: float = 0.35
     l2: float = 2e-4
     min_count: int = 1
+    seed: int = 20260824
 
 
 def vocabulary(examples: DataFrame, features: DataFrame, min_count: int = 1) -> DataFrame:
@@ -56,59 +57,123 @@ def cv_folds(examples: DataFrame, k: int = 5) -> DataFrame:
     ).drop("rn")
 
 
-def _fit(x: np.ndarray, y: np.ndarray, options: FitOptions) -> np.ndarray:
-    """Full-batch AdaGrad on the balanced logistic loss; the penalty of a feature grows with the examples it is in."""
-    n, pos = len(y), int(y.sum())
-    weight = np.where(y == 1, n / (2 * pos) if pos else 1.0, n / (2 * (n - pos)) if n > pos else 1.0)
-    l2 = options.l2 * max(200 / n, 1.0) * (x != 0).sum(axis=0)
-    w, squares = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
-    for _ in range(options.epochs):
-        error = weight * (1 / (1 + np.exp(-np.clip(x @ w, -500, 500))) - y)
-        grad = x.T @ error + l2 * w
-        squares += grad * grad
-        w -= options.lr / np.sqrt(squares) * grad
+def _draws(seed: int, count: int) -> np.ndarray:
+    """The first numbers in [0, 1) of the 32-bit counter generator called mulberry32."""
+    # fixed values: the increment, the odd masks and the shifts of that generator
+    a = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x6D2B79F5) + np.uint64(seed)
+    a = a.astype(np.uint32)
+    t = (a ^ a >> np.uint32(15)) * (a | np.uint32(1))
+    t ^= t + (t ^ t >> np.uint32(7)) * (t | np.uint32(61))
+    return (t ^ t >> np.uint32(14)) / 4294967296.0
+
+
+def _orders(n: int, options: FitOptions) -> np.ndarray:
+    """The order in which each epoch visits n examples: one shuffle after another of the same list."""
+    draws = iter(_draws(options.seed, options.epochs * max(n - 1, 0)).tolist())
+    order, out = list(range(n)), np.zeros((options.epochs, n), dtype=np.int64)
+    for epoch in range(options.epochs):
+        for i in range(n - 1, 0, -1):
+            j = int(next(draws) * (i + 1))
+            order[i], order[j] = order[j], order[i]
+        out[epoch] = order
+    return out
+
+
+def _train(model: np.ndarray, label: np.ndarray, ends: np.ndarray, slot: np.ndarray, value: np.ndarray, options: FitOptions) -> np.ndarray:
+    """Weights of many models at once. Examples are sorted by ``model`` (numbered from 0); example i has the features
+    ``slot`` and ``value`` before ``ends[i]``, and no two models share a slot.
+
+    Each model follows the per-example rule: AdaGrad on the class-balanced logistic loss, one example after another in
+    its seeded order, the penalty on the example's own features only. Models are independent, so step s takes the s-th
+    example of every model that has one.
+    """
+    n = np.bincount(model)
+    pos = np.bincount(model, weights=label)
+    weight = np.where(label == 1, (n / (2 * pos))[model], (n / (2 * (n - pos)))[model])
+    l2 = options.l2 * np.maximum(200 / n, 1.0)
+    by_size = np.argsort(-n, kind="stable")
+    orders = {size: _orders(int(size), options) for size in np.unique(n)}
+    first = (np.cumsum(n) - n)[by_size]
+    steps = np.full((options.epochs, n.max(), len(n)), -1, dtype=np.int64)
+    for at, m in enumerate(by_size):
+        steps[:, : n[m], at] = orders[n[m]] + first[at]
+    begins = np.concatenate(([0], ends[:-1]))
+    w, squares = np.zeros(slot.max() + 1), np.full(slot.max() + 1, 1e-8)
+    active = [int((n > s).sum()) for s in range(n.max())]
+    for epoch in steps:
+        for rows, many in zip(epoch, active, strict=True):
+            rows = rows[:many]
+            lengths = ends[rows] - begins[rows]
+            at = np.cumsum(lengths) - lengths
+            entries = np.arange(int(lengths.sum())) + np.repeat(begins[rows] - at, lengths)
+            i, x = slot[entries], value[entries]
+            own = w[i]
+            z = np.add.reduceat(own * x, at)
+            error = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -700, 700))) - label[rows])
+            grad = np.repeat(error, lengths) * x + np.repeat(l2[model[rows]], lengths) * own
+            squares[i] += grad * grad
+            w[i] = own - options.lr / np.sqrt(squares[i]) * grad
     return np.round(w, 6)
 
 
+FIT = "user_id long, fold int, idx long, feature string, weight double, support long"
+#: Examples trained together in one group; a model with more has a group of its own.
+TOGETHER = 16_384
+
+
 def fit_grouped(examples: DataFrame, features: DataFrame, options: FitOptions = FitOptions(), folds: bool = True) -> DataFrame:
     """Weights of every trainable user: (user_id, fold, idx, feature, weight, support). Fold -1 is trained on all of a
     user's examples; with ``folds``, examples need a ``fold`` column and each fold gets a model trained without it.
 
-    A group holds one user's votes. Users whose labels are all alike, and folds that leave one class, have no rows.
+    A group holds models of about equal size, about TOGETHER examples of them, in sparse arrays: what it needs grows
+    with the features its examples have. The rule visits a model's examples one after another, so one user's votes
+    stand in one task, about a kilobyte each. Users whose labels are all alike, and folds that leave one class, have
+    no rows. The same examples give the same weights.
     """
-    rows = examples.join(features, "story_id").groupBy("user_id", "story_id", "ord", "label", *(["fold"] if folds else [])).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "feature", "value"))).alias("fs")
+    base = examples.select("user_id", "story_id", "ord", "label", F.col("fold").cast("int") if folds else F.lit(None).cast("int").alias("fold"))
+    all_ = F.array(F.lit(-1))
+    if folds:
+        most = F.max("fold").over(Window.partitionBy("user_id"))
+        held = F.filter(F.sequence(F.lit(0), F.col("most")), lambda k: k != F.col("fold"))
+        all_ = F.concat(all_, F.when(F.col("fold").isNotNull(), held).otherwise(F.array().cast("array<int>")))
+        base = base.withColumn("most", F.coalesce(most, F.lit(0)))
+    rows = base.select("user_id", "story_id", "ord", "label", F.explode(all_).alias("fold"))
+    sizes = rows.groupBy("user_id", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    sizes = sizes.where("pos > 0 and pos < n").withColumn("size", F.floor(F.log2("n")))
+    # a row for each power of two
+    classes = sizes.groupBy("size").agg(F.ceil(F.sum("n") / TOGETHER).alias("groups"))
+    sizes = sizes.join(F.broadcast(classes), "size").select(
+        "user_id", "fold", "size", F.pmod(F.xxhash64("user_id", "fold"), "groups").alias("part")
     )
-    rows = rows if folds else rows.withColumn("fold", F.lit(None).cast("int"))
+    rows = rows.join(sizes, ["user_id", "fold"]).join(features, "story_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "story_id"])
-        index: dict[str, int] = {}
-        for fs in pdf["fs"]:
-            for f in fs:
-                index.setdefault(f["feature"], len(index))
-        x = np.zeros((len(pdf), len(index)))
-        for i, fs in enumerate(pdf["fs"]):
-            for f in fs:
-                x[i, index[f["feature"]]] = f["value"]
-        y = pdf["label"].to_numpy(dtype=float)
-        fold = pdf["fold"].fillna(-1).to_numpy(dtype=int)
-        names, out = np.array(list(index)), []
-        for k in (-1, *sorted(set(fold) - {-1})):
-            train = fold != k if k >= 0 else np.ones(len(y), dtype=bool)
-            if not 0 < y[train].sum() < train.sum():
-                continue
-            support = (x[train] != 0).sum(axis=0)
-            use = np.flatnonzero((support >= options.min_count) | (names == "__bias__"))
-            w = _fit(x[train][:, use], y[train], options)
-            out.append(pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "fold": k, "idx": np.arange(len(use)), "feature": names[use], "weight": w, "support": support[use]}))
-        if not out:
-            return pd.DataFrame({"user_id": [], "fold": [], "idx": [], "feature": [], "weight": [], "support": []})
-        return pd.concat(out)
-
-    return rows.groupBy("user_id").applyInPandas(
-        run, "user_id long, fold int, idx long, feature string, weight double, support long"
-    )
+        pdf = pdf.sort_values(["user_id", "fold", "ord", "story_id", "pos"], kind="stable")
+        code, _ = pd.factorize(pdf["user_id"].to_numpy() * 1024 + pdf["fold"].to_numpy() + 1)
+        name, names = pd.factorize(pdf["feature"])
+        own = code * len(names) + name
+        if options.min_count > 1:
+            _, back, times = np.unique(own, return_inverse=True, return_counts=True)
+            keep = (times[back] >= options.min_count) | (pdf["feature"].to_numpy() == "__bias__")
+            pdf, code, own = pdf[keep], code[keep], own[keep]
+        slot, slots = pd.factorize(own)
+        new = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(pdf["ord"].to_numpy(), prepend=-1))
+        ends = np.append(new[1:], len(pdf))
+        w = _train(code[new], pdf["label"].to_numpy(dtype=float)[new], ends, slot, pdf["value"].to_numpy(), options)
+        at = np.flatnonzero(np.diff(np.maximum.accumulate(slot), prepend=-1))
+        of = code[at]
+        return pd.DataFrame(
+            {
+                "user_id": pdf["user_id"].to_numpy()[at],
+                "fold": pdf["fold"].to_numpy()[at],
+                "idx": np.arange(len(slots)) - np.searchsorted(of, of),
+                "feature": names[slots % len(names)],
+                "weight": w,
+                "support": np.bincount(slot),
+            }
+        )
+
+    return rows.groupBy("size", "part").applyInPandas(run, FIT)
 
 
 def fit_pooled(examples: DataFrame, features: DataFrame, options: FitOptions = FitOptions()) -> DataFrame:
@@ -133,7 +198,7 @@ def fit_pooled(examples: DataFrame, features: DataFrame, options: FitOptions = F
     arrays = pairs.groupBy("story_id", "label").agg(F.array_sort(F.collect_list(F.struct("slot", "v"))).alias("e"))
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    @F.udf(VectorUDT())
+    @F.udf(VectorUDT(), useArrow=True)
     def vector(e):
         return SparseVector(slots, [x["slot"] for x in e], [x["v"] for x in e])
 
