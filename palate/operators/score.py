@@ -23,8 +23,9 @@ def is_content(feature: Column) -> Column:
 
 
 def evidence(z: Column, known: Column, mass: Column, n: Column, pos: Column, neg: Column) -> Column:
-    """Struct (z, raw, coverage, confidence, score), rounded to nine places so that rankings and limits agree whatever
-    the order of summation."""
+    """Struct (z, raw, coverage, confidence, score). Sums are rounded before they are used and results after, so that
+    rankings and limits agree whatever the order of summation."""
+    z, known, mass = F.round(z, 9), F.round(known, 6), F.round(mass, 6)
     coverage = F.when(mass > 0, known / mass).otherwise(0.0)
     volume = F.least(n / F.lit(FULL_VOTES), F.lit(1.0))
     balance = F.least(F.least(pos, neg) / F.lit(FULL_CLASS), F.lit(1.0))

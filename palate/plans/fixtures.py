@@ -14,24 +14,48 @@ from palate.operators.votes import fold_votes, labelled_examples, training_gate
 AS_OF = 1706659200
 
 
+def kept(make):
+    """A derived table: read where ``Tables.store`` has written it for this folder, else made."""
+
+    def table(self: Tables) -> DataFrame:
+        if (at := self.stored.get(self.dir)) and self.making != make.__name__:
+            return self.spark.read.parquet(f"{at}/{make.__name__}")
+        return make(self)
+
+    return table
+
+
 class Tables:
-    """Tables of one scale folder, each made on first use."""
+    """Tables of one scale folder, each made on first use. A title is the first line of a document."""
+
+    stored: dict[str, str] = {}
+    making: str | None = None
+    KEPT = ("items", "votes", "features", "examples", "model", "runs", "scores")
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def store(self, path: str) -> None:
+        """Write the derived tables that most operators start from, as an engine keeps them, and read them from there."""
+        self.stored[self.dir] = path
+        for name in self.KEPT:
+            self.making = name
+            getattr(self, name)().write.parquet(f"{path}/{name}")
+        self.making = None
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def sizes(self) -> tuple[int, int, int]:
         return tuple(self.raw(n).count() for n in ("documents", "pages", "events"))
 
+    @kept
     def items(self) -> DataFrame:
         nd, np_, ne = self.sizes()
         docs = self.raw("documents").select(
             "doc_id",
             (F.col("doc_id") + 1).alias("story_id"),
-            F.substring(F.trim(F.substring_index("text", "\n", 1)), 1, 120).alias("title"),
+            F.trim(F.substring_index("text", "\n", 1)).alias("title"),
             F.col("source").alias("author"),
             F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % np_).alias("page_id"),
         )
@@ -71,18 +95,28 @@ class Tables:
             value = F.when(F.col("event_id") % 97 != 0, value)
         return e.select("user_id", (F.col("doc_id") + 1).alias("story_id"), value.alias("value"), "ts", "event_id")
 
+    @kept
     def votes(self) -> DataFrame:
         return fold_votes(self.vote_events())
 
+    @kept
     def features(self) -> DataFrame:
         return featurize(self.items())
 
+    @kept
     def examples(self) -> DataFrame:
         return labelled_examples(self.votes(), self.items())
 
+    @kept
+    def model(self) -> DataFrame:
+        return self._weights(0)
+
     def weights(self, drop: int = 0) -> DataFrame:
         """A fixture model, not a trained one: log odds of up and down votes on a feature. ``drop`` leaves out that many
         of each user's first examples, which gives a second revision."""
+        return self._weights(drop) if drop else self.model()
+
+    def _weights(self, drop: int) -> DataFrame:
         rows = self.examples().where(F.col("ord") >= drop).join(self.features(), "story_id")
         up, down = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
         w = rows.groupBy("user_id", "feature").agg(
@@ -92,6 +126,7 @@ class Tables:
 
         return w.withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("feature")) - 1)
 
+    @kept
     def runs(self) -> DataFrame:
         """Current models of all users past the training gate."""
         n = self.examples().groupBy("user_id").agg(
@@ -100,6 +135,7 @@ class Tables:
         gate = training_gate(self.votes()).where("trainable").select("user_id")
         return n.join(gate, "user_id").withColumns({"rev": F.lit(2), "trained_at": F.lit(AS_OF - 86_400 * 3).cast("long")})
 
+    @kept
     def scores(self) -> DataFrame:
         return rescore_all(self.features(), self.weights(), self.runs())
 

@@ -194,7 +194,7 @@ def _(t: Tables) -> DataFrame:
     return t.history().select("user_id", "story_id", "model_rev", F.round(scalars.reveal_strength(c), 6).alias("strength"), scalars.reveal_band(c).alias("band"))
 
 
-@query("b9_new_signals", f"""WITH {s.MODEL}, j AS (SELECT user_id, story_id FROM votes WHERE story_id % 9 = 0),
+@query("b9_new_signals", f"""WITH {s.MODEL}, j AS (SELECT user_id, story_id FROM votes),
     f AS (SELECT j.user_id, j.story_id, feature, pos FROM j JOIN features USING (story_id) WHERE {s.CONTENT} AND NOT EXISTS
     (SELECT 1 FROM weights w WHERE w.user_id = j.user_id AND w.feature = features.feature AND w.feature NOT LIKE 'w:%e%')),
     l AS (SELECT *, {s.label_sql()} AS label, row_number() OVER (PARTITION BY user_id, story_id ORDER BY
@@ -204,7 +204,7 @@ def _(t: Tables) -> DataFrame:
     n AS (SELECT user_id, story_id, count(*) AS total FROM f GROUP BY 1, 2)
     SELECT user_id, story_id, total, string_agg(label, '|' ORDER BY n) FILTER (n <= 3) AS labels FROM e JOIN n USING (user_id, story_id) GROUP BY 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
-    return votes.new_signals(t.votes().where("story_id % 9 = 0"), t.features(), t.weights().where("feature not like 'w:%e%'"))
+    return votes.new_signals(t.votes(), t.features(), t.weights().where("feature not like 'w:%e%'"))
 
 
 @query("b10_retrain_candidates", f"""WITH {s.VOTES},{s.RUN_LOG} SELECT v.user_id, max(updated_at) AS last_vote_at, last_train_at FROM votes v
@@ -224,25 +224,25 @@ def _(t: Tables) -> DataFrame:
 # --- C: text --------------------------------------------------------------------------------------
 
 
-@query("c1_fold_text", f"WITH {s.ITEMS} SELECT story_id, {s.fold_sql('title')} AS folded FROM items")
+@query("c1_fold_text", f"SELECT doc_id, {s.fold_sql('text')} AS folded FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.items().select("story_id", text.fold_text(F.col("title")).alias("folded"))
+    return t.raw("documents").select("doc_id", text.fold_text(F.col("text")).alias("folded"))
 
 
-@query("c2_tokenize", f"WITH {s.ITEMS} SELECT story_id, array_to_string({s.tokens_sql('title')}, ' ') AS tokens FROM items")
+@query("c2_tokenize", f"SELECT doc_id, array_to_string({s.tokens_sql('text')}, ' ') AS tokens FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.items().select("story_id", F.array_join(text.tokenize(F.col("title")), " ").alias("tokens"))
+    return t.raw("documents").select("doc_id", F.array_join(text.tokenize(F.col("text")), " ").alias("tokens"))
 
 
-@query("c3_stem", f"WITH {s.ITEMS}, w AS (SELECT DISTINCT unnest({s.tokens_sql('title')}) AS word FROM items) SELECT word, {s.stem_sql('word')} AS stem FROM w")
+@query("c3_stem", f"WITH w AS (SELECT DISTINCT unnest({s.tokens_sql('text')}) AS word FROM documents) SELECT word, {s.stem_sql('word')} AS stem FROM w")
 def _(t: Tables) -> DataFrame:
-    words = t.items().select(F.explode(text.tokenize(F.col("title"))).alias("word")).distinct()
+    words = t.raw("documents").select(F.explode(text.tokenize(F.col("text"))).alias("word")).distinct()
     return words.select("word", text.stem(F.col("word")).alias("stem"))
 
 
-@query("c4_drop_stopwords", f"WITH {s.ITEMS} SELECT story_id, len(list_filter({s.tokens_sql('title')}, lambda w: w NOT IN {s.STOPS})) AS kept FROM items")
+@query("c4_drop_stopwords", f"SELECT doc_id, len(list_filter({s.tokens_sql('text')}, lambda w: w NOT IN {s.STOPS})) AS kept FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.items().select("story_id", F.size(text.drop_stopwords(text.tokenize(F.col("title")))).cast("long").alias("kept"))
+    return t.raw("documents").select("doc_id", F.size(text.drop_stopwords(text.tokenize(F.col("text")))).cast("long").alias("kept"))
 
 
 def _family(name: str, where: str) -> None:
@@ -286,10 +286,10 @@ def _(t: Tables) -> DataFrame:
     return t.features().select("feature").distinct().select("feature", d["kind"].alias("kind"), d["label"].alias("label"))
 
 
-@query("c16_search_literal", f"WITH {s.ITEMS} SELECT story_id, contains(lower(title), 'the ') AS plain, contains(lower(title), '100%_') AS odd FROM items")
+@query("c16_search_literal", "SELECT doc_id, contains(lower(text), 'the ') AS plain, contains(lower(text), '100%_') AS odd FROM documents")
 def _(t: Tables) -> DataFrame:
-    c = F.col("title")
-    return t.items().select("story_id", text.search_literal(c, "The ").alias("plain"), text.search_literal(c, "100%_").alias("odd"))
+    c = F.col("text")
+    return t.raw("documents").select("doc_id", text.search_literal(c, "The ").alias("plain"), text.search_literal(c, "100%_").alias("odd"))
 
 
 # --- D: scalars -----------------------------------------------------------------------------------
@@ -398,20 +398,20 @@ def _(t: Tables) -> DataFrame:
     return model.fit_pooled(ex, t.features())
 
 
-@query("e5_score_features", f"WITH {s.SCORED} SELECT user_id, story_id, score, confidence FROM scores WHERE story_id % 4 = 0")
+@query("e5_score_features", f"WITH {s.SCORED} SELECT user_id, story_id, score, confidence FROM scores")
 def _(t: Tables) -> DataFrame:
     users = t.runs().select("user_id")
-    pairs = t.items().where("story_id % 4 = 0").select("story_id").crossJoin(users)
+    pairs = t.items().select("story_id").crossJoin(users)
     out = score.score_pairs(pairs, t.features(), t.weights(), t.runs(), ["user_id"])
     return out.select("user_id", "story_id", "score", "confidence")
 
 
 @query("e6_contributions", f"""WITH {s.MODEL}, c AS (SELECT w.user_id, f.story_id, f.feature, f.pos, round(f.value * w.weight, 9) AS effect, support
-    FROM votes v JOIN features f ON f.story_id = v.story_id JOIN weights w ON w.user_id = v.user_id AND w.feature = f.feature WHERE f.feature <> '__bias__' AND v.story_id % 7 = 0)
+    FROM votes v JOIN features f ON f.story_id = v.story_id JOIN weights w ON w.user_id = v.user_id AND w.feature = f.feature WHERE f.feature <> '__bias__')
     SELECT user_id, story_id, rank, feature, {s.kind_sql()} AS kind, {s.label_sql()} AS label, effect, support FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id, story_id ORDER BY abs(effect) DESC, pos) AS rank FROM c WHERE effect <> 0) WHERE rank <= 10""")
 def _(t: Tables) -> DataFrame:
-    out = score.contributions(t.votes().where("story_id % 7 = 0"), t.features(), t.weights())
+    out = score.contributions(t.votes(), t.features(), t.weights())
     return out
 
 
@@ -437,7 +437,7 @@ def _(t: Tables) -> DataFrame:
     return model.cv_folds(t.examples()).select("user_id", "story_id", "label", "k", "fold")
 
 
-@query("e9_cv_metrics", f"""WITH {FOLDS},{s.HISTORY}, h AS (SELECT f.user_id, fold, label, round(score, 2) AS score FROM folds f JOIN history h ON h.user_id = f.user_id AND h.story_id = f.story_id AND model_rev = 1 WHERE fold IS NOT NULL),
+@query("e9_cv_metrics", f"""WITH {FOLDS},{s.HISTORY}, h AS (SELECT f.user_id, fold, label, score FROM folds f JOIN history h ON h.user_id = f.user_id AND h.story_id = f.story_id AND model_rev = 1 WHERE fold IS NOT NULL),
     m AS (SELECT *, CASE WHEN (score >= 0.5) = (label = 1) THEN 1.0::DOUBLE ELSE 0 END AS ok, least(greatest(score, 1e-9), 1 - 1e-9) AS p FROM h),
     fa AS (SELECT user_id, count(*) AS folds, coalesce(stddev_samp(a), 0) AS sd FROM (SELECT user_id, fold, avg(ok) AS a FROM m GROUP BY 1, 2) GROUP BY 1),
     rk AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY score) + (count(*) OVER (PARTITION BY user_id, score) - 1) / 2.0::DOUBLE AS r FROM m),
@@ -447,7 +447,7 @@ def _(t: Tables) -> DataFrame:
     round(log_loss, 6) AS log_loss, round(greatest(sd, sqrt(((c + 2) / (n + 4)) * (1 - (c + 2) / (n + 4)) / (n + 4))), 6) AS noise FROM g JOIN fa USING (user_id)""")
 def _(t: Tables) -> DataFrame:
     f = model.cv_folds(t.examples()).where("fold is not null")
-    held = f.join(t.oof().where("model_rev = 1"), ["user_id", "story_id"]).select("user_id", "fold", "label", F.round("score", 2).alias("score"))
+    held = f.join(t.oof().where("model_rev = 1"), ["user_id", "story_id"]).select("user_id", "fold", "label", "score")
     return model.cv_metrics(held).select("user_id", "folds", "n", *r6("accuracy", "baseline", "auc", "log_loss", "noise"))
 
 
@@ -537,11 +537,10 @@ def _(t: Tables) -> DataFrame:
     return out.select("user_id", "story_id", "score")
 
 
-@query("f3_score_missing_all", f"WITH {s.SCORED} SELECT user_id, story_id, score FROM scores WHERE story_id % 10 = 0 AND user_id % 3 <> 0")
+@query("f3_score_missing_all", f"WITH {s.SCORED} SELECT user_id, story_id, score FROM scores")
 def _(t: Tables) -> DataFrame:
-    some, runs = t.items().where("story_id % 10 = 0"), t.runs().where("user_id % 3 <> 0")
-    none = some.select(F.lit(0).cast("long").alias("user_id"), "story_id", F.lit(0).alias("model_rev")).limit(0)
-    out = score.score_missing(some, features.featurize(some), none, t.weights(), runs)
+    none = t.items().select(F.lit(0).cast("long").alias("user_id"), "story_id", F.lit(0).alias("model_rev")).limit(0)
+    out = score.score_missing(t.items(), t.features(), none, t.weights(), t.runs())
     return out.select("user_id", "story_id", "score")
 
 

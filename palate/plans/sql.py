@@ -30,7 +30,7 @@ def day_sql(seconds: str) -> str:
 ITEMS = f"""{COUNTS},
 sums AS (SELECT event_id % (SELECT nd FROM cnt) AS doc_id, CAST(floor(sum(CAST(value AS DECIMAL(18,6))) / 12) AS BIGINT) AS points,
          CAST(floor(sum(k) / 24) AS BIGINT) AS num_comments FROM ev GROUP BY 1),
-items AS (SELECT d.doc_id + 1 AS story_id, substring(trim(string_split(d.text, chr(10))[1]), 1, 120) AS title, p.url,
+items AS (SELECT d.doc_id + 1 AS story_id, trim(string_split(d.text, chr(10))[1]) AS title, p.url,
           {domain_sql("p.url")} AS domain, d.source AS author, coalesce(s.points, 0) AS points,
           coalesce(s.num_comments, 0) AS num_comments, e.ts AS created_at, {day_sql("e.ts")} AS day
           FROM documents d CROSS JOIN cnt JOIN ev e ON e.event_id = d.doc_id * (cnt.ne // cnt.nd)
@@ -126,8 +126,8 @@ runs AS (SELECT e.user_id, count(*) AS n_votes, count(*) FILTER (label = 1) AS n
 CONTENT = "feature <> '__bias__' AND NOT starts_with(feature, 't:')"
 
 SCORES = f"""
-mass AS (SELECT story_id, coalesce(sum(value) FILTER ({CONTENT}), 0) AS mass FROM features GROUP BY 1),
-zs AS (SELECT w.user_id, f.story_id, sum(f.value * w.weight) AS z, coalesce(sum(f.value) FILTER ({CONTENT.replace("feature", "f.feature")}), 0) AS known
+mass AS (SELECT story_id, round(coalesce(sum(value) FILTER ({CONTENT}), 0), 6) AS mass FROM features GROUP BY 1),
+zs AS (SELECT w.user_id, f.story_id, round(sum(f.value * w.weight), 9) AS z, round(coalesce(sum(f.value) FILTER ({CONTENT.replace("feature", "f.feature")}), 0), 6) AS known
        FROM features f JOIN weights w ON w.feature = f.feature GROUP BY 1, 2),
 parts AS (SELECT r.user_id, m.story_id, r.rev, coalesce(z, 0) AS z, CASE WHEN mass > 0 THEN coalesce(known, 0) / mass ELSE 0 END AS coverage,
           least(n_votes / 40.0::DOUBLE, 1) * least(least(n_pos, n_neg) / 8.0::DOUBLE, 1) AS sure
