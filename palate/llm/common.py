@@ -7,6 +7,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,10 +157,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """What is written meanwhile frees its shuffle files when it ends; else they lie until the driver happens to collect
+    its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors, runs the plan once."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._palate_path = path
     return out
@@ -183,7 +198,8 @@ def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared_path(spark, name)
     table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, by).write.bucketBy(n, by).sortBy(by).format("parquet").option("path", path).saveAsTable(table)
+    with shuffles_freed(spark):
+        df.repartition(n, by).write.bucketBy(n, by).sortBy(by).format("parquet").option("path", path).saveAsTable(table)
     out = spark.table(table)
     out._palate_path, out._palate_table = path, table
     return out
