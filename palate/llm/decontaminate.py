@@ -4,7 +4,8 @@ A test item of length m gets an error budget of m // 14 characters. Cut into bud
 must stand unchanged in any passage within the budget. One Aho-Corasick automaton over all pieces of a block of items
 scans each text once; where a piece hits, Myers' bit-parallel distance verifies the whole item against the window
 around it. Texts and items are compared as lower-cased (A-Z) words of ASCII letters, digits and non-ASCII characters
-with single blanks between them.
+with single blanks between them. An item too short for an edit must stand word for word, from one word's begin to
+another's end.
 """
 
 from __future__ import annotations
@@ -15,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palate.llm.common import alnum_words
+from palate.llm.common import alnum_words, materialise
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 14
-#: Items of fewer characters once normalised say too little to accuse a document, and are never matched.
-LEAST_CHARS = 30
 #: Characters of items in a block: what one automaton, sent to every task, is built from.
 BLOCK_CHARS = 2_000_000
 
@@ -109,7 +108,10 @@ class Matcher:
                     j += 1
                 lo, hi = at[i], at[j]
                 i = j + 1
-                if lo == hi and lo >= 0 and text.startswith(p.item, lo):
+                if not p.budget:
+                    bounded = (lo == 0 or text[lo - 1] == " ") and text[lo + p.m : lo + p.m + 1] in ("", " ")
+                    best = (0, lo + p.m) if bounded else None
+                elif lo == hi and lo >= 0 and text.startswith(p.item, lo):
                     best = (0, lo + p.m)
                 else:
                     best = p.search(text, max(0, lo - p.budget), min(len(text), hi + p.m + p.budget))
@@ -123,12 +125,12 @@ def matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """Rows (doc_id, item_id, distance, n_places, last_end): a document and an item found in it, with the smallest
+    """Places of benchmark items: rows (doc_id, item_id, distance, n_places, last_end): a document and an item found in it, with the smallest
     edit distance, the number of places, and where the last one ends in the normalised text.
 
-    Items reach the tasks in blocks of at most ``block_chars`` characters (or one item), a scan of ``docs`` for
-    each block, so what is sent has a bound whatever the benchmark's size. Null, empty and short items (under
-    LEAST_CHARS) match nothing; a null item id is reported as null. Null or empty texts and empty tables give no
+    Items reach the tasks in blocks of about ``block_chars`` characters (or one item), a scan of ``docs`` for
+    each block, so what is sent has a bound whatever the benchmark's size; of several blocks, each is scanned and its
+    rows are written before the next is read. Items without a word match nothing; a null item id is reported as null. Null or empty texts and empty tables give no
     rows. Repeated documents report once each; repeated items of one id are matched as separate texts and merged.
     """
     items = benchmark.select(
@@ -141,7 +143,9 @@ def matches(
     for b in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = [(r["item_id"], normalise(r["text"])) for r in some.collect()]
-        found = _scan(base, [x for x in rows if len(x[1]) >= LEAST_CHARS])
+        found = _scan(base, [x for x in rows if x[1]])
+        if blocks > 1:
+            found = materialise(found, "found")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -172,6 +176,12 @@ def _scan(base: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` (with doc_id and text) without documents in which an item was found. A null id never goes."""
-    hit = matches(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == F.col("__hit"), "left_anti")
+    """``docs`` (with doc_id and text) without documents in which an item was found. Rows that repeat an id go together;
+    a row with a null id goes by its own text."""
+    hit = matches(docs.where("doc_id is not null"), benchmark).select(F.col("doc_id").alias("__hit")).distinct()
+    out = docs.join(hit, docs["doc_id"] == F.col("__hit"), "left_anti")
+    nameless = docs.where("doc_id is null and text is not null").select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+    if nameless.isEmpty():
+        return out
+    bad = matches(nameless, benchmark).select("doc_id").join(nameless, "doc_id").select(F.col("text").alias("__bad")).distinct()
+    return out.join(bad, docs["doc_id"].isNull() & (docs["text"] == F.col("__bad")), "left_anti")

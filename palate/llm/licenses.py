@@ -20,23 +20,38 @@ from palate.llm.common import alnum_words, in_process
 
 #: Determinised states are forgotten beyond this number; they come back when needed.
 MOST_STATES = 100_000
+MARKUP = re.compile(r"<<(beginOptional|endOptional|var;[^>]*)>>")
 
 
 @dataclass(frozen=True)
 class Template:
-    """``base`` templates are plain phrases whose places are counted; ``weight`` is how much a match says, 0 to 1."""
+    """``base`` templates are plain phrases whose places are counted."""
 
     label: str
     text: str
-    weight: float = 0.9
     base: bool = False
 
+    def mandatory(self) -> int:
+        """Words that every text of the template has."""
+        count, inside = 0, 0
+        for i, part in enumerate(MARKUP.split(self.text)):
+            if i % 2:
+                inside += {"beginOptional": 1, "endOptional": -1}.get(part, 0)
+            elif not inside:
+                count += len(alnum_words(part))
+        return count
+
+
+def strength(mandatory: int, span: int) -> float:
+    """How much a match says, 0 to 1: more the more mandatory words it has, less what the markup let in between."""
+    return round(mandatory / (mandatory + 2) * min(1.0, mandatory / span), 6)
+
 
 #: The base phrases and their labels.
 BASE = (
-    Template("cc-by", "cc by", 0.5, True),
-    Template("gpl", "general public license", 0.5, True),
-    Template("reserved", "all rights reserved", 0.5, True),
+    Template("cc-by", "cc by", True),
+    Template("gpl", "general public license", True),
+    Template("reserved", "all rights reserved", True),
 )
 
 _MIT = """permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -61,47 +76,96 @@ copyright notice, this list of conditions and the following disclaimer. <<beginO
 in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
 documentation and/or other materials provided with the distribution."""
 
+_BSD_END = """this software is provided by <<var;name=holder;words=1-12>> "as is" and any express or implied warranties,
+including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are
+disclaimed. in no event shall <<var;name=holder;words=1-12>> be liable for any direct, indirect, incidental, special,
+exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of
+use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract,
+strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if
+advised of the possibility of such damage."""
+
+_BSD_NAMES = """<<beginOptional>>3.<<endOptional>> neither the name of <<var;name=holder;words=1-12>> nor the names of
+<<beginOptional>>its<<endOptional>> contributors may be used to endorse or promote products derived from this software
+without specific prior written permission."""
+
+_APACHE = """licensed under the apache license, version 2.0 (the "license"); you may not use this <<var;name=what;match=file|work|software>>
+except in compliance with the license. you may obtain a copy of the license at <<var;name=p;match=http|https>>
+www.apache.org/licenses/license-2.0 unless required by applicable law or agreed to in writing, software distributed under
+the license is distributed on an "as is" basis, without warranties or conditions of any kind, either express or implied.
+see the license for the specific language governing permissions and limitations under the license."""
+
+_GNU = """this <<var;name=what;match=program|file|library|software|package>> is free software; you can redistribute it and/or
+modify it under the terms of the gnu {name} general public license as published by the free software foundation, either
+version {version} of the license, or (at your option) any later version. <<var;name=what;words=1-4>> is distributed in the
+hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness
+for a particular purpose. see the gnu {name} general public license for more details."""
+
+_MPL = """this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was not
+distributed with this file, you can obtain one at <<var;name=p;match=http|https>> <<beginOptional>>www<<endOptional>>
+mozilla.org/mpl/2.0"""
+
+_ZLIB = """this software is provided as-is, without any express or implied warranty. in no event will the authors be held
+liable for any damages arising from the use of this software. permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions"""
+
+_UNLICENSE = """this is free and unencumbered software released into the public domain. anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means."""
+
+_LESSER = "<<var;name=kind;match=lesser|library>>"
+#: What the parts of a Creative Commons name may be called in full.
+_CC = {
+    "nc": "<<var;name=nc;match=noncommercial|non commercial>>",
+    "sa": "<<var;name=sa;match=sharealike|share alike>>",
+    "nd": "<<var;name=nd;match=noderivatives|noderivs|no derivatives|no derivs>>",
+}
+_VERB = "<<var;name=verb;match=released|licensed|distributed>> under the <<beginOptional>>terms of the<<endOptional>>"
+_PUBLISHED = "<<beginOptional>>as published by the free software foundation either<<endOptional>>"
+
+
+def _creative_commons() -> Iterator[Template]:
+    """Short names, full names and addresses of the attribution licenses."""
+    port = "<<beginOptional>><<var;name=port;match=international|unported|generic>><<endOptional>>"
+    for kind in ((), ("sa",), ("nc",), ("nd",), ("nc", "sa"), ("nc", "nd")):
+        for version in (1, 2, 3, 4):
+            label, short = "-".join(("cc-by", *kind, f"{version}.0")), " ".join(kind)
+            full = " ".join(_CC[k] for k in kind)
+            yield Template(label, f"cc by {short} {version}.0")
+            yield Template(label, f"creative commons attribution {full} {version}.0 {port} <<beginOptional>>public<<endOptional>> license")
+            yield Template(label, f"creativecommons.org/licenses/by {short} {version}.0")
+
+
 #: Templates of the method's own: full texts and the notices that name a license.
 OWN = (
-    Template("mit", _MIT, 1.0),
-    Template("isc", _ISC, 1.0),
-    Template("bsd", _BSD, 1.0),
-    Template("mit", "<<var;name=verb;match=released|licensed|distributed>> under the <<beginOptional>>terms of the<<endOptional>> mit license"),
-    Template(
-        "apache-2.0",
-        "licensed under the apache license <<beginOptional>>,<<endOptional>> <<var;name=v;match=version 2.0|2.0>>",
-    ),
-    Template(
-        "gpl-3.0",
-        "gnu general public license <<beginOptional>>as published by the free software foundation either<<endOptional>>"
-        " <<var;name=v;match=version 3|v3>>",
-    ),
-    Template(
-        "gpl-2.0",
-        "gnu general public license <<beginOptional>>as published by the free software foundation either<<endOptional>>"
-        " <<var;name=v;match=version 2|v2>>",
-    ),
-    Template("lgpl", "gnu <<var;name=kind;match=lesser|library>> general public license"),
+    Template("mit", _MIT),
+    Template("isc", _ISC),
+    Template("bsd", _BSD),
+    Template("bsd-2-clause", f"{_BSD} {_BSD_END}"),
+    Template("bsd-3-clause", f"{_BSD} {_BSD_NAMES} {_BSD_END}"),
+    Template("apache-2.0", _APACHE),
+    Template("gpl-2.0", _GNU.format(name="", version="2")),
+    Template("gpl-3.0", _GNU.format(name="", version="3")),
+    Template("lgpl-2.1", _GNU.format(name=_LESSER, version="2.1")),
+    Template("lgpl-3.0", _GNU.format(name=_LESSER, version="3")),
+    Template("agpl-3.0", _GNU.format(name="affero", version="3")),
+    Template("mpl-2.0", _MPL),
+    Template("zlib", _ZLIB),
+    Template("unlicense", _UNLICENSE),
+    Template("mit", f"{_VERB} mit license"),
+    Template("bsd", f"{_VERB} bsd license"),
+    Template("apache-2.0", "licensed under the apache license <<var;name=v;match=version 2.0|2.0>>"),
+    Template("gpl-3.0", f"gnu general public license {_PUBLISHED} <<var;name=v;match=version 3|v3>>"),
+    Template("gpl-2.0", f"gnu general public license {_PUBLISHED} <<var;name=v;match=version 2|v2>>"),
+    Template("lgpl", f"gnu {_LESSER} general public license"),
     Template("agpl", "gnu affero general public license"),
     Template("mpl-2.0", "mozilla public license <<var;name=v;match=version 2.0|v 2.0|2.0>>"),
-    Template("bsd", "<<var;name=verb;match=released|licensed|distributed>> under the <<beginOptional>>terms of the<<endOptional>> bsd license"),
-    *(
-        Template(f"cc-by{kind}-{version}.0", f"cc by {kind.replace('-', ' ')} {version}.0")
-        for kind in ("", "-sa", "-nc", "-nd", "-nc-sa", "-nc-nd")
-        for version in (1, 2, 3, 4)
-    ),
-    Template(
-        "cc-by-4.0",
-        "creative commons attribution 4.0 international <<beginOptional>>public<<endOptional>> license",
-    ),
+    Template("bsl-1.0", "boost software license <<beginOptional>>version<<endOptional>> 1.0"),
+    *_creative_commons(),
     Template("cc0-1.0", "cc0 1.0 <<beginOptional>>universal<<endOptional>>"),
-    Template(
-        "reserved-notice",
-        "copyright <<beginOptional>>(c)<<endOptional>> <<var;name=holder;words=1-8>> all rights reserved",
-    ),
+    Template("reserved-notice", "copyright <<beginOptional>>(c)<<endOptional>> <<var;name=holder;words=1-8>> all rights reserved"),
 )
 
-MARKUP = re.compile(r"<<(beginOptional|endOptional|var;[^>]*)>>")
 ANY = b"\0any"
 
 
@@ -241,7 +305,7 @@ FIELDS = [
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + OWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, n_base (places of base phrases), first_word and last_word (their smallest
     and largest start, null without one), base_labels and labels (distinct, sorted, joined by commas), score (the
-    largest weight among matched templates, 0 without one) and spans (label, first word, word after the last) of
+    largest ``strength`` of a match, 0 without one) and spans (label, first word, word after the last) of
     every match.
 
     Words are lower-cased (A-Z) runs of ASCII digits, letters and non-ASCII characters. Null and empty texts have no
@@ -255,6 +319,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + OWN, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = in_process(("licenses", templates), lambda: Automaton(templates))
+        mandatory = [t.mandatory() for t in templates]
         for batch in batches:
             cols: list[list] = [[] for _ in FIELDS]
             for text in batch.column(1):
@@ -268,7 +333,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + OWN, id_col:
                     max((a for _, a in base), default=None),
                     ",".join(sorted({x for x, _ in base})),
                     ",".join(sorted({templates[t].label for t, _, _ in found})),
-                    max((templates[t].weight for t, _, _ in found), default=0.0),
+                    max((strength(mandatory[t], z - a) for t, a, z in found), default=0.0),
                     [{"label": templates[t].label, "first": a, "stop": z} for t, a, z in found],
                 )
                 for c, v in zip(cols, row, strict=True):

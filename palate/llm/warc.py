@@ -63,23 +63,65 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return lines[0], headers, payload
 
 
-HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>|<!doctype[^>]*>")
+OPENS = re.compile(r"<!--|<(script|style|noscript|template|head)\b|<!doctype", re.IGNORECASE)
+CLOSES = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "noscript", "template", "head", "title")}
 BREAKS = re.compile(r"(?i)<(?:/?(?:p|div|section|article|header|footer|main|nav|aside|ul|ol|li|table|tr|h[1-6]|blockquote|pre|form|dl|dt|dd|figure)|br|hr)\b[^>]*>")
 TAGS = re.compile(r"<[/!?]?[A-Za-z][^>]*>")
-TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-LANG = re.compile(r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""")
-LINK = re.compile(r"""(?is)<a\b[^>]*\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+TITLE = re.compile(r"(?i)<title\b[^>]*>")
+HTML = re.compile(r"(?i)<html\b([^>]*)>")
+ANCHOR = re.compile(r"(?i)<a\b([^>]*)>")
+LANG = re.compile(r"""(?i)\blang\s*=\s*["']?([A-Za-z-]+)""")
+HREF = re.compile(r"""(?i)\bhref\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+))""")
 BREAK = re.compile(r"[\r\n]+")
 BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
+def visible(page: str) -> str:
+    """``page`` with a blank for each comment, document type and element that shows no text. One pass forward: a kind of
+    end that does not come any more is not looked for again, and what it should have ended stays."""
+    out, at, gone = [], 0, set()
+    for m in OPENS.finditer(page):
+        if m.start() < at:
+            continue
+        kind = (m[1] or m[0]).lower()
+        if kind in gone:
+            continue
+        if m[1]:
+            close = CLOSES[kind].search(page, m.end())
+            end = close.end() if close else -1
+        else:
+            mark = "-->" if kind == "<!--" else ">"
+            end = page.find(mark, m.end())
+            end += len(mark) if end >= 0 else 0
+        if end < 0:
+            gone.add(kind)
+            continue
+        out += page[at : m.start()], " "
+        at = end
+    return "".join((*out, page[at:]))
+
+
+def tags_end(page: str) -> int:
+    """Where the last tag ends: no pattern of tags is tried behind, where each would run to the page's end in vain."""
+    return page.rfind(">") + 1
+
+
 def plain_text(page: str) -> str:
     """Visible text of an HTML page: a line for each block, blanks collapsed, character references resolved."""
-    text = TAGS.sub(" ", BREAKS.sub("\n", HIDDEN.sub(" ", page).replace("\n", " ")))
+    shown = visible(page).replace("\n", " ")
+    end = tags_end(shown)
+    text = TAGS.sub(" ", BREAKS.sub("\n", shown[:end])) + shown[end:]
     lines = (BLANKS.sub(" ", x).strip() for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def title_of(page: str) -> str:
+    """What stands in the first title element that ends."""
+    begin = TITLE.search(page, 0, tags_end(page))
+    close = CLOSES["title"].search(page, begin.end()) if begin else None
+    return BLANKS.sub(" ", html.unescape(page[begin.end() : close.start()]).replace("\n", " ")).strip() if close else ""
+
+
 def decode(payload: bytes, content_type: str) -> str:
     m = re.search(r"charset=[\"']?([A-Za-z0-9_.:-]+)", content_type) or re.search(
         r"<meta[^>]*charset=[\"']?([A-Za-z0-9_.:-]+)", payload[:2048].decode("latin-1")
@@ -96,15 +138,17 @@ def derivatives(record_id: str, uri: str | None, date: str | None, block: bytes)
     kind = headers.get("content-type", "")
     page = decode(payload, kind)
     block_digest, payload_digest = digest(block), digest(payload)
-    title, lang = TITLE.search(page), LANG.search(page)
+    end = tags_end(page)
+    lang = next((m[1] for h in HTML.finditer(page, 0, end) if (m := LANG.search(h[1]))), "")
+    links = (m for a in ANCHOR.finditer(page, 0, end) if (m := HREF.search(a[1])))
     fields = [
         ("http-status", status),
         *((f"http-{k}", v) for k, v in sorted(headers.items())),
         ("source-block-digest", block_digest),
         ("source-payload-digest", payload_digest),
-        ("title", BLANKS.sub(" ", html.unescape(title[1]).replace("\n", " ")).strip() if title else ""),
-        ("lang", lang[1] if lang else ""),
-        *(("outlink", html.unescape(next(filter(None, m.groups()), ""))) for m in LINK.finditer(page)),
+        ("title", title_of(page)),
+        ("lang", lang),
+        *(("outlink", html.unescape(next(filter(None, m.groups()), ""))) for m in links),
     ]
     meta = "".join(f"{k}: {BREAK.sub(' ', v)}\r\n" for k, v in fields if v).encode()
     shown = plain_text(page) if "html" in kind or not kind or page.lstrip()[:1] == "<" else page

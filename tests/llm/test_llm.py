@@ -1,8 +1,10 @@
 """Training-data operators: edge cases on small tables, brute force, exact round trips."""
 
 import collections
+import datetime
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -61,7 +63,7 @@ def test_license_scan(spark, docs, empty):
     assert (got[0].base_labels, got[0].labels, got[0].n_base, got[0].first_word) == ("cc-by", "cc-by,cc-by-nc-4.0", 1, 2)
     assert (got[1].n_base, got[1].first_word, got[1].last_word) == (2, 0, 3)
     assert got[2].labels == "gpl,gpl-3.0"
-    assert got[3].labels == "mit" and got[3].score == 1.0 and got[4].labels == ""
+    assert got[3].labels == "mit" and got[3].score > 0.9 and got[4].labels == ""
     assert (got[5].n_words, got[5].labels, got[5].first_word) == (0, "", None)
     for d in docs.collect():
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (d.text or "").lower())
@@ -69,6 +71,36 @@ def test_license_scan(spark, docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+def test_license_places_against_brute_force(spark):
+    """Places and labels of the base phrases in all documents of sf0.01, found by comparing words."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    phrases = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
+    got = {r.doc_id: r for r in licenses.scan(d).collect()}
+    for r in d.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        places = [(i, k) for i in range(len(words)) for k, p in phrases.items() if tuple(words[i : i + len(p)]) == p]
+        x, starts = got[r.doc_id], [i for i, _ in places]
+        assert (x.n_words, x.n_base, x.first_word, x.last_word) == (len(words), len(places), min(starts, default=None), max(starts, default=None))
+        assert x.base_labels == ",".join(sorted({k for _, k in places})) and 0 <= x.score <= 1
+        assert set(filter(None, x.base_labels.split(","))) <= set(x.labels.split(","))
+        assert sorted((s.label, s.first) for s in x.spans if s.label in phrases) == sorted((k, i) for i, k in places)
+
+
+def test_license_templates():
+    """A text made from each template, with and without what the markup allows, is found; with a mandatory word gone, not."""
+    automaton = licenses.Automaton(licenses.BASE + licenses.OWN)
+    for number, t in enumerate(licenses.BASE + licenses.OWN):
+        for full in (True, False):
+            text = t.text if full else re.sub(r"<<beginOptional>>.*?<<endOptional>>", " ", re.sub(r"<<beginOptional>>(?:(?!<<end).)*<<var(?:(?!<<end).)*<<endOptional>>", " ", t.text, flags=re.S), flags=re.S)
+            text = re.sub(r"<<var;[^>]*match=([^|>]*)[^>]*>>", r" \1 ", text)
+            text = re.sub(r"<<var;[^>]*words=[^>]*>>", " some holder ", text)
+            words = common.alnum_words(re.sub("<<[a-zA-Z]*>>", " ", text))
+            assert (number, 0, len(words)) in automaton.find(words), t.label
+            if t.mandatory() > 40:
+                assert number not in {n for n, _, _ in automaton.find(words[:-20] + ["zebra"] + words[-19:])}
+    assert licenses.strength(160, 160) > 0.98 > licenses.strength(2, 2) > licenses.strength(2, 4)
+
+
 def brute_statistics(text):
     w = re.findall("[^\x20\x09-\x0d]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
@@ -104,10 +136,16 @@ def test_decontamination(spark, docs, empty):
     assert set(got) == {1, 2, 5} and got[5].distance == 0 and got[1].n_places == 1
     assert {r.doc_id for r in decontaminate.matches(df, bench, block_chars=40).collect()} == {1, 2, 5}
     assert decontaminate.clean(docs, bench).count() == docs.count()
+    few = spark.createDataFrame([(1, "go to Iron Gates."), (2, "viron gates"), (3, "iron gatesx"), (None, "Iron gates"), (None, "else"), (4, "iron, gates 2")], "doc_id long, text string")
+    short = spark.createDataFrame([(1, "iron gates"), (2, "..."), (3, item)], "item_id long, text string")
+    for block in (2_000_000, 20):
+        got = decontaminate.matches(few.where("doc_id is not null"), short, block_chars=block).collect()
+        assert {(r.doc_id, r.distance) for r in got} == {(1, 0), (4, 0)}
+    assert sorted(r.text for r in decontaminate.clean(few, short).collect()) == ["else", "iron gatesx", "viron gates"]
     assert decontaminate.matches(empty, bench).count() == 0 == decontaminate.matches(docs, bench.limit(0)).count()
     for seed in range(60):
         r = random.Random(seed)
-        p = "".join(r.choice("ab c") for _ in range(r.randint(30, 80)))
+        p = "".join(r.choice("ab c") for _ in range(r.randint(14, 80)))
         q = list(p)
         for _ in range(r.randint(0, 8)):
             k = r.randrange(len(q))
@@ -126,7 +164,7 @@ def test_decontamination(spark, docs, empty):
 
 def brute_components(rows):
     sets = {}
-    for i, t in rows:
+    for i, t in dict(rows).items():
         w = common.spaced_words(t)
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     parent = {i: i for i in sets}
@@ -151,6 +189,10 @@ def test_near_duplicates(spark, docs, empty):
     lone = [r for r in got if r.doc_id is None]
     assert len(lone) == 1 and lone[0].component_id is None and lone[0].kept
     assert near_dup.near_duplicates(empty).count() == 0
+    both = [(i, t) for i in range(6) for t in (prose(60 + i, 40 + i), "" if i % 2 else prose(160 + i, 45))] + [(9, min(prose(63, 43), "")), (10, prose(60, 40))]
+    got = near_dup.near_duplicates(spark.createDataFrame(both, "doc_id long, text string"))
+    smallest = {i: min(t for j, t in both if j == i) for i, _ in both}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(smallest)
     base = prose(77, 120)  # copies of one text, each edited differently: not all of them alike
     family = [(i, edited(i, base, 0.015 * (i % 5))) for i in range(60)]
     got = near_dup.near_duplicates(spark.createDataFrame(family, "doc_id long, text string"))
@@ -195,6 +237,10 @@ def test_url_filter(spark):
     assert got[5] == (None, "allow", "") == got[6] and got[7][1] == "block" and got[8][1] == "block" and got[19][0] is None
     assert url_filter.tokens_of("||ads.example.com^") == ["ads", "com", "example"] and url_filter.tokens_of("foo*bar/x") == []
     assert url_filter.judge(pages.limit(0), rules).count() == 0
+    long = [(1, "http://" + "ads." * 50_000 + "example.net/en/" + "x/" * 50_000), (2, "http://x/" + "?" * 100_000)]
+    odd = spark.createDataFrame([(*r, 1, "v") for r in long], "page_id long, url string, host int, verdict string")
+    got = {r.page_id: (r["__rule"], r["__verdict"]) for r in url_filter.judge(odd, rules).collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: (None, "allow")}
 
 
 def test_sstable_round_trip(spark, docs, empty, tmp_path):
@@ -213,6 +259,48 @@ def test_sstable_round_trip(spark, docs, empty, tmp_path):
     assert sstable.round_trip(empty, BYTE_TOKENIZER).count() == 0
 
 
+def luhn(digits):
+    doubled = [int(d) * (2 if i % 2 else 1) for i, d in enumerate(reversed(digits))]
+    return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+
+def personal_values(text):
+    """(values that must become pseudonyms, look-alikes that must stay), found without the operator's patterns."""
+    valid, other = [], []
+    for word in re.findall(r"(?<![0-9])[0-9]{16}(?![0-9])", text):
+        (valid if luhn(word) and len(set(word)) > 1 else other).append(word)
+    for word in re.findall(r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", text):
+        try:
+            year = datetime.date.fromisoformat(word).year
+        except ValueError:
+            year = 0
+        if not year:
+            other.append(word)
+    valid += re.findall(r"(?<=\s)[a-z0-9.]+@[a-z0-9.]+\.com(?=\s)", text)
+    valid += re.findall(r"(?<=\s)\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?=\s)", text)
+    for word in re.findall(r"(?<=\s)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?=\s)", text):
+        plain = all(int(x) < 256 and str(int(x)) == x for x in word.split("."))
+        (valid if plain else other).append(word)
+    return set(valid), set(other) - set(valid)
+
+
+def test_pseudonyms_of_all_documents(spark):
+    """Every valid value of sf0.01 is replaced, its look-alikes are not, and nothing else changes."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit("x").alias("pii_found"))
+    out = {r.doc_id: r.text for r in pii.pseudonymise(d.drop("pii_found")).collect()}
+    seen = 0
+    for r in d.collect():
+        valid, other = personal_values(r.text)
+        seen += len(valid)
+        assert not any(v in out[r.doc_id].split() for v in valid) and all(v in out[r.doc_id] for v in other)
+        if not re.search("[0-9@]", r.text):
+            assert out[r.doc_id] == r.text
+        words = zip(r.text.split(" "), out[r.doc_id].split(" "), strict=True)
+        assert all(a == b or re.search("[0-9@]", a) for a, b in words)
+    assert seen > 50
+    assert pii.pseudonymise(d).count() == d.count()
+
+
 def test_pseudonyms(spark, docs, empty):
     p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
     text = "a.b9@x3.example.com +1 (555) 555-5657 8.20.209.178 2024-02-29 31/12/1999 123-45-6789 4111 1111 1111 1111 DE89 3704 0044 0532 0130 00 1eb9c654e721b4f812088970e66a6345cee33dd6"
@@ -267,6 +355,28 @@ def passages(spark, rows, **k):
     return got
 
 
+HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>|<!doctype[^>]*>")
+
+
+def test_pages_by_plain_patterns_and_long_pages(spark):
+    """Texts of random pages as one expression per step gives them; broken and long pages in time that grows with them."""
+    pieces = ["<p>", "</p>", "<br/>", "<script>", "</script >", "<!--", "-->", "<head>", "</head>", "<header>", "<!DOCTYPE html>", "<!doctype", "<", ">", "a ", "b&amp;c", "\n", "<i x>", "<style>", "</STYLE>", "é"]
+    for seed in range(800):
+        r = random.Random(seed)
+        page = "".join(r.choice(pieces) for _ in range(r.randint(0, 25)))
+        text = warc.TAGS.sub(" ", warc.BREAKS.sub("\n", HIDDEN.sub(" ", page).replace("\n", " ")))
+        lines = (warc.BLANKS.sub(" ", x).strip() for x in warc.html.unescape(text).split("\n"))
+        assert warc.plain_text(page) == "\n".join(x for x in lines if x), page
+    for piece in ("<script>", "<style>x", "<!--", "<a ", "<title>", "<html ", "<a href=\"", "<!doctype ", "</script ", "<p", "<template>y</p>"):
+        begin = time.time()
+        meta, shown = warc.derivatives("<urn:x>", None, None, (piece * (2_000_000 // len(piece))).encode())
+        assert time.time() - begin < 5 and meta[1] == "metadata" and shown[1] == "conversion", piece
+    rows = [(1, "u", "<title>A</title><p>x"), (1, "u", "<title>A</title><p>x"), (2, None, None)]
+    pages = spark.createDataFrame([(*r, "b", "h") for r in rows], "page_id long, url string, html string, block string, headers string")
+    made = warc.derive(warc.responses_from_pages(pages)).collect()
+    assert len(made) == 6 and len({r.record_id for r in made}) == 4
+
+
 def test_repeated_passages(spark, docs, empty):
     got = substring_dedup.repeated_passages(docs).collect()
     hits = {(r.doc_id, r.source_id) for r in got}
@@ -409,8 +519,16 @@ def test_pipeline_stages_against_brute_force(spark):
     assert private.columns == docs.columns
     for before, after in zip(sorted(clean.collect()), sorted(private.collect()), strict=True):
         assert after.n_chars == len(after.text)
-        for value in re.findall(r"[0-9]{16}|\S+@\S+\.com|\+1 \(\d+\) \d+-\d+", before.text):
-            assert value not in after.text
+        valid, other = personal_values(before.text)
+        assert not any(v in after.text for v in valid) and all(v in after.text for v in other)
+    none = docs.limit(0)
+    odd = spark.createDataFrame([(None, "a b", "en", "s", 3), (1, prose(1, 60), "en", "s", 9), (1, prose(2, 60), "en", "s", 9), (1, prose(2, 60), "en", "s", 9), (2, prose(1, 60), None, None, None), (3, None, None, None, None)], docs.schema)
+    for name in ("quality rules", "near duplicates", "benchmark decontamination", "pseudonyms"):
+        assert stages[name](spark, none, sf).count() == 0 and stages[name](spark, odd, sf).columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in stages["near duplicates"](spark, odd, sf).collect()]
+    smaller, larger = sorted((prose(1, 60), prose(2, 60)))
+    same = [(2, prose(1, 60))] if larger == prose(1, 60) else []
+    assert collections.Counter(kept) == collections.Counter([(None, "a b"), (1, smaller), (1, larger), (3, None), *same])
     packed = stages["best-fit packing"](spark, private, sf)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in private.collect()}
 
