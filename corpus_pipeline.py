@@ -18,17 +18,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id, once if its id repeats."""
+    """One document of each near-duplicate group stays: the one with the smallest id. Equal rows stay once."""
     gone = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    # rows that repeat an id count as one document: the one with the smallest text
+    # of rows that repeat an id, the operator has judged the smallest text; others stay, equal rows once
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
     if twice.isEmpty():
-        return left
-    single = left.join(twice, left["doc_id"] == F.col("__twice"), "left_anti")
-    again = left.join(twice, left["doc_id"] == F.col("__twice"), "left_semi")
-    row = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text"))
-    return single.unionByName(again.groupBy("doc_id").agg(row.alias("r")).select("r.*"))
+        return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    single = docs.join(twice, docs["doc_id"] == F.col("__twice"), "left_anti")
+    single = single.join(gone, single["doc_id"] == F.col("__gone"), "left_anti")
+    again = docs.join(twice, docs["doc_id"] == F.col("__twice"), "left_semi")
+    row = F.min(F.struct(F.col("text").isNull().alias("none"), "text", F.struct(*docs.columns).alias("row")))
+    again = again.groupBy("doc_id", "text").agg(row.alias("r")).select("r.row.*", "r.none")
+    judged = again.groupBy("doc_id").agg(F.min(F.struct("none", "text")).alias("j")).join(gone, F.col("doc_id") == F.col("__gone"))
+    bad = judged.select("__gone", F.col("j.text").alias("__text"))
+    left = again.join(bad, (again["doc_id"] == F.col("__gone")) & again["text"].eqNullSafe(F.col("__text")), "left_anti")
+    return single.unionByName(left.drop("none"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
