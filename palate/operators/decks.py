@@ -41,6 +41,19 @@ def allocate(limit: int, shares: tuple[tuple[str, float], ...] = SHARES) -> dict
     return out
 
 
+def allocate_each(limits: DataFrame, shares: tuple[tuple[str, float], ...] = SHARES) -> DataFrame:
+    """``allocate`` for every number of ``cards`` of a table: (cards, reason, quota)."""
+    rows = limits.select("cards").distinct().select("cards", F.inline(F.array(*(
+        F.struct(F.lit(i).alias("number"), F.lit(name).alias("reason"), F.lit(share).alias("share")) for i, (name, share) in enumerate(shares)
+    ))))
+    exact = F.round(F.col("cards") * F.col("share"), 9)
+    rows = rows.withColumns({"whole": F.floor(exact), "rest": F.round(exact - F.floor(exact), 9)})
+    every = Window.partitionBy("cards")
+    left = F.col("cards") - F.sum("whole").over(every)
+    turn = F.row_number().over(every.orderBy(F.desc("rest"), "number"))
+    return rows.select("cards", "reason", (F.col("whole") + (turn <= left).cast("long")).alias("quota"))
+
+
 def sampling_key(rev: Column, cursor: Column) -> Column:
     """A portable draw: the same user, revision and cursor give the same order, others another one."""
     m = 4294967296

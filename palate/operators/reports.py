@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palate.functions.text import describe_feature
+
 
 def items_per_day(items: DataFrame, window_days: int = 60) -> DataFrame:
     """(day, stories): zero-filled from the first day inside the window to the last stored day."""
@@ -71,12 +73,33 @@ def model_verdict(current: DataFrame) -> DataFrame:
     return current.select("user_id", gain.alias("gain"), verdict.alias("verdict"))
 
 
-def stats(items: DataFrame, votes: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row a user: corpus size and days, vote counts, latest revision and its vote count."""
-    corpus = items.agg(F.count("*").alias("items"), F.countDistinct("day").alias("days"))
+def stats(
+    items: DataFrame, votes: DataFrame, runs: DataFrame, weights: DataFrame | None = None, insights: DataFrame | None = None,
+    distribution: DataFrame | None = None,
+) -> DataFrame:
+    """One row a user: corpus size, days and last sync, vote counts, latest revision with its vote count and the metrics
+    that ``runs`` has; number of features, strongest labels each way, and the score distribution, where those tables are
+    given. What belongs to a model is null for users without one."""
+    corpus = items.agg(
+        F.count("*").alias("items"), F.countDistinct("day").alias("days"), F.max("fetched_at").alias("last_sync")
+    )
     v = F.col("value")
     counts = votes.groupBy("user_id").agg(
         F.count_if(v > 0).alias("up"), F.count_if(v < 0).alias("down"), F.count_if(v == 0).alias("skip")
     )
-    return counts.join(runs.select("user_id", "rev", "n_votes"), "user_id", "left").crossJoin(corpus)
+    metrics = [c for c in ("accuracy", "auc", "log_loss", "noise") if c in runs.columns]
+    latest = runs.select("user_id", "rev", "n_votes", *metrics)
+    if weights is not None:
+        latest = latest.join(weights.groupBy("user_id").agg(F.count("*").alias("n_features")), "user_id", "left")
+    if insights is not None:
+        for side in ("like", "dislike"):
+            rows = insights.where(F.col("side") == side).groupBy("user_id")
+            top = F.array_sort(F.collect_list(F.struct("rank", "feature")))  # as many as insights was asked for
+            names = F.array_join(F.transform(top, lambda x: describe_feature(x["feature"])["label"]), "|")
+            latest = latest.join(rows.agg(names.alias(f"{side}s")), "user_id", "left")
+    if distribution is not None:
+        bins = F.array_sort(F.collect_list(F.struct("bin", "n")))
+        line = F.array_join(F.transform(bins, lambda x: x["n"].cast("string")), ",")
+        latest = latest.join(distribution.groupBy("user_id").agg(line.alias("distribution")), "user_id", "left")
+    return counts.join(latest, "user_id", "left").crossJoin(corpus)
 

@@ -87,9 +87,15 @@ def accuracy_move(runs: DataFrame, pairs: DataFrame, flips: DataFrame) -> DataFr
     )
 
 
-def round_summary(cards: DataFrame, votes: DataFrame, predictions: DataFrame, signals: DataFrame) -> DataFrame:
+def round_summary(
+    cards: DataFrame, votes: DataFrame, predictions: DataFrame, signals: DataFrame, rounds: DataFrame | None = None,
+    runs: DataFrame | None = None, movers: DataFrame | None = None, moves: DataFrame | None = None,
+) -> DataFrame:
     """A round's outcome: judged, skipped, how often the frozen prediction was right, the same over explore cards (the
-    unbiased sample), and signals gained; null rates where nothing was judged."""
+    unbiased sample), and signals gained; null rates where nothing was judged.
+
+    With ``rounds`` (user_id, seq, rev) and ``runs`` (user_id, rev) also whether the model has been trained since the
+    deal; with ``movers`` the labels whose weights moved most; with ``moves`` the accuracy's move."""
     p = predictions.select("user_id", "story_id", F.col("score").alias("frozen"))
     rows = cards.join(votes.select("user_id", "story_id", "value"), ["user_id", "story_id"], "left").join(
         p, ["user_id", "story_id"], "left"
@@ -106,9 +112,21 @@ def round_summary(cards: DataFrame, votes: DataFrame, predictions: DataFrame, si
         F.count_if(asked & explore).alias("explore_asked"),
         F.coalesce(F.sum(F.when(F.col("value") != 0, F.col("fresh"))), F.lit(0)).alias("signals"),
     )
-    return out.withColumns(
+    out = out.withColumns(
         {
             "share": F.col("right") / F.nullif("asked", F.lit(0)),
             "explore_share": F.col("explore_right") / F.nullif("explore_asked", F.lit(0)),
         }
     )
+    if rounds is not None and runs is not None:
+        dealt = rounds.select("user_id", "seq", F.col("rev").alias("dealt_rev"))
+        now = runs.groupBy("user_id").agg(F.max("rev").alias("now_rev"))
+        out = out.join(dealt, ["user_id", "seq"], "left").join(now, "user_id", "left")
+        out = out.withColumn("trained", F.coalesce(F.col("now_rev") > F.col("dealt_rev"), F.lit(False))).drop("now_rev", "dealt_rev")
+    if movers is not None:
+        rows = F.array_sort(F.collect_list(F.struct((F.col("side") != "like").alias("low"), "rank", "label")))
+        names = F.array_join(F.transform(rows, lambda x: F.concat(F.when(x["low"], "-").otherwise("+"), x["label"])), "|")
+        out = out.join(movers.groupBy("user_id").agg(names.alias("movers")), "user_id", "left")
+    if moves is not None:
+        out = out.join(moves.select("user_id", "before", "after", "direction"), "user_id", "left")
+    return out

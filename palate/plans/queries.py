@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -13,6 +14,8 @@ from palate.operators import decks, feed, features, model, reports, rounds, scor
 from palate.plans import sql as s
 from palate.plans.fixtures import AS_OF, Tables
 from palate.sources import ingest
+from palate.sources.storage import scratch
+from palate.streaming import jobs
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -104,12 +107,27 @@ def _(t: Tables) -> DataFrame:
     return ingest.sync_report(days, i.where("story_id % 5 <> 0"), i, failures)
 
 
-@query("a8_audit_gap", f"""WITH {s.ITEMS} SELECT day, count(*) AS scanned, count(*) FILTER (points >= 40) AS stories,
-    count(*) FILTER (points >= 40 AND story_id % 5 = 0) AS recovered, count(*) FILTER (points >= 40 AND story_id % 5 <> 0) AS updated FROM items
-    WHERE day BETWEEN '2024-01-05' AND '2024-01-25' GROUP BY day""")
+@query("a7_sync_totals", f"""WITH {s.BOTH},{s.HISTORY}, i AS (SELECT * FROM items WHERE day BETWEEN '2024-01-10' AND '2024-01-14')
+    SELECT 5 AS days, 4 AS fetched_days, (SELECT count(*) FROM i) AS fetched, (SELECT count(*) FROM i WHERE story_id % 5 = 0) AS inserted, '2024-01-10' AS from_day,
+    '2024-01-14' AS to_day, '2024-01-12: timed out; front page: not read' AS failures, (SELECT count(*) FROM history) AS scored, TRUE AS front_page""")
 def _(t: Tables) -> DataFrame:
     i = t.items()
-    return ingest.audit_gap(i.where("story_id % 5 <> 0"), i, "2024-01-05", "2024-01-25", 40)
+    days = scalars.days_between(t.spark, "2024-01-10", "2024-01-14")
+    names = ["2024-01-12", "2024-01-14"]
+    failures = days.where("day = '2024-01-12'").withColumn("message", F.lit("timed out"))
+    failures = ingest.front_page_failure(failures, None, names, "2024-01-14")
+    some = ingest.front_page_union(i, None, names, "2024-01-14")
+    report = ingest.sync_report(days, some.where("story_id % 5 <> 0"), some, failures)
+    return ingest.sync_totals(report, failures, True, t.history())
+
+
+@query("a8_audit_gap", f"""WITH {s.ITEMS} SELECT day, count(*) FILTER (story_id % 17 <> 0) AS scanned, count(*) FILTER (points >= 40 AND story_id % 17 <> 0) AS stories,
+    count(*) FILTER (points >= 40 AND story_id % 5 = 0 AND story_id % 17 <> 0) AS recovered, count(*) FILTER (points >= 40 AND story_id % 5 <> 0 AND story_id % 17 <> 0) AS updated,
+    count(*) FILTER (story_id % 17 = 0) AS failed FROM items WHERE day BETWEEN '2024-01-05' AND '2024-01-25' GROUP BY day""")
+def _(t: Tables) -> DataFrame:
+    i = t.items()
+    unread = i.where("story_id % 17 = 0").select("day", "story_id")
+    return ingest.audit_gap(i.where("story_id % 5 <> 0"), i, "2024-01-05", "2024-01-25", 40, unread)
 
 
 @query("a8_repair_gap", f"""WITH {s.ITEMS} SELECT story_id, points, num_comments, day FROM items
@@ -141,6 +159,16 @@ def _(t: Tables) -> DataFrame:
     return ingest.import_votes(v, first.unionByName(last).unionByName(junk))[0]
 
 
+@query("a12_write_scores", f"""WITH {s.VOTES},{s.HISTORY} SELECT user_id, story_id, round(score, 6) AS score, CASE WHEN user_id % 64 < 32 THEN 2 ELSE 1 END AS model_rev
+    FROM history WHERE model_rev = 1""")
+def _(t: Tables) -> DataFrame:
+    rows = t.history().where("model_rev = 1").select("user_id", "story_id", *r6("score"), "model_rev")
+    path = scratch(t.spark, "scores")
+    ingest.write_scores(rows, path)
+    ingest.write_scores(rows.where("user_id % 64 < 32").withColumn("model_rev", F.lit(2)), path)
+    return t.spark.read.parquet(path).select("user_id", "story_id", "score", "model_rev")
+
+
 # --- B: votes -------------------------------------------------------------------------------------
 
 
@@ -171,9 +199,10 @@ def _(t: Tables) -> DataFrame:
     return votes.training_gate(t.votes())
 
 
-FROZEN = f"""{s.VOTES},{s.HISTORY}, frozen AS (SELECT v.user_id, v.story_id, v.value, v.updated_at, arg_max(h.score, h.scored_at) AS score,
+FROZEN_ONLY = """frozen AS (SELECT v.user_id, v.story_id, v.value, v.updated_at, arg_max(h.score, h.scored_at) AS score,
     arg_max(h.confidence, h.scored_at) AS confidence, arg_max(h.model_rev, h.scored_at) AS model_rev FROM votes v LEFT JOIN history h
     ON h.user_id = v.user_id AND h.story_id = v.story_id AND h.scored_at <= v.updated_at GROUP BY 1, 2, 3, 4)"""
+FROZEN = f"{s.VOTES},{s.HISTORY}, {FROZEN_ONLY}"
 
 
 @query("b6_frozen_prediction", f"WITH {FROZEN} SELECT * FROM frozen")
@@ -391,6 +420,34 @@ def _(t: Tables) -> DataFrame:
     return model.fit_grouped(t.examples(), t.features(), folds=False).drop("fold")
 
 
+@query("e3_fit_checks", f"""WITH {s.BOTH},{s.FEATURES},{s.EXAMPLES}, ok AS (SELECT user_id FROM examples GROUP BY 1 HAVING min(label) = 0 AND max(label) = 1)
+    SELECT user_id, count(DISTINCT feature) AS n_features, count(*) AS support, TRUE AS numbered, TRUE AS learns FROM examples JOIN features USING (story_id) JOIN ok USING (user_id) GROUP BY 1""")
+def _(t: Tables) -> DataFrame:
+    """What must hold of any fit: every feature once, and a balanced loss below that of no model."""
+    ex, f = t.examples(), t.features()
+    w = model.fit_grouped(ex, f, folds=False).drop("fold")
+    sums = w.groupBy("user_id").agg(
+        F.count("*").alias("n_features"), F.sum("support").alias("support"), (F.max("idx") + 1 == F.countDistinct("idx")).alias("numbered")
+    )
+    z = ex.join(f, "story_id").join(w, ["user_id", "feature"]).groupBy("user_id", "story_id", "label").agg(F.sum(F.col("value") * F.col("weight")).alias("z"))
+    loss = F.avg(F.when(F.col("label") == 1, F.log1p(F.exp(-F.col("z"))))) + F.avg(F.when(F.col("label") == 0, F.log1p(F.exp("z"))))
+    return sums.join(z.groupBy("user_id").agg((loss < 2 * math.log(2)).alias("learns")), "user_id")
+
+
+@query("e4_fit_checks", f"""WITH {s.ITEMS},{s.FEATURES}, ex AS (SELECT doc_id + 1 AS story_id, quality FROM labels WHERE quality IS NOT NULL)
+    SELECT count(DISTINCT story_id) AS examples, TRUE AS known, TRUE AS ranks FROM ex JOIN features USING (story_id)""")
+def _(t: Tables) -> DataFrame:
+    """What must hold of the pooled fit: weights of the examples' features only, good examples above bad ones on average."""
+    labels = t.raw("labels").where("quality is not null")
+    ex = labels.select((F.col("doc_id") + 1).alias("story_id"), F.col("quality").cast("int").alias("label"))
+    rows = ex.join(t.features(), "story_id")
+    w = model.fit_pooled(ex, t.features())
+    z = rows.join(w, "feature", "left").groupBy("story_id", "label").agg(F.sum(F.col("value") * F.coalesce("weight", F.lit(0.0))).alias("z"))
+    ranks = F.avg(F.when(F.col("label") == 1, F.col("z"))) > F.avg(F.when(F.col("label") == 0, F.col("z")))
+    odd = w.join(rows, "feature", "left_anti").agg((F.count("*") == 0).alias("known"))
+    return z.agg(F.count("*").alias("examples"), ranks.alias("ranks")).crossJoin(odd)
+
+
 @query("e4_fit_pooled")
 def _(t: Tables) -> DataFrame:
     labels = t.raw("labels").where("quality is not null")
@@ -456,6 +513,15 @@ def _(t: Tables) -> DataFrame:
     return model.cross_validate(t.examples(), t.features())[0]
 
 
+@query("e9_cv_checks", f"""WITH {FOLDS}, g AS (SELECT user_id, count(DISTINCT fold) AS folds, count(*) AS n, avg(label) AS share FROM folds WHERE fold IS NOT NULL GROUP BY 1)
+    SELECT user_id, folds, n, round(greatest(share, 1 - share), 6) AS baseline, TRUE AS sane FROM g""")
+def _(t: Tables) -> DataFrame:
+    """What must hold of any cross-validation: every example held out once, metrics within their ranges."""
+    m = model.cross_validate(t.examples(), t.features())[0]
+    sane = F.col("accuracy").between(0, 1) & F.col("auc").between(0, 1) & (F.col("log_loss") > 0) & (F.col("noise") > 0)
+    return m.select("user_id", "folds", "n", *r6("baseline"), sane.alias("sane"))
+
+
 @query("e10_oof_pair", f"""WITH {s.VOTES},{s.HISTORY}, o AS (SELECT user_id, story_id, round(score, 6) AS score, model_rev FROM history
     UNION ALL SELECT user_id, story_id, 0.25, 3 FROM history WHERE model_rev = 1 AND user_id % 2 = 0) SELECT user_id, story_id, score, model_rev, age FROM (
     SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY model_rev DESC) AS age FROM o) WHERE age <= 2""")
@@ -549,6 +615,75 @@ def _(t: Tables) -> DataFrame:
     return model.current_model(t.run_log().where("rev + user_id % 3 <= 6")).select("user_id", "rev", "n_votes", "trained_at")
 
 
+# --- G: streams -----------------------------------------------------------------------------------
+
+
+def _arrive(t: Tables, df: DataFrame, *parts: str) -> tuple[DataFrame, str]:
+    """``df`` as a stream of one file for each part, in order, and a folder for what the job writes."""
+    path = scratch(t.spark, "stream")
+    for where in parts:
+        df.where(where).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
+
+
+def _again(t: Tables) -> DataFrame:
+    """Items, and every third once more, later and with other counts."""
+    i = t.items().withColumn("part", F.lit(0))
+    more = {"points": F.col("points") - 3, "num_comments": F.col("num_comments") + 2, "fetched_at": F.col("fetched_at") + 60, "part": F.lit(1)}
+    return i.unionByName(i.where("story_id % 3 = 0").withColumns(more))
+
+
+@query("g1_stream_items", f"""WITH {s.ITEMS} SELECT story_id, title, points, num_comments + CASE WHEN story_id % 3 = 0 THEN 2 ELSE 0 END AS num_comments, created_at FROM items""")
+def _(t: Tables) -> DataFrame:
+    items, path = _arrive(t, _again(t), "part = 0 and story_id % 2 = 0", "part = 1", "part = 0 and story_id % 2 = 1")
+    jobs.stream_items(items.drop("part"), f"{path}/items", f"{path}/checkpoint").awaitTermination()
+    return jobs.latest(t.spark, f"{path}/items").select("story_id", "title", "points", "num_comments", "created_at")
+
+
+@query("g2_stream_votes", f"WITH {s.COUNTS},{s.events_sql(True)} SELECT user_id, story_id, value, created_at, updated_at FROM votes")
+def _(t: Tables) -> DataFrame:
+    events, path = _arrive(t, t.vote_events(True), "event_id % 3 = 1", "event_id % 3 = 0", "event_id % 3 = 2")
+    jobs.stream_votes(events, f"{path}/votes", f"{path}/checkpoint").awaitTermination()
+    return jobs.latest_votes(t.spark, f"{path}/votes")
+
+
+@query("g3_stream_predictions", f"""WITH {s.VOTES},{s.HISTORY} SELECT v.user_id, v.story_id, v.value, v.ts AS updated_at, round(arg_max(h.score, h.scored_at), 6) AS score, arg_max(h.model_rev, h.scored_at) AS model_rev
+    FROM vev v LEFT JOIN history h ON h.user_id = v.user_id AND h.story_id = v.story_id AND h.scored_at <= v.ts GROUP BY 1, 2, 3, 4""")
+def _(t: Tables) -> DataFrame:
+    events, path = _arrive(t, t.vote_events(), "event_id % 2 = 0", "event_id % 2 = 1")
+    jobs.stream_predictions(events, t.history(), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    out = t.spark.read.parquet(f"{path}/out").select("user_id", "story_id", "value", "updated_at", *r6("score"), "model_rev")
+    return out.distinct()  # two events of a user on an item in one second are one vote
+
+
+@query("g4_stream_score_arrivals", f"WITH {s.SCORED} SELECT user_id, story_id, score, model_rev FROM scores")
+def _(t: Tables) -> DataFrame:
+    items, path = _arrive(t, _again(t), "part = 0 and story_id % 2 = 0", "part = 1", "part = 0 and story_id % 2 = 1")
+    jobs.stream_score_arrivals(items.drop("part"), f"{path}/items", f"{path}/scores", f"{path}/checkpoint", t.weights(), t.runs()).awaitTermination()
+    return jobs.latest(t.spark, f"{path}/scores").select("user_id", "story_id", "score", "model_rev")
+
+
+@query("g5_items_per_day_stream", f"WITH {s.ITEMS} SELECT day, count(*) AS stories FROM items GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    items, path = _arrive(t, t.items(), "day < '2024-01-15'", "day >= '2024-01-15'")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/days")
+
+    counts = jobs.items_per_day_stream(items).writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint")
+    counts.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{path}/days")
+
+
+@query("g6_stale_round_expiry", f"WITH {s.VOTES},{s.RUN_LOG} SELECT user_id, rev AS seq, trained_at + 86400 AS expired_at FROM run_log WHERE rev <= 5")
+def _(t: Tables) -> DataFrame:
+    deals = t.run_log().select("user_id", F.col("rev").cast("long").alias("seq"), F.col("trained_at").alias("dealt_at"))
+    deals, path = _arrive(t, deals, "seq <= 2", "seq = 3", "seq > 3")
+    out = jobs.stale_round_expiry(deals).writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
+    out.format("parquet").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out")
+
+
 # --- H: feeds and decks ---------------------------------------------------------------------------
 
 
@@ -600,6 +735,15 @@ def _(t: Tables) -> DataFrame:
     return decks.cold_queue(v.select("user_id").distinct(), t.items(), v, 12, 30).select("user_id", "story_id", "pos", "reason")
 
 
+@query("h9_allocate", f"""WITH {s.ITEMS}, e AS (SELECT cards, number, reason, round(cards * share, 9) AS x FROM (SELECT DISTINCT points AS cards FROM items)
+    CROSS JOIN (VALUES (0, 'boundary', 0.4::DOUBLE), (1, 'novel', 0.2::DOUBLE), (2, 'recent', 0.2::DOUBLE), (3, 'explore', 0.2::DOUBLE)) AS v(number, reason, share)),
+    f AS (SELECT *, CAST(floor(x) AS BIGINT) AS whole, round(x - floor(x), 9) AS rest FROM e),
+    g AS (SELECT *, cards - sum(whole) OVER (PARTITION BY cards) AS spare, row_number() OVER (PARTITION BY cards ORDER BY rest DESC, number) AS turn FROM f)
+    SELECT cards, reason, whole + CASE WHEN turn <= spare THEN 1 ELSE 0 END AS quota FROM g""")
+def _(t: Tables) -> DataFrame:
+    return decks.allocate_each(t.items().select(F.col("points").alias("cards")))
+
+
 DECK = f"""{s.SCORED}, c0 AS (SELECT r.user_id, r.rev, i.story_id, i.num_comments, i.created_at, s.score, s.confidence,
     round((s.score - 0.5::DOUBLE) / (0.3::DOUBLE + 0.7::DOUBLE * s.confidence), 9) AS off,
     (i.story_id * 2654435761 + (r.user_id * 374761393 + r.rev * 668265263 + 1 * 2246822519) % 4294967296) % 4294967296 AS x
@@ -682,10 +826,12 @@ def _(t: Tables) -> DataFrame:
 # --- I: rounds ------------------------------------------------------------------------------------
 
 
-@query("i1_deal_round", f"WITH {DECK} SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 4 ELSE 1 END AS seq, 2 AS rev, count(*) AS size, {AS_OF} AS dealt_at FROM deck GROUP BY 1")
+@query("i1_deal_round", f"""WITH {DECK} SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 4 ELSE 1 END AS seq, 2 AS rev, count(*) OVER (PARTITION BY user_id) AS size, {AS_OF} AS dealt_at,
+    pos, story_id, reason FROM deck""")
 def _(t: Tables) -> DataFrame:
     seqs = t.votes().where("user_id % 2 = 0").select("user_id", F.lit(3).alias("round_seq")).distinct()
-    return rounds.deal_round(_deck(t), t.runs(), seqs, AS_OF)[0]
+    dealt, cards = rounds.deal_round(_deck(t), t.runs(), seqs, AS_OF)
+    return cards.join(dealt, ["user_id", "seq"])
 
 
 CARDS = "cards AS (SELECT user_id, 1 AS seq, row_number() OVER (PARTITION BY user_id ORDER BY story_id) AS pos, story_id, CASE WHEN story_id % 3 = 0 THEN 'explore' ELSE 'boundary' END AS reason FROM (SELECT u.user_id, d.doc_id + 1 AS story_id FROM (SELECT DISTINCT user_id FROM votes) u CROSS JOIN documents d WHERE (d.doc_id + u.user_id) % 25 = 0))"
@@ -714,10 +860,11 @@ def _(t: Tables) -> DataFrame:
     return rounds.current_round(r, AS_OF).select("user_id", "rev")
 
 
-FLIPS = f"""{s.VOTES},{s.HISTORY}, fl AS (SELECT a.user_id, 1 AS from_rev, 2 AS to_rev, count(*) AS shared,
+FLIPS_ONLY = """fl AS (SELECT a.user_id, 1 AS from_rev, 2 AS to_rev, count(*) AS shared,
     count(*) FILTER ((a.score >= 0.5) <> (value > 0) AND (b.score >= 0.5) = (value > 0)) AS gained, count(*) FILTER ((a.score >= 0.5) = (value > 0) AND (b.score >= 0.5) <> (value > 0)) AS lost
     FROM history a JOIN history b ON b.user_id = a.user_id AND b.story_id = a.story_id AND b.model_rev = 2 JOIN votes v ON v.user_id = a.user_id AND v.story_id = a.story_id AND value <> 0 WHERE a.model_rev = 1 GROUP BY 1),
     flips AS (SELECT *, gained + lost AS moved, gained - lost AS net, (gained - lost) / CAST(shared AS DOUBLE) AS delta, gained + lost > 0 AND abs(gained - lost) > 1.96::DOUBLE * sqrt(gained + lost) AS significant FROM fl)"""
+FLIPS = f"{s.VOTES},{s.HISTORY}, {FLIPS_ONLY}"
 
 
 def _pairs(t: Tables) -> DataFrame:
@@ -729,26 +876,47 @@ def _(t: Tables) -> DataFrame:
     return rounds.paired_flips(t.votes(), t.oof(), _pairs(t)).withColumn("delta", F.round("delta", 6))
 
 
-@query("i6_accuracy_move", f"""WITH {FLIPS},{s.RUN_LOG}, m AS (SELECT u.user_id, a.accuracy AS before, b.accuracy AS after, b.baseline, greatest(coalesce(a.noise, 0), coalesce(b.noise, 0)) * sqrt(2.0::DOUBLE) AS band, f.shared, f.significant AS fs
+MOVES = """m AS (SELECT u.user_id, a.accuracy AS before, b.accuracy AS after, b.baseline, greatest(coalesce(a.noise, 0), coalesce(b.noise, 0)) * sqrt(2.0::DOUBLE) AS band, f.shared, f.significant AS fs
     FROM (SELECT DISTINCT user_id FROM votes) u JOIN run_log b ON b.user_id = u.user_id AND b.rev = 2 LEFT JOIN run_log a ON a.user_id = u.user_id AND a.rev = 1 LEFT JOIN flips f ON f.user_id = u.user_id AND u.user_id % 2 = 0
-    WHERE b.accuracy IS NOT NULL AND b.accuracy <> 0), g AS (SELECT *, CASE WHEN shared IS NOT NULL THEN fs ELSE coalesce(abs(after - before) > band, FALSE) END AS significant FROM m)
-    SELECT user_id, round(before, 6) AS before, round(after, 6) AS after, round(band, 6) AS band, significant, CASE WHEN NOT significant THEN 'flat' WHEN after > before THEN 'up' ELSE 'down' END AS direction,
-    shared IS NULL AND before IS NOT NULL AS show_band FROM g""")
-def _(t: Tables) -> DataFrame:
+    WHERE b.accuracy IS NOT NULL AND b.accuracy <> 0), g AS (SELECT *, CASE WHEN shared IS NOT NULL THEN fs ELSE coalesce(abs(after - before) > band, FALSE) END AS significant FROM m),
+    moves AS (SELECT user_id, round(before, 6) AS before, round(after, 6) AS after, round(band, 6) AS band, significant, CASE WHEN NOT significant THEN 'flat' WHEN after > before THEN 'up' ELSE 'down' END AS direction,
+    shared IS NULL AND before IS NOT NULL AS show_band FROM g)"""
+
+
+def _moves(t: Tables) -> DataFrame:
     flips = rounds.paired_flips(t.votes(), t.oof(), _pairs(t)).where("user_id % 2 = 0")
-    out = rounds.accuracy_move(t.run_log(), _pairs(t), flips)
+    return rounds.accuracy_move(t.run_log(), _pairs(t), flips)
+
+
+@query("i6_accuracy_move", f"WITH {FLIPS},{s.RUN_LOG}, {MOVES} SELECT * FROM moves")
+def _(t: Tables) -> DataFrame:
+    out = _moves(t)
     return out.select("user_id", *r6("before", "after", "band"), "significant", "direction", "show_band")
 
 
-@query("i4_round_summary", f"""WITH {FROZEN},{CARDS}, j AS (SELECT c.user_id, seq, reason, v.value, f.score FROM cards c LEFT JOIN votes v ON v.user_id = c.user_id AND v.story_id = c.story_id LEFT JOIN frozen f ON f.user_id = c.user_id AND f.story_id = c.story_id),
-    g AS (SELECT user_id, seq, count(*) FILTER (value <> 0) AS judged, count(*) FILTER (value = 0) AS skipped, count(*) FILTER (value <> 0 AND score IS NOT NULL AND (score >= 0.5) = (value > 0)) AS right_, count(*) FILTER (value <> 0 AND score IS NOT NULL) AS asked,
-    count(*) FILTER (reason = 'explore' AND value <> 0 AND score IS NOT NULL AND (score >= 0.5) = (value > 0)) AS explore_right, count(*) FILTER (reason = 'explore' AND value <> 0 AND score IS NOT NULL) AS explore_asked FROM j GROUP BY 1, 2)
-    SELECT user_id, judged, skipped, right_ AS "right", asked, explore_right, explore_asked, round(right_ / nullif(CAST(asked AS DOUBLE), 0), 6) AS share, round(explore_right / nullif(CAST(explore_asked AS DOUBLE), 0), 6) AS explore_share FROM g""")
+@query("i4_round_summary", f"""WITH {s.MODEL},{s.HISTORY},{s.RUN_LOG},{s.weights_sql("before_w", 5)}, {FROZEN_ONLY}, {FLIPS_ONLY}, {MOVES}, {CARDS},
+    j AS (SELECT c.user_id, seq, c.story_id, reason, v.value, f.score FROM cards c LEFT JOIN votes v ON v.user_id = c.user_id AND v.story_id = c.story_id LEFT JOIN frozen f ON f.user_id = c.user_id AND f.story_id = c.story_id),
+    fresh AS (SELECT j.user_id, j.story_id, count(*) AS total FROM j JOIN features USING (story_id) WHERE value <> 0 AND {s.CONTENT} AND NOT EXISTS
+    (SELECT 1 FROM weights w WHERE w.user_id = j.user_id AND w.feature = features.feature AND w.feature NOT LIKE 'w:%e%') GROUP BY 1, 2),
+    rs AS (SELECT j.user_id, seq, count(*) FILTER (value <> 0) AS judged, count(*) FILTER (value = 0) AS skipped, count(*) FILTER (value <> 0 AND score IS NOT NULL AND (score >= 0.5) = (value > 0)) AS right_, count(*) FILTER (value <> 0 AND score IS NOT NULL) AS asked,
+    count(*) FILTER (reason = 'explore' AND value <> 0 AND score IS NOT NULL AND (score >= 0.5) = (value > 0)) AS explore_right, count(*) FILTER (reason = 'explore' AND value <> 0 AND score IS NOT NULL) AS explore_asked,
+    CAST(coalesce(sum(total), 0) AS BIGINT) AS signals FROM j LEFT JOIN fresh ON fresh.user_id = j.user_id AND fresh.story_id = j.story_id GROUP BY 1, 2),
+    mv AS (SELECT a.user_id, a.feature, a.idx, a.weight, round(a.weight - coalesce(b.weight, 0), 6) AS delta FROM weights a LEFT JOIN before_w b ON b.user_id = a.user_id AND b.feature = a.feature
+    WHERE a.support >= 2 AND a.feature <> '__bias__' AND NOT starts_with(a.feature, 't:') AND a.user_id IN (SELECT user_id FROM before_w)),
+    sd AS (SELECT *, CASE WHEN delta > 0 AND weight > 0 THEN 'like' WHEN delta < 0 AND weight < 0 THEN 'dislike' END AS side FROM mv WHERE abs(delta) >= 0.001),
+    tp AS (SELECT user_id, side, {s.label_sql()} AS label, row_number() OVER (PARTITION BY user_id, side ORDER BY abs(delta) DESC, idx) AS rank FROM sd WHERE side IS NOT NULL),
+    movers AS (SELECT user_id, string_agg(CASE side WHEN 'like' THEN '+' ELSE '-' END || label, '|' ORDER BY side DESC, rank) AS movers FROM tp WHERE rank <= 3 GROUP BY 1)
+    SELECT rs.user_id, judged, skipped, right_ AS "right", asked, explore_right, explore_asked, signals, round(right_ / nullif(CAST(asked AS DOUBLE), 0), 6) AS share, round(explore_right / nullif(CAST(explore_asked AS DOUBLE), 0), 6) AS explore_share,
+    coalesce(r.rev > rs.user_id % 3, FALSE) AS trained, movers, before, after, direction FROM rs LEFT JOIN runs r ON r.user_id = rs.user_id LEFT JOIN movers ON movers.user_id = rs.user_id LEFT JOIN moves ON moves.user_id = rs.user_id""")
 def _(t: Tables) -> DataFrame:
     p = votes.frozen_prediction(t.votes(), t.history())
-    none = t.votes().select("user_id", "story_id", F.lit(0).alias("total")).limit(0)
-    out = rounds.round_summary(_cards(t), t.votes(), p, none)
-    return out.select("user_id", "judged", "skipped", "right", "asked", "explore_right", "explore_asked", *r6("share", "explore_share"))
+    cards, w = _cards(t), t.weights()
+    judged = cards.join(t.votes().where("value <> 0"), ["user_id", "story_id"], "left_semi")
+    fresh = votes.new_signals(judged, t.features(), w.where("feature not like 'w:%e%'"))
+    dealt = cards.select("user_id", "seq", (F.col("user_id") % 3).alias("rev")).distinct()
+    out = rounds.round_summary(cards, t.votes(), p, fresh, dealt, t.runs(), model.weight_movers(t.weights(5), w), _moves(t))
+    keep = ("user_id", "judged", "skipped", "right", "asked", "explore_right", "explore_asked", "signals", "trained", "movers", "direction")
+    return out.select(*keep, *r6("share", "explore_share", "before", "after"))
 
 
 # --- J: reports -----------------------------------------------------------------------------------
@@ -781,10 +949,21 @@ def _(t: Tables) -> DataFrame:
     return reports.score_distribution(t.scores(), t.votes(), t.runs())
 
 
-@query("j3_stats", f"""WITH {s.MODEL} SELECT v.user_id, count(*) FILTER (value > 0) AS up, count(*) FILTER (value < 0) AS down, count(*) FILTER (value = 0) AS skip, any_value(r.rev) AS rev, any_value(r.n_votes) AS n_votes,
-    (SELECT count(*) FROM items) AS items, (SELECT count(DISTINCT day) FROM items) AS days FROM votes v LEFT JOIN runs r ON r.user_id = v.user_id GROUP BY 1""")
-def _(t: Tables) -> DataFrame:
-    return reports.stats(t.items(), t.votes(), t.runs())
+@query("j3_stats", f"""WITH {DIST},{s.RUN_LOG}, iw AS (SELECT * FROM weights WHERE support >= 2 AND abs(weight) > 0.0001 AND feature <> '__bias__'),
+    hi AS (SELECT user_id, string_agg({s.label_sql()}, '|' ORDER BY rank) AS likes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, idx) AS rank FROM iw) WHERE rank <= 3 AND weight > 0 GROUP BY 1),
+    lo AS (SELECT user_id, string_agg({s.label_sql()}, '|' ORDER BY rank) AS dislikes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY weight, idx) AS rank FROM iw) WHERE rank <= 3 AND weight < 0 GROUP BY 1),
+    di AS (SELECT user_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY bin) AS distribution FROM dist GROUP BY 1),
+    vc AS (SELECT user_id, count(*) FILTER (value > 0) AS up, count(*) FILTER (value < 0) AS down, count(*) FILTER (value = 0) AS skip FROM votes GROUP BY 1),
+    wc AS (SELECT user_id, count(*) AS n_features FROM weights GROUP BY 1)
+    SELECT v.user_id, up, down, skip, r.rev, r.n_votes, round(l.accuracy, 6) AS accuracy, round(l.auc, 6) AS auc, round(l.noise, 6) AS noise, CASE WHEN r.rev IS NOT NULL THEN n_features END AS n_features,
+    CASE WHEN r.rev IS NOT NULL THEN likes END AS likes, CASE WHEN r.rev IS NOT NULL THEN dislikes END AS dislikes, distribution,
+    (SELECT count(*) FROM items) AS items, (SELECT count(DISTINCT day) FROM items) AS days, {AS_OF} AS last_sync FROM vc v LEFT JOIN runs r ON r.user_id = v.user_id
+    LEFT JOIN run_log l ON l.user_id = r.user_id AND l.rev = 6 LEFT JOIN wc ON wc.user_id = v.user_id LEFT JOIN hi ON hi.user_id = v.user_id LEFT JOIN lo ON lo.user_id = v.user_id LEFT JOIN di ON di.user_id = v.user_id""")
+def _(t: Tables) -> DataFrame:
+    metrics = t.run_log().where("rev = 6").select("user_id", *r6("accuracy", "auc", "noise"))
+    runs = t.runs().join(metrics, "user_id", "left")
+    spread = reports.score_distribution(t.scores(), t.votes(), t.runs())
+    return reports.stats(t.items(), t.votes(), runs, t.weights(), model.insights(t.weights(), 3), spread)
 
 
 @query("j4_deck_mix", f"WITH {DECK} SELECT user_id, reason, count(*) AS cards FROM deck GROUP BY 1, 2")

@@ -65,10 +65,20 @@ def scan_day_range(source: DataFrame, first: str, last: str, per_day: int = 1000
     return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_day)
 
 
-def front_page_union(day_items: DataFrame, front: DataFrame, days: list[str], today: str, force: bool | None = None) -> DataFrame:
-    """The front page joins only a range that holds today, unless ``force`` says otherwise."""
+def front_page_union(day_items: DataFrame, front: DataFrame | None, days: list[str], today: str, force: bool | None = None) -> DataFrame:
+    """The front page joins only a range that holds today, unless ``force`` says otherwise; one that could not be read
+    (None) does not."""
     use = (today in days) if force is None else force
-    return day_items.unionByName(front) if use else day_items
+    return day_items.unionByName(front) if use and front is not None else day_items
+
+
+def front_page_failure(failures: DataFrame, front: DataFrame | None, days: list[str], today: str, force: bool | None = None) -> DataFrame:
+    """``failures`` (day, message), with a row for a front page that was wanted and could not be read: its failure counts
+    like a day's and stops nothing."""
+    if front is not None or not ((today in days) if force is None else force):
+        return failures
+    row = failures.sparkSession.range(1).select(F.lit("front page").alias("day"), F.lit("not read").alias("message"))
+    return failures.unionByName(row)
 
 
 def lookup_missing(votes: DataFrame, items: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,8 +118,32 @@ def sync_report(requested: DataFrame, current: DataFrame, incoming: DataFrame, f
     )
 
 
-def audit_gap(corpus: DataFrame, dump: DataFrame, first: str, last: str, min_points: int = 3) -> DataFrame:
-    """A complete dump against the corpus, per day: scanned, stories over the floor, recovered (new), updated (known)."""
+def sync_totals(report: DataFrame, failures: DataFrame, front_page: bool, scored: DataFrame) -> DataFrame:
+    """One row over a sync: days asked for, fetched_days, fetched, inserted, the failures that no day of the report names
+    among them, the range, whether the front page was wanted, and how many pairs ``scored`` has."""
+    every = report.agg(
+        F.count("*").alias("days"),
+        F.count_if(~F.col("failed")).alias("fetched_days"),
+        F.coalesce(F.sum("fetched"), F.lit(0)).alias("fetched"),
+        F.coalesce(F.sum("inserted"), F.lit(0)).alias("inserted"),
+        F.min("day").alias("from_day"),
+        F.max("day").alias("to_day"),
+    )
+    # a row a day
+    listed = failures.agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(": ", "day", "message"))), "; ").alias("failures"))
+    return every.crossJoin(listed).crossJoin(scored.agg(F.count("*").alias("scored"))).withColumn("front_page", F.lit(front_page))
+
+
+def audit_gap(corpus: DataFrame, dump: DataFrame, first: str, last: str, min_points: int = 3, unread: DataFrame | None = None) -> DataFrame:
+    """A complete dump against the corpus, per day: scanned, stories over the floor, recovered (new), updated (known), and
+    failed, the ids of ``unread`` (day, story_id) that the dump could not give."""
+    if unread is not None:
+        here = (F.col("day") >= first) & (F.col("day") <= last)
+        bad = unread.where(here).groupBy("day").agg(F.countDistinct("story_id").alias("failed"))
+        found = audit_gap(corpus, dump.join(unread.select("story_id"), "story_id", "left_anti"), first, last, min_points)
+        both = found.drop("failed").join(bad, "day", "full")
+        counts = ("scanned", "stories", "recovered", "updated", "failed")
+        return both.select("day", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
     some = dump.where((F.col("day") >= first) & (F.col("day") <= last))
     rows = some.join(corpus.select("story_id", F.lit(True).alias("known")), "story_id", "left")
     over = F.col("points") >= min_points
@@ -118,6 +152,7 @@ def audit_gap(corpus: DataFrame, dump: DataFrame, first: str, last: str, min_poi
         F.count_if(over).alias("stories"),
         F.count_if(over & F.col("known").isNull()).alias("recovered"),
         F.count_if(over & F.col("known").isNotNull()).alias("updated"),
+        F.lit(0).cast("long").alias("failed"),
     )
 
 
@@ -163,6 +198,7 @@ def write_items(items: DataFrame, path: str) -> None:
 
 
 def write_scores(scores: DataFrame, path: str, buckets: int = 64) -> None:
-    """Parquet by a bucket of the user's id; buckets that are not in ``scores`` stay as they are."""
-    out = scores.withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
+    """Parquet by a bucket of the user's id: writing again replaces the buckets in ``scores`` whole and leaves others as
+    they are, so a bucket's users are written together."""
+    out = scores.withColumn("user_bucket", F.pmod("user_id", F.lit(buckets)).cast("int"))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_bucket").parquet(path)

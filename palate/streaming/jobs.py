@@ -1,90 +1,136 @@
-"""Incremental forms of the batch jobs. Each takes a streaming DataFrame and gives a started query or a stream."""
+"""Incremental forms of the batch jobs. Each takes a streaming DataFrame and gives a started query or a stream.
+
+Tables that batches change are kept in buckets by key: a batch reads and rewrites the buckets it touches, under its own
+number, so a batch that runs again replaces its own version, and readers take each bucket's newest whole version.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palate.operators.score import rescore_all
 from palate.operators.features import featurize
-from palate.operators.votes import fold_votes
+from palate.operators.rounds import VOID_AFTER
+from palate.operators.score import rescore_all
+from palate.operators.votes import fold_votes, frozen_prediction
 from palate.sources.ingest import ITEM_COLUMNS, merge_items
 
+BUCKETS = 64
+
+
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        return []
-    return sorted(
-        x.getPath().toString() for x in fs.listStatus(where)
-        if x.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))
-    )
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, where = _fs(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
 
-def latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """Newest whole version of a table that merge steps write."""
-    found = _versions(spark, path)
-    return spark.read.parquet(found[-1]) if found else None
 
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[str, list[str]]:
+    """Bucket folder to the numbers of the whole versions that have it, ascending."""
+    out: dict[str, list[str]] = {}
+    for number in _names(spark, path):
+        if before is None or int(number) < before:
+            found = _names(spark, f"{path}/{number}")
+            for bucket in (x for x in found if x.startswith("bucket=") and "_SUCCESS" in found):
+                out.setdefault(bucket, []).append(number)
+    return out
 
-def _next(df: DataFrame, path: str, batch: int) -> None:
-    """A version is named by its batch, so a batch that runs again replaces its own."""
-    df.write.mode("overwrite").parquet(f"{path}/{batch:012d}")
 
+def latest(spark: SparkSession, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """Newest whole version of every bucket, or of some buckets before a batch; None where there is nothing yet."""
+    wanted = None if buckets is None else {f"bucket={b}" for b in buckets}
+    found = {k: v[-1] for k, v in _versions(spark, path, before).items() if wanted is None or k in wanted}
+    paths = [f"{path}/{number}/{bucket}" for bucket, number in sorted(found.items())]
+    return spark.read.parquet(*paths) if paths else None
 
-def _before(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    found = [v for v in _versions(spark, path) if int(v.rsplit("/", 1)[1]) < batch]
-    return spark.read.parquet(found[-1]) if found else None
 
+def upsert(batch: DataFrame, path: str, number: int, key: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
+    """One batch into the table under ``path``. ``merge(current, batch)`` gives the new rows of the buckets that the batch
+    touches, and must leave none of them without rows. Of older versions the last one before this batch stays."""
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # BUCKETS at most
+    if not touched:
+        return
+    new = merge(latest(spark, path, number, touched), batch)
+    new.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{number:012d}")
+    for name, numbers in _versions(spark, path, number).items():
+        for old in numbers[:-1]:
+            fs, where = _fs(spark, f"{path}/{old}/{name}")
+            fs.delete(where, True)
 
-def stream_items(items: DataFrame, path: str, checkpoint: str, then=None) -> StreamingQuery:
+
+def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_items(items: DataFrame, path: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Late and repeated items merge into the table under ``path`` and never lower it. ``then(batch, id)`` runs after."""
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        current = _before(spark, path, number)
+    def merge(current: DataFrame | None, batch: DataFrame) -> DataFrame:
         empty = batch.select(*ITEM_COLUMNS).limit(0)
-        _next(merge_items(current if current is not None else empty, merge_items(empty, batch)), path, number)
+        return merge_items(current if current is not None else empty, merge_items(empty, batch))
+
+    def step(batch: DataFrame, number: int) -> None:
+        upsert(batch, path, number, "story_id", merge)
         if then:
             then(batch, number)
 
-    return items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(items, step, checkpoint)
 
 
 def stream_votes(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Vote events, tombstones included, kept per user and item as what a fold needs: latest tombstone and the live
-    votes' first, last and value; the folded votes are under ``path``."""
+    """Vote events, tombstones included, kept per user and item as what a fold needs: the latest tombstone and the events
+    after it. ``latest_votes`` folds them."""
 
-    def step(batch: DataFrame, number: int) -> None:
-        log = f"{path}-log"
-        current = _before(batch.sparkSession, log, number)
+    def merge(current: DataFrame | None, batch: DataFrame) -> DataFrame:
         rows = batch if current is None else current.unionByName(batch)
-        # of each user and item only the events after the last tombstone matter, and that tombstone itself
-        from pyspark.sql import Window
-
         at = F.struct("ts", "event_id")
         gone = F.max(F.when(F.col("value").isNull(), at)).over(Window.partitionBy("user_id", "story_id"))
         rows = rows.dropDuplicates(["event_id"]).withColumn("gone", gone)
-        rows = rows.where(F.col("gone").isNull() | (at >= F.col("gone"))).drop("gone")
-        _next(rows, log, number)
-        _next(fold_votes(batch.sparkSession.read.parquet(f"{log}/{number:012d}")), path, number)
+        return rows.where(F.col("gone").isNull() | (at >= F.col("gone"))).drop("gone")
+
+    return _start(events, lambda batch, number: upsert(batch, path, number, "user_id", merge), checkpoint)
+
 
-    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest_votes(spark: SparkSession, path: str) -> DataFrame | None:
+    log = latest(spark, path)
+    return None if log is None else fold_votes(log)
 
 
-def stream_predictions(votes: DataFrame, scores: DataFrame) -> DataFrame:
-    """Each arriving vote with the score in force when it arrives: a stream-static join, appended once."""
-    return votes.join(scores.select("user_id", "story_id", "score", "confidence", "model_rev"), ["user_id", "story_id"], "left")
+def stream_predictions(events: DataFrame, history: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each arriving vote with the score in force when it was cast, the latest of ``history`` with scored_at <= ts:
+    appended once, a folder for each batch. Tombstones have no prediction."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        cast = batch.where("value is not null").withColumnRenamed("ts", "updated_at")
+        frozen_prediction(cast, history).write.mode("overwrite").parquet(f"{path}/number={number}")
+
+    return _start(events, step, checkpoint)
 
 
 def stream_score_arrivals(items: DataFrame, path: str, scores_path: str, checkpoint: str, weights: DataFrame, runs: DataFrame) -> StreamingQuery:
-    """Nothing is ingested without being scored: each batch is merged, then scored for every user with a model."""
+    """Nothing is ingested without being scored: each batch is merged, then its items, as merged, are scored for every
+    user with a model; earlier scores of other items stay."""
+
+    def merge(current: DataFrame | None, new: DataFrame) -> DataFrame:
+        if current is None:
+            return new
+        return current.join(new.select("user_id", "story_id"), ["user_id", "story_id"], "left_anti").unionByName(new)
 
     def then(batch: DataFrame, number: int) -> None:
-        _next(rescore_all(featurize(batch.dropDuplicates(["story_id"])), weights, runs), scores_path, number)
+        merged = latest(batch.sparkSession, path)
+        if merged is not None:
+            arrived = merged.join(batch.select("story_id").distinct(), "story_id", "left_semi")
+            upsert(rescore_all(featurize(arrived), weights, runs), scores_path, number, "story_id", merge)
 
     return stream_items(items, path, checkpoint, then)
 
@@ -97,6 +143,34 @@ def items_per_day_stream(items: DataFrame, late: str = "2 days") -> DataFrame:
     )
 
 
-def stale_round_expiry(rounds: DataFrame, as_of_column: str = "as_of", void_after: int = 86_400) -> DataFrame:
-    """Rounds of a stream that are void at the time each row carries."""
-    return rounds.where(F.col("dealt_at") <= F.col(as_of_column) - void_after)
+def stale_round_expiry(deals: DataFrame, late: str = "0 seconds", void_after: int = VOID_AFTER) -> DataFrame:
+    """Rounds of a stream of deals (user_id, seq, dealt_at) that became void: (user_id, seq, expired_at). A deal is void
+    ``void_after`` seconds after it, unless the user has been dealt another by then; event time tells, by a timer per
+    user, so a round expires without any further row of its user. Deals of one user come in order."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else None
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], held[0], held[1] + void_after))
+            state.remove()
+        else:
+            rows = sorted((int(d), int(s)) for b in batches for s, d in zip(b["seq"], b["dealt_at"], strict=True))
+            for dealt, seq in rows:
+                if held and dealt >= held[1] + void_after:
+                    out.append((key[0], held[0], held[1] + void_after))
+                held = (seq, dealt)
+            end = (held[1] + void_after) * 1000
+            if end <= state.getCurrentWatermarkMs():
+                out.append((key[0], held[0], held[1] + void_after))
+                if state.exists:
+                    state.remove()
+            else:
+                state.update(held)
+                state.setTimeoutTimestamp(end)
+        yield pd.DataFrame(out, columns=["user_id", "seq", "expired_at"])
+
+    timed = deals.withColumn("at", F.timestamp_seconds("dealt_at")).withWatermark("at", late)
+    return timed.groupBy("user_id").applyInPandasWithState(
+        run, "user_id long, seq long, expired_at long", "seq long, dealt_at long", "append", GroupStateTimeout.EventTimeTimeout
+    )

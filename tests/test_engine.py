@@ -128,7 +128,7 @@ def test_stream_of_votes_equals_batch(spark, tmp_path):
         jobs.stream_votes(spark.readStream.schema(schema).parquet(src), str(tmp_path / "v"), str(tmp_path / "cp")).awaitTermination()
     every = spark.createDataFrame([r for p in parts for r in p], schema)
     cols = ("story_id", "value", "created_at", "updated_at")
-    assert rows(jobs.latest(spark, str(tmp_path / "v")), *cols) == rows(votes.fold_votes(every), *cols)
+    assert rows(jobs.latest_votes(spark, str(tmp_path / "v")), *cols) == rows(votes.fold_votes(every), *cols)
 
 
 @pytest.mark.parametrize("name", ["a6_merge_items", "b2_unvote", "c14_featurize", "d8_parse_feed_link", "e9_cv_metrics", "f1_rescore_all", "h17_explore_queue", "i5_paired_flips", "j5_coverage_dips"])
