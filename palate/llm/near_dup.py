@@ -174,8 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.join(full, classes.rep == full.doc_id).select("rep", classes.fp, "n_shingles", "bands", "sig")
     reps = materialise(reps, "classes")
     discard(whole)
-    links = _links(reps, texts, percent)
-    comp = components(links, "near")
+    comp = _components(reps, texts, percent)
     out = named.join(reps.select("fp", "rep"), "fp", "left").join(
         comp.select(F.col("id").alias("rep"), "comp"), "rep", "left"
     )
@@ -188,8 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.unionByName(lone)
 
 
-def _links(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between class representatives, enough of them to give the right components."""
+def _components(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Components (id, comp) of class representatives under confirmed links; those without a link have no row."""
     floor = percent / 100 - SLACK
     members = reps.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("top")).where("center < top")
@@ -238,4 +237,16 @@ def _links(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         .join(stars, ["a", "b"], "left_anti")
     )
     second = materialise(confirm(more, texts, percent), "links")
-    return first.unionByName(second)
+    if second.isEmpty():
+        return comp
+    # the components so far are the nodes of what is left to join
+    ends = second.select(F.col("a").alias("id")).unionByName(second.select(F.col("b").alias("id"))).distinct()
+    comp = materialise(
+        comp.unionByName(ends.join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))), "labels"
+    )
+    edges = second.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a")
+    edges = edges.join(comp.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b")
+    joined = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")), "near")
+    return comp.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select(
+        "id", F.coalesce("top", "comp").alias("comp")
+    )
