@@ -1,4 +1,7 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
+
+Items, votes, features, examples, the fixture model and its scores are written once, as an engine keeps them, and timed
+as ``prepare_inputs``; queries start from those tables."""
 
 from __future__ import annotations
 
@@ -13,6 +16,8 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (sys.path[0], os.environ
 from pyspark.sql import SparkSession  # noqa: E402
 
 from palate import registry  # noqa: E402
+from palate.plans.fixtures import Tables  # noqa: E402
+from palate.sources.storage import scratch  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -20,6 +25,7 @@ HEADLINE = (
     "b1_fold_votes",
     "c14_featurize",
     "e3_fit_grouped",
+    "e9_cross_validate",
     "f1_rescore_all",
     "h2_feed_foryou",
     "h16_training_queue",
@@ -41,6 +47,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{SF_DIR}/events.parquet").count()
     queries, took = registry.queries(), {}
+    start = time.time()
+    Tables(spark, SF_DIR).store(scratch(spark, "bench"))
+    took["prepare_inputs"] = round(time.time() - start, 3)
     for name in HEADLINE:
         start = time.time()
         queries[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()

@@ -591,7 +591,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("f1_rescore_all", f"WITH {s.SCORED} SELECT user_id, story_id, score, confidence, model_rev FROM scores")
 def _(t: Tables) -> DataFrame:
-    return t.scores()
+    return score.rescore_all(t.features(), t.weights(), t.runs())
 
 
 @query("f2_score_missing", f"WITH {s.SCORED} SELECT user_id, story_id, score FROM scores WHERE story_id % 6 = 0 OR (story_id % 6 = 1 AND user_id % 2 = 0)")
