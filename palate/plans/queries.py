@@ -896,7 +896,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("i4_round_summary", f"""WITH {s.MODEL},{s.HISTORY},{s.RUN_LOG},{s.weights_sql("before_w", 5)}, {FROZEN_ONLY}, {FLIPS_ONLY}, {MOVES}, {CARDS},
     j AS (SELECT c.user_id, seq, c.story_id, reason, v.value, f.score FROM cards c LEFT JOIN votes v ON v.user_id = c.user_id AND v.story_id = c.story_id LEFT JOIN frozen f ON f.user_id = c.user_id AND f.story_id = c.story_id),
-    fresh AS (SELECT j.user_id, j.story_id, count(*) AS total FROM j JOIN features USING (story_id) WHERE value <> 0 AND {s.CONTENT} AND NOT EXISTS
+    fresh AS (SELECT j.user_id, j.story_id, count(*) AS total FROM j JOIN features USING (story_id) WHERE j.value <> 0 AND {s.CONTENT} AND NOT EXISTS
     (SELECT 1 FROM weights w WHERE w.user_id = j.user_id AND w.feature = features.feature AND w.feature NOT LIKE 'w:%e%') GROUP BY 1, 2),
     rs AS (SELECT j.user_id, seq, count(*) FILTER (value <> 0) AS judged, count(*) FILTER (value = 0) AS skipped, count(*) FILTER (value <> 0 AND score IS NOT NULL AND (score >= 0.5) = (value > 0)) AS right_, count(*) FILTER (value <> 0 AND score IS NOT NULL) AS asked,
     count(*) FILTER (reason = 'explore' AND value <> 0 AND score IS NOT NULL AND (score >= 0.5) = (value > 0)) AS explore_right, count(*) FILTER (reason = 'explore' AND value <> 0 AND score IS NOT NULL) AS explore_asked,

@@ -66,6 +66,83 @@ def test_opposite_tastes_rank_opposite(spark):
     assert s[1, 7] > s[1, 8] and s[2, 7] < s[2, 8] and len(s) == 16
 
 
+def plain_fit(examples, o):
+    """The rule one example at a time, with the generator as a loop: (label, features) in order to weights."""
+    n, pos, w, squares, a = len(examples), sum(y for y, _ in examples), {}, {}, o.seed
+    order, l2 = list(range(n)), o.l2 * max(200 / n, 1)
+    for _ in range(o.epochs):
+        for i in range(n - 1, 0, -1):
+            a = (a + 0x6D2B79F5) % 2**32
+            t = (a ^ a >> 15) * (a | 1) % 2**32
+            t = (t + (t ^ t >> 7) * (t | 61)) % 2**32 ^ t
+            j = math.floor((t ^ t >> 14) / 2**32 * (i + 1))
+            order[i], order[j] = order[j], order[i]
+        for y, fs in (examples[k] for k in order):
+            error = 1 / (1 + math.exp(-sum(w.get(f, 0.0) * v for f, v in fs.items()))) - y
+            for f, v in fs.items():
+                grad = error * v * (n / (2 * pos) if y else n / (2 * (n - pos))) + l2 * w.get(f, 0.0)
+                squares[f] = squares.get(f, 1e-8) + grad * grad
+                w[f] = w.get(f, 0.0) - o.lr / math.sqrt(squares[f]) * grad
+    return w
+
+
+def test_training_follows_the_rule(spark):
+    """Weights of users of different sizes and of their folds, against the plain form; users of one label have none."""
+    import random
+
+    r, ex, fs = random.Random(4), [], []
+    for i in range(60):
+        fs += [(i, f, v, k) for k, (f, v) in enumerate([("__bias__", 1.0), *((f"w:{x}", 0.5) for x in r.sample(range(30), 5))])]
+    for user, n in ((1, 23), (2, 7), (3, 40), (4, 5)):
+        for k, i in enumerate(r.sample(range(60), n)):
+            ex.append((user, i, k, 1 if user == 4 else int(r.random() < 0.4 or k == 0) if k != 1 else 0))
+    e = spark.createDataFrame(ex, "user_id long, story_id long, ord int, label int")
+    f = spark.createDataFrame(fs, "story_id long, feature string, value double, pos int")
+    folded = model.cv_folds(e, 3)
+    got = collections.defaultdict(dict)
+    for x in model.fit_grouped(folded, f).collect():
+        got[x.user_id, x.fold][x.feature] = x.weight
+    of = collections.defaultdict(dict)
+    for i, name, v, _ in fs:
+        of[i][name] = v
+    rows_of = collections.defaultdict(list)
+    for x in sorted(folded.collect(), key=lambda x: x.ord):
+        rows_of[x.user_id].append(x)
+    models = 0
+    for user, votes_of in rows_of.items():
+        for fold in {-1} | {x.fold for x in votes_of if x.fold is not None}:
+            train = [(x.label, of[x.story_id]) for x in votes_of if fold < 0 or x.fold != fold]
+            if len({y for y, _ in train}) < 2:
+                assert (user, fold) not in got
+                continue
+            want = plain_fit(train, model.FitOptions())
+            assert set(want) == set(got[user, fold])
+            assert max(abs(want[k] - got[user, fold][k]) for k in want) < 2e-6
+            models += 1
+    assert models >= 8 and not any(user == 4 for user, _ in got)
+
+
+def test_streams_accumulate(spark, tmp_path):
+    """Scores of earlier batches stay, items are scored as merged, and a round expires without a new row of its user."""
+    at = str(tmp_path)
+    w = spark.createDataFrame([(1, "__bias__", 1.0), (1, "w:new", 2.0)], "user_id long, feature string, weight double")
+    runs = spark.createDataFrame([(1, 3, 40, 20, 20)], "user_id long, rev int, n_votes long, n_pos long, n_neg long")
+    for df in ([item(1, "old", 10, 5, 100, 1)], [item(2, "two", 1, 1, 50, 2), item(1, "new", 1, 1, 100, 3)], [item(1, "stale", 1, 1, 100, 2)]):
+        spark.createDataFrame(df, ITEMS).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(ITEMS).parquet(f"{at}/in")
+        jobs.stream_score_arrivals(stream, f"{at}/items", f"{at}/scores", f"{at}/cp", w, runs).awaitTermination()
+    items = jobs.latest(spark, f"{at}/items")
+    assert rows(jobs.latest(spark, f"{at}/scores"), "story_id", "score") == rows(rescore_all(featurize(items), w, runs), "story_id", "score")
+    deals = "user_id long, seq long, dealt_at long"
+    for part in ([(1, 1, 1_000), (2, 1, 2_000)], [(2, 2, 40_000)], [(3, 1, 100_000)], [(3, 2, 300_000)]):
+        spark.createDataFrame(part, deals).coalesce(1).write.mode("append").parquet(f"{at}/deals")
+    stream = spark.readStream.schema(deals).option("maxFilesPerTrigger", 1).parquet(f"{at}/deals")
+    out = jobs.stale_round_expiry(stream).writeStream.outputMode("append").option("checkpointLocation", f"{at}/cp2").format("parquet")
+    out.trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    got = rows(spark.read.parquet(f"{at}/out"), "user_id", "seq", "expired_at")
+    assert got == [(1, 1, 87_400), (2, 2, 126_400), (3, 1, 186_400)]
+
+
 def test_pooled_weights_are_kept_by_name(spark):
     slot = F.pmod(F.xxhash64("feature"), F.lit(1 << 18))
     names = spark.range(5000).select(F.concat(F.lit("w:"), F.col("id").cast("string")).alias("feature"))
@@ -131,7 +208,7 @@ def test_stream_of_votes_equals_batch(spark, tmp_path):
     assert rows(jobs.latest_votes(spark, str(tmp_path / "v")), *cols) == rows(votes.fold_votes(every), *cols)
 
 
-@pytest.mark.parametrize("name", ["a6_merge_items", "b2_unvote", "c14_featurize", "d8_parse_feed_link", "e9_cv_metrics", "f1_rescore_all", "h17_explore_queue", "i5_paired_flips", "j5_coverage_dips"])
+@pytest.mark.parametrize("name", ["a6_merge_items", "b2_unvote", "c14_featurize", "d8_parse_feed_link", "a7_sync_totals", "a8_audit_gap", "a12_write_scores", "e9_cv_metrics", "f1_rescore_all", "g3_stream_predictions", "g5_items_per_day_stream", "g6_stale_round_expiry", "h9_allocate", "h16_training_queue", "h17_explore_queue", "i5_paired_flips", "j5_coverage_dips"])
 def test_query_equals_sql(spark, name):
     def tidy(v):
         return None if isinstance(v, float) and math.isnan(v) else round(v, 6) + 0.0 if isinstance(v, float) else v
