@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palate.functions import text
 
+#: Openings that mark a narrative title.
 NARRATIVE = ("how", "why", "what", "when", "the case for", "i ")
 STYLE = 0.6
 #: Sections keep insertion order: a feature's place is section * SECTION + word * 100 + part.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palate.functions.scalars import DAY
 from palate.functions.text import search_literal
+from palate.operators.decks import voted_out
 
 
 @dataclass(frozen=True)
@@ -26,9 +27,11 @@ class FeedOptions:
     offset: int = 0
 
 
-def feed_scope(items: DataFrame, scores: DataFrame, votes: DataFrame, o: FeedOptions, as_of: int) -> DataFrame:
-    """Items in each user's scope with score, confidence and vote. A day replaces the rolling window; skipped items
-    stay; unscored ones go; a maximum of 1 is no cap. Item filters come before the join, so they reach the scan."""
+KEYS = ("points", "num_comments", "created_at")
+
+
+def _scope(items: DataFrame, scores: DataFrame, votes: DataFrame, o: FeedOptions, as_of: int) -> DataFrame:
+    """Pairs in scope with their score and what feeds are ordered by, nothing wider."""
     some = items.where((F.col("points") >= o.min_points) & (F.col("num_comments") >= o.min_comments))
     if o.day:
         some = some.where(F.col("day") == o.day)
@@ -39,8 +42,20 @@ def feed_scope(items: DataFrame, scores: DataFrame, votes: DataFrame, o: FeedOpt
     s = scores.where(F.col("score").isNotNull() & (F.col("score") >= o.min_score))
     if o.max_score < 1.0:
         s = s.where(F.col("score") < o.max_score)
-    out = some.join(s, "story_id").join(votes.select("user_id", "story_id", "value"), ["user_id", "story_id"], "left")
-    return out if o.include_voted else out.where(F.col("value").isNull() | (F.col("value") == 0))
+    out = some.select("story_id", *KEYS).join(s, "story_id")
+    return out if o.include_voted else voted_out(out, votes.where("value <> 0"))
+
+
+def _whole(pairs: DataFrame, items: DataFrame, votes: DataFrame) -> DataFrame:
+    """The items' other columns and the users' votes beside ``pairs``."""
+    rest = items.select(*(c for c in items.columns if c not in KEYS))
+    return pairs.join(rest, "story_id").join(votes.select("user_id", "story_id", "value"), ["user_id", "story_id"], "left")
+
+
+def feed_scope(items: DataFrame, scores: DataFrame, votes: DataFrame, o: FeedOptions, as_of: int) -> DataFrame:
+    """Items in each user's scope with score, confidence and vote. A day replaces the rolling window; skipped items
+    stay; unscored ones go; a maximum of 1 is no cap. Item filters come before the join, so they reach the scan."""
+    return _whole(_scope(items, scores, votes, o, as_of), items, votes)
 
 
 def order_of(mode: str) -> tuple[dict[str, Column], list[Column]]:
@@ -60,20 +75,20 @@ def order_of(mode: str) -> tuple[dict[str, Column], list[Column]]:
 def feed(items: DataFrame, scores: DataFrame, votes: DataFrame, o: FeedOptions, as_of: int) -> DataFrame:
     """A page of every user's feed: rows with ``pos`` from offset + 1 and ``total`` before paging."""
     extra, order = order_of(o.mode)
-    scope = feed_scope(items, scores, votes, o, as_of).withColumns(extra | {"confidence": F.coalesce("confidence", F.lit(0.0))})
+    scope = _scope(items, scores, votes, o, as_of).withColumns(extra | {"confidence": F.coalesce("confidence", F.lit(0.0))})
     limit, offset = min(max(o.limit, 1), 200), max(o.offset, 0)
     ranked = scope.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
     page = ranked.where(F.col("pos") <= offset + limit).where(F.col("pos") > offset)
     total = scope.groupBy("user_id").agg(F.count("*").alias("total"))
-    return page.join(total, "user_id")
+    return _whole(page.join(total, "user_id"), items, votes)
 
 
 def feed_rank(items: DataFrame, scores: DataFrame, votes: DataFrame, o: FeedOptions, as_of: int) -> DataFrame:
     """The page without totals: one ranking, cut at the limit before rows leave their task."""
     extra, order = order_of(o.mode)
-    scope = feed_scope(items, scores, votes, o, as_of).withColumns(extra)
+    scope = _scope(items, scores, votes, o, as_of).withColumns(extra)
     ranked = scope.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
-    return ranked.where(F.col("pos") <= min(max(o.limit, 1), 200))
+    return _whole(ranked.where(F.col("pos") <= min(max(o.limit, 1), 200)), items, votes)
 
 
 def vote_log(votes: DataFrame, items: DataFrame, scores: DataFrame, oof: DataFrame, value: int | None = None, limit: int = 50, offset: int = 0) -> DataFrame:

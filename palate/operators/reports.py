@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palate.functions.text import describe_feature
+from palate.operators.decks import voted_out
 
 
 def items_per_day(items: DataFrame, window_days: int = 60) -> DataFrame:
@@ -48,7 +49,7 @@ def coverage_dips(days: DataFrame) -> DataFrame:
 def score_distribution(scores: DataFrame, votes: DataFrame, runs: DataFrame, bins: int = 20) -> DataFrame:
     """Per user with a model: how many never-voted items fall into each of ``bins`` equal score bins, empty ones too."""
     now = scores.join(runs.select("user_id", F.col("rev").alias("model_rev")), ["user_id", "model_rev"], "left_semi")
-    now = now.join(votes.select("user_id", "story_id"), ["user_id", "story_id"], "left_anti")
+    now = voted_out(now, votes)
     binned = now.groupBy("user_id", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(
         F.count("*").alias("n")
     )

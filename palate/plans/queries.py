@@ -800,7 +800,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("h15_interleave", f"WITH {DECK} SELECT user_id, story_id, reason, row_number() OVER (PARTITION BY user_id ORDER BY at, reason) AS pos FROM (SELECT * FROM b UNION ALL SELECT * FROM n)")
 def _(t: Tables) -> DataFrame:
-    c = _strata(t).persist()
+    c = _strata(t)
     b = decks.stratum_boundary(c, 5)
     n = decks.stratum_novel(c.join(b, ["user_id", "story_id"], "left_anti"), 3)
     return decks.interleave(b.unionByName(n)).select("user_id", "story_id", "reason", "pos")
