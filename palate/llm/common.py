@@ -258,3 +258,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         discard(large)
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(roots)
+
+
+def join_components(comp: DataFrame, edges: DataFrame, name: str = "joined") -> DataFrame:
+    """``comp`` (id, comp) with further ``edges`` (a, b): the components so far are the nodes of what is left to join, and
+    ends that had no component are components of their own."""
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    alone = ends.join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))
+    comp = materialise(comp.unionByName(alone), name)
+    up = edges.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a")
+    up = up.join(comp.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b")
+    top = components(up.select(F.col("x").alias("a"), F.col("y").alias("b")), name)
+    top = top.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+    return comp.join(top, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
