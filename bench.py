@@ -1,7 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Items, votes, features, examples, the fixture model and its scores are written once, as an engine keeps them, and timed
-as ``prepare_inputs``; queries start from those tables."""
+as ``prepare_inputs``; queries start from those tables. A query whose work is to make one of them makes it anew: b1 folds
+the raw events, c14 featurises the stored items."""
 
 from __future__ import annotations
 
@@ -21,6 +22,8 @@ from palate.sources.storage import scratch  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+#: The table that a query makes itself.
+ANEW = {"b1_fold_votes": "votes", "c14_featurize": "features"}
 HEADLINE = (
     "b1_fold_votes",
     "c14_featurize",
@@ -51,6 +54,7 @@ def main() -> None:
     Tables(spark, SF_DIR).store(scratch(spark, "bench"))
     took["prepare_inputs"] = round(time.time() - start, 3)
     for name in HEADLINE:
+        Tables.making = ANEW.get(name)
         start = time.time()
         queries[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         spark.catalog.clearCache()

@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,23 +49,34 @@ def fold_pairs() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-def _nfkd(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKD")
-
-
-def fold_text(c: Column, exact_unicode: bool = False) -> Column:
-    """Lower case, marks off, apostrophes deleted, everything but ``a-z 0-9 + # . - & /`` a space. The default maps
-    characters that decompose to one ASCII character; ``exact_unicode`` decomposes all, in a pandas UDF."""
+@lru_cache(1)
+def fold_table() -> str:
+    """What each character under 0x20000 becomes, in order, between separators: its compatibility decomposition without
+    marks and apostrophes, what is not kept a space."""
+    keep, out = set("abcdefghijklmnopqrstuvwxyz0123456789+#.&/- \t\n\x0b\f\r"), []
+    for code in range(0x20000):
+        c = chr(code) if not 0xD800 <= code < 0xE000 else " "
+        plain = (x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F and x not in DELETED)
+        out.append("".join(x if x in keep else " " for x in plain))
+    return "\x01".join(out)
+
+
+def fold_text(c: Column, exact_unicode: bool = True) -> Column:
+    """Lower case, decomposed, marks off, apostrophes deleted, everything but ``a-z 0-9 + # . - & /`` a space. Characters
+    outside ASCII are looked up by their number; texts without any take the short way. Not ``exact_unicode`` maps those
+    alone that decompose to one ASCII character."""
     lower = F.lower(c)
-    if exact_unicode:
-        lower = F.regexp_replace(F.pandas_udf(_nfkd, "string")(lower), "[\\u0300-\\u036F]", "")
-    else:
-        source, target = fold_pairs()
-        lower = F.translate(F.regexp_replace(lower, "[\\u0300-\\u036F]", ""), source, target)
-    return F.regexp_replace(F.translate(lower, DELETED, ""), "[^a-z0-9+#.&/\\s-]", " ")
+    source, target = fold_pairs()
+    short = F.translate(F.regexp_replace(lower, "[\\u0300-\\u036F]", ""), source, target)
+    short = F.regexp_replace(F.translate(short, DELETED, ""), "[^a-z0-9+#.&/\\s-]", " ")
+    if not exact_unicode:
+        return short
+    table = F.split(F.lit(fold_table()), "\x01")
+    one = lambda x: F.coalesce(F.get(table, F.ascii(x)), F.lit(" "))
+    return F.when(c.rlike("[^\\x00-\\x7F]"), F.array_join(F.transform(F.split(lower, ""), one), "")).otherwise(short)
 
 
-def tokenize(c: Column, exact_unicode: bool = False) -> Column:
+def tokenize(c: Column, exact_unicode: bool = True) -> Column:
     """Tokens of a title in order; an empty array for null."""
     parts = F.split(F.coalesce(fold_text(c, exact_unicode), F.lit("")), "\\s+")
     trimmed = F.transform(parts, lambda w: F.btrim(w, F.lit(EDGES)))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palate.functions.scalars import DAY, raw_offset
+from palate.operators.ranking import numbered, permuted
+from palate.sources.storage import scratch
 
 SHARES = (("boundary", 0.4), ("novel", 0.2), ("recent", 0.2), ("explore", 0.2))
 CONFIDENT, NEAR, RECENT_DAYS = 0.4, 0.15, 3
@@ -16,18 +20,21 @@ def unjudged(pairs: DataFrame, votes: DataFrame) -> DataFrame:
     return pairs.join(votes.select("user_id", "story_id"), ["user_id", "story_id"], "left_anti")
 
 
+def heads(users: DataFrame, ranking: DataFrame, votes: DataFrame, depth: int) -> DataFrame:
+    """(user_id, rank, and the columns of ``ranking``): the first ``depth`` unjudged rows of one ranking (rank from 0,
+    story_id) that all share, and some more. A user looks as deep as ``depth`` and the own votes on ranked items reach."""
+    cast = votes.select("user_id", "story_id").join(ranking.select("story_id"), "story_id").groupBy("user_id").agg(F.count("*").alias("cast"))
+    reach = users.select("user_id").join(cast, "user_id", "left").withColumn("reach", F.coalesce("cast", F.lit(0)) + depth - 1)
+    pairs = reach.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), "reach")).alias("rank")).join(ranking, "rank")
+    return unjudged(pairs, votes)
+
+
 def cold_queue(users: DataFrame, items: DataFrame, votes: DataFrame, limit: int = 12, min_points: int = 10) -> DataFrame:
-    """For users without a model: the most discussed unjudged items. A user looks only as deep into the one ranking of
-    all items as ``limit`` and the own votes reach."""
+    """For users without a model: the most discussed unjudged items, from one ranking of all."""
     some = items.where(F.col("points") >= min_points).select("story_id", "num_comments")
-    cast = users.select("user_id").join(votes.select("user_id", "story_id"), "user_id", "left").groupBy("user_id")
-    reach = cast.agg((F.count("story_id") + limit).cast("int").alias("reach"))
-    deepest = reach.agg(F.max("reach")).first()[0] or limit
-    best = some.orderBy(F.desc("num_comments"), F.desc("story_id")).limit(deepest)
-    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("num_comments"), F.desc("story_id"))))
-    pairs = reach.select("user_id", F.explode(F.sequence(F.lit(1), "reach")).alias("rank")).join(ranked, "rank")
+    ranking = numbered(some, "rank", F.desc("num_comments"), F.desc("story_id"))
     order = Window.partitionBy("user_id").orderBy("rank")
-    out = unjudged(pairs, votes).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
+    out = heads(users, ranking, votes, limit).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
     return out.drop("rank").withColumn("reason", F.lit("popular"))
 
 
@@ -63,11 +70,10 @@ def sampling_key(rev: Column, cursor: Column) -> Column:
 
 
 def candidates(items: DataFrame, scores: DataFrame, votes: DataFrame, runs: DataFrame, cursor: int, min_points: int) -> DataFrame:
-    """Unjudged items over the points floor of every user with a model, with score columns and the draw's key."""
-    some = items.where(F.col("points") >= min_points).select("story_id", "num_comments", "created_at")
-    pairs = voted_out(runs.select("user_id", "rev").crossJoin(some), votes)
-    out = pairs.join(scores.select("user_id", "story_id", "score", "confidence"), ["user_id", "story_id"], "left")
-    return out.withColumns(
+    """Scored, unjudged items over the points floor of every user with a model, with score columns and the draw's key."""
+    some = items.where(F.col("points") >= min_points).select("story_id")
+    pairs = scores.select("user_id", "story_id", "score", "confidence").join(some, "story_id").join(runs.select("user_id", "rev"), "user_id")
+    return voted_out(pairs, votes).withColumns(
         {
             "offset": F.round(raw_offset(F.col("score"), F.col("confidence")), 9),
             "key": sampling_key(F.col("rev"), F.lit(cursor).cast("long")),
@@ -90,17 +96,52 @@ def stratum_novel(c: DataFrame, quota: int) -> DataFrame:
     return _take(c.where((F.col("confidence") >= 0) & (F.col("confidence") < CONFIDENT)), "novel", quota, F.col("key"))
 
 
-def stratum_recent(c: DataFrame, quota: int, cursor: int, as_of: int, picked: DataFrame) -> DataFrame:
-    """The most discussed of the last days, a page further for each cursor; three quotas are looked at."""
-    order = Window.partitionBy("user_id").orderBy(F.desc("num_comments"), F.desc("story_id"))
+def recent_heads(users: DataFrame, items: DataFrame, votes: DataFrame, depth: int, as_of: int, min_points: int) -> DataFrame:
+    """(user_id, story_id, rank): the most discussed unjudged items of the last days, from one ranking of all."""
+    some = items.where((F.col("points") >= min_points) & (F.col("created_at") >= as_of - RECENT_DAYS * DAY)).select("story_id", "num_comments")
+    return heads(users, numbered(some, "rank", F.desc("num_comments"), F.desc("story_id")), votes, depth).select("user_id", "story_id", "rank")
+
+
+def stratum_recent(users: DataFrame, items: DataFrame, votes: DataFrame, quota: int, cursor: int, as_of: int, min_points: int, picked: DataFrame) -> DataFrame:
+    """The most discussed of the last days, scored or not, a page further for each cursor; three quotas are looked at."""
     start = (cursor % 8) * quota
-    some = c.where(F.col("created_at") >= as_of - RECENT_DAYS * DAY).withColumn("page", F.row_number().over(order))
+    order = Window.partitionBy("user_id").orderBy("rank")
+    some = recent_heads(users, items, votes, start + 3 * quota, as_of, min_points).withColumn("page", F.row_number().over(order))
     some = some.where((F.col("page") > start) & (F.col("page") <= start + 3 * quota))
     return _take(some.join(picked, ["user_id", "story_id"], "left_anti"), "recent", quota, F.col("page"))
 
 
-def stratum_explore(c: DataFrame, quota: int) -> DataFrame:
-    return _take(c, "explore", quota, F.col("key"))
+def explore_heads(users: DataFrame, items: DataFrame, votes: DataFrame, want: int, cursor: int, min_points: int) -> DataFrame:
+    """(user_id, story_id, place): the first ``want`` unjudged items over the points floor of each user's own random order
+    of all of them, and some more. ``users`` has (user_id, rev). The order is a permutation of the items' numbers, so its
+    head is computed place by place; who has judged too much of it looks four times as far the next time."""
+    spark = users.sparkSession
+    path = scratch(spark, "numbers")
+    numbered(items.where(F.col("points") >= min_points).select("story_id"), "number", F.col("story_id")).write.parquet(path)
+    numbers = spark.read.parquet(path)
+    bits = max((numbers.count() - 1).bit_length(), 1)
+    keys = (F.col("user_id"), F.col("rev").cast("long"), F.lit(cursor).cast("long"))
+    todo, found, low, high = users.select("user_id", "rev"), [], 0, min(4 * want, 1 << bits)
+    while True:
+        places = F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long"))
+        draws = todo.select("user_id", "rev", F.explode(places).alias("place"))
+        draws = draws.withColumn("number", permuted(keys, F.col("place"), bits)).join(numbers, "number")
+        path = scratch(spark, "draws")
+        unjudged(draws.select("user_id", "story_id", "place"), votes).write.parquet(path)
+        found.append(spark.read.schema("user_id long, story_id long, place long").parquet(path))
+        every = reduce(DataFrame.unionByName, found)
+        if high == 1 << bits:
+            return every
+        enough = every.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= want)
+        todo = users.select("user_id", "rev").join(enough, "user_id", "left_anti")
+        if todo.isEmpty():
+            return every
+        low, high = high, min(4 * high, 1 << bits)
+
+
+def stratum_explore(users: DataFrame, items: DataFrame, votes: DataFrame, quota: int, cursor: int, min_points: int) -> DataFrame:
+    """Any unjudged item, scored or not, all alike."""
+    return _take(explore_heads(users, items, votes, quota, cursor, min_points), "explore", quota, F.col("place"))
 
 
 def fill_from_boundary(c: DataFrame, deck: DataFrame, limit: int) -> DataFrame:
@@ -133,15 +174,16 @@ def training_queue(items: DataFrame, scores: DataFrame, votes: DataFrame, runs:
     """A deck of up to ``limit`` cards for every user with a model: (user_id, story_id, reason, pos). Each stratum leaves
     out what an earlier one took; the same revision and cursor deal the same deck.
 
-    One pass finds the few rows at the head of each stratum's order that the deck can need, before anything is
-    shuffled; strata then exclude each other among those rows, all on one shuffle by user."""
+    One pass over the scores finds the few rows at the head of each scored stratum's order, before anything is shuffled;
+    recent items come from one ranking that all users share, explored ones from each user's permutation. No users and
+    items are crossed. Strata then exclude each other among those rows, all on one shuffle by user."""
     quota = allocate(limit)
-    some = items.where(F.col("points") >= min_points).select("story_id", "num_comments", "created_at")
+    some = items.where(F.col("points") >= min_points).select("story_id")
     model = runs.select("user_id", "rev")
     key = sampling_key(F.col("rev"), F.lit(cursor).cast("long"))
     offset = F.round(raw_offset(F.col("score"), F.col("confidence")), 9)
     zero = F.lit(0).cast("double")
-    scored = scores.select("user_id", "story_id", "score", "confidence").join(some.select("story_id"), "story_id").join(model, "user_id")
+    scored = scores.select("user_id", "story_id", "score", "confidence").join(some, "story_id").join(model, "user_id")
     near = (F.col("confidence") >= CONFIDENT) & (F.abs("offset") <= NEAR)
     stratum = F.when(near, "boundary").when((F.col("confidence") >= 0) & (F.col("confidence") < CONFIDENT), "novel")
     tag = lambda name, first, second: F.struct(name.alias("tag"), first.cast("double").alias("first"), second.cast("double").alias("second"))
@@ -150,13 +192,12 @@ def training_queue(items: DataFrame, scores: DataFrame, votes: DataFrame, runs:
         tag(stratum, F.col("key"), zero),
         tag(F.lit("fill"), F.abs("offset"), (F.col("offset") < 0).cast("int")),
     )))
-    every = model.crossJoin(some)
-    fresh = F.when(F.col("created_at") >= as_of - RECENT_DAYS * DAY, "recent")
-    every = every.select("user_id", "story_id", F.inline(F.array(
-        tag(F.lit("explore"), key, zero), tag(fresh, -F.col("num_comments"), -F.col("story_id"))
-    )))
-    rows = voted_out(scored.unionByName(every).where("tag is not null and first is not null"), votes)
     start = (cursor % 8) * quota["recent"]
+    recent = recent_heads(model, items, votes, start + 3 * quota["recent"], as_of, min_points)
+    recent = recent.select("user_id", "story_id", F.lit("recent").alias("tag"), F.col("rank").cast("double").alias("first"), zero.alias("second"))
+    explore = explore_heads(model, items, votes, limit, cursor, min_points)
+    explore = explore.select("user_id", "story_id", F.lit("explore").alias("tag"), F.col("place").cast("double").alias("first"), zero.alias("second"))
+    rows = voted_out(scored.where("tag is not null and first is not null"), votes).unionByName(recent).unionByName(explore)
     deep = {
         "boundary": quota["boundary"], "novel": quota["novel"], "recent": start + 3 * quota["recent"], "explore": limit, "fill": 2 * limit,
     }
@@ -183,16 +224,19 @@ def training_queue(items: DataFrame, scores: DataFrame, votes: DataFrame, runs:
 
 def explore_queue(items: DataFrame, scores: DataFrame, votes: DataFrame, users: DataFrame, runs: DataFrame, limit: int = 25, days: int = 7, bar: float = 0.35, as_of: int = 0) -> DataFrame:
     """What the crowd rates and the user has not judged: (user_id, story_id, tier, pos). With a model, items under
-    ``bar`` and unscored ones go; 0 days is the whole corpus."""
+    ``bar`` and unscored ones go; 0 days is the whole corpus. Users with a model are read from their scores, the others
+    share one ranking."""
     some = items.where((F.col("points") >= 50) | (F.col("num_comments") >= 25))
     if days > 0:
         some = some.where(F.col("created_at") >= as_of - days * DAY)
     some = some.select("story_id", "points", "num_comments")
-    pairs = unjudged(users.select("user_id").crossJoin(some), votes)
-    pairs = pairs.join(scores.select("user_id", "story_id", "score"), ["user_id", "story_id"], "left").join(
-        runs.select("user_id", F.lit(True).alias("model")), "user_id", "left"
-    )
-    pairs = pairs.where(F.col("model").isNull() | (F.col("score") >= bar))
+    cold = users.select("user_id").distinct().join(runs.select("user_id"), "user_id", "left_anti")
+    ranking = numbered(some, "rank", F.desc("num_comments"), F.desc("points"), F.desc("story_id"))
+    cold = heads(cold, ranking, votes, limit).select("user_id", "story_id", "points", "num_comments", F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("model"))
+    known = users.select("user_id").distinct().join(runs.select("user_id"), "user_id", "left_semi")
+    warm = scores.where(F.col("score") >= bar).select("user_id", "story_id", "score").join(some, "story_id").join(known, "user_id", "left_semi")
+    warm = unjudged(warm, votes).select("user_id", "story_id", "points", "num_comments", "score", F.lit(True).alias("model"))
+    pairs = cold.unionByName(warm)
     probably = F.col("model").isNotNull() & (F.col("score") >= 0.6)
     pairs = pairs.withColumn("tier", F.when(probably, "probably").otherwise("possibly"))
     order = Window.partitionBy("user_id").orderBy(

@@ -10,8 +10,9 @@ from palate.functions import text
 #: Openings that mark a narrative title.
 NARRATIVE = ("how", "why", "what", "when", "the case for", "i ")
 STYLE = 0.6
-#: Sections keep insertion order: a feature's place is section * SECTION + word * 100 + part.
-SECTION = 1_000_000
+#: Sections keep insertion order: a feature's place is section * SECTION + word * 100 + part. A word has under 30 letters,
+#: so under 100 parts, and no text has so many words that it reaches the next section.
+SECTION = 10**15
 
 
 def _feature(name: Column, weight: float, place: Column) -> Column:

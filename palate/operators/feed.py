@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palate.functions.scalars import DAY
 from palate.functions.text import search_literal
 from palate.operators.decks import voted_out
+from palate.operators.score import best_scored
 
 
 @dataclass(frozen=True)
@@ -30,15 +31,19 @@ class FeedOptions:
 KEYS = ("points", "num_comments", "created_at")
 
 
-def _scope(items: DataFrame, scores: DataFrame, votes: DataFrame, o: FeedOptions, as_of: int) -> DataFrame:
-    """Pairs in scope with their score and what feeds are ordered by, nothing wider."""
+def item_scope(items: DataFrame, o: FeedOptions, as_of: int) -> DataFrame:
+    """Items that the filters leave, whoever looks. A day replaces the rolling window."""
     some = items.where((F.col("points") >= o.min_points) & (F.col("num_comments") >= o.min_comments))
     if o.day:
         some = some.where(F.col("day") == o.day)
     elif o.days > 0:
         some = some.where(F.col("created_at") >= as_of - o.days * DAY)
-    if o.query:
-        some = some.where(search_literal(F.col("title"), o.query))
+    return some.where(search_literal(F.col("title"), o.query)) if o.query else some
+
+
+def _scope(items: DataFrame, scores: DataFrame, votes: DataFrame, o: FeedOptions, as_of: int) -> DataFrame:
+    """Pairs in scope with their score and what feeds are ordered by, nothing wider."""
+    some = item_scope(items, o, as_of)
     s = scores.where(F.col("score").isNotNull() & (F.col("score") >= o.min_score))
     if o.max_score < 1.0:
         s = s.where(F.col("score") < o.max_score)
@@ -91,6 +96,20 @@ def feed_rank(items: DataFrame, scores: DataFrame, votes: DataFrame, o: FeedOpti
     return _whole(ranked.where(F.col("pos") <= min(max(o.limit, 1), 200)), items, votes)
 
 
+def feed_from_models(items: DataFrame, features: DataFrame, weights: DataFrame, runs: DataFrame, votes: DataFrame, o: FeedOptions, as_of: int) -> DataFrame:
+    """``feed`` in the order of scores without stored scores: each block of stories and users gives its heads alone. Rows
+    have ``pos`` and ``total``, as there. Other modes and ranges of scores need the scores themselves."""
+    if o.mode != "foryou" or o.min_score > 0 or o.max_score < 1 or o.include_voted:
+        raise ValueError("only the whole unjudged ranking by score comes from the models alone")
+    scope = item_scope(items, o, as_of)
+    limit, offset = min(max(o.limit, 1), 200), max(o.offset, 0)
+    heads = best_scored(scope, features, weights, runs, votes.where("value <> 0"), offset + limit)
+    _, order = order_of(o.mode)
+    heads = heads.join(scope.select("story_id", *KEYS), "story_id")
+    ranked = heads.withColumns({"pos": F.row_number().over(Window.partitionBy("user_id").orderBy(*order)), "total": F.sum("scoped").over(Window.partitionBy("user_id"))})
+    return _whole(ranked.where((F.col("pos") > offset) & (F.col("pos") <= offset + limit)).drop("scoped"), items, votes)
+
+
 def vote_log(votes: DataFrame, items: DataFrame, scores: DataFrame, oof: DataFrame, value: int | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """Latest votes of every user with current and held-out scores; ``total`` counts the filtered votes."""
     some = votes if value is None else votes.where(F.col("value") == value)

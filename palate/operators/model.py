@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palate.functions.text import describe_feature
+from palate.operators import pooled
+from palate.operators.ranking import ranged
 
 
 @dataclass(frozen=True)
@@ -177,46 +179,16 @@ def fit_grouped(examples: DataFrame, features: DataFrame, options: FitOptions =
 
 
 def fit_pooled(examples: DataFrame, features: DataFrame, options: FitOptions = FitOptions()) -> DataFrame:
-    """One model over a cohort of any size: (feature, weight, support), by Spark's distributed logistic regression.
-
-    Every distinct feature has its own slot for the optimiser: numbered within buckets by hash, after the sizes of the
-    buckets before. Weights come back by name.
-    """
-    from pyspark.ml.classification import LogisticRegression
-
-    some = examples.select("story_id", "label").join(features, "story_id")
-    named = some.groupBy("feature").agg(F.count("*").alias("support"))
-    named = named.withColumn("bucket", F.pmod(F.xxhash64("feature"), F.lit(4096)))
-    # 4096 rows at most
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = named.groupBy("bucket").agg(F.count("*").alias("n"))
-    offsets = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    number = F.col("offset") + F.row_number().over(Window.partitionBy("bucket").orderBy("feature")) - 1
-    named = named.join(F.broadcast(offsets), "bucket").select("feature", "support", number.cast("int").alias("slot"))
-    slots = max(named.count(), 1)
-    pairs = some.join(named.select("feature", "slot"), "feature").groupBy("story_id", "label", "slot").agg(F.sum("value").alias("v"))
-    arrays = pairs.groupBy("story_id", "label").agg(F.array_sort(F.collect_list(F.struct("slot", "v"))).alias("e"))
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT(), useArrow=True)
-    def vector(e):
-        return SparseVector(slots, [x["slot"] for x in e], [x["v"] for x in e])
-
-    counts = arrays.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("p")).first()
-    n, p = counts["n"], counts["p"]
-    weight = F.when(F.col("label") == 1, n / (2.0 * p) if p else 1.0).otherwise(n / (2.0 * (n - p)) if n > p else 1.0)
-    data = arrays.select(vector("e").alias("features"), F.col("label").cast("double").alias("label"), weight.alias("cw"))
-    model = LogisticRegression(
-        regParam=options.l2 * max(200 / max(n, 1), 1.0), elasticNetParam=0.0, weightCol="cw", fitIntercept=False, maxIter=options.epochs
-    ).fit(data)
-    w = model.coefficients.toArray()
-    spark = examples.sparkSession
-    table = spark.createDataFrame(pd.DataFrame({"slot": np.flatnonzero(w), "weight": np.round(w[np.flatnonzero(w)], 6)}))
-    return named.join(F.broadcast(table), "slot").select("feature", "weight", "support")
+    """One model over a cohort of any size: (feature, weight, support), the bias among them, under the objective of the
+    per-user models. ``pooled`` has the method."""
+    return pooled.fit(examples, features, options.l2, options.min_count, options.epochs)
 
 
 def auc(df: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    """Rank-sum AUC per group, average ranks on ties, null without both classes."""
+    """Rank-sum AUC per group, average ranks on ties, null without both classes; over all rows at once where ``by`` is
+    empty, and one row then."""
+    if not by:
+        return pooled_auc(df, label, score)
     order = Window.partitionBy(*by).orderBy(score)
     ties = Window.partitionBy(*by, score)
     rank = F.rank().over(order) + (F.count("*").over(ties) - 1) / 2.0
@@ -228,6 +200,23 @@ def auc(df: DataFrame, by: list[str], label: str = "label", score: str = "score"
     return out.select(*by, F.when((p > 0) & (n > 0), (F.col("s") - p * (p + 1) / 2.0) / (p * n)).alias("auc"))
 
 
+def pooled_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """AUC over all rows, one row. Equal scores are counted to one row first, so a tie never lies on a border; the rows
+    are dealt into ranges of the score, and each range needs but the number of negatives before it."""
+    y = F.col(label)
+    tally = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n"))
+    rows = ranged(tally, F.col("score"))
+    # a row a range
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("__part").agg(F.sum("n").alias("n"))
+    starts = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    upto = F.sum("n").over(Window.partitionBy("__part").orderBy("score"))
+    below = rows.withColumn("upto", upto).join(F.broadcast(starts), "__part")
+    won = F.col("p") * (F.col("start") + F.col("upto") - F.col("n") / 2.0)
+    out = below.agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(won).alias("w"))
+    return out.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p").cast("double") * F.col("n"))).alias("auc"))
+
+
 def cv_metrics(held_out: DataFrame) -> DataFrame:
     """Per user, from held-out rows (user_id, fold, label, score): n, accuracy, baseline, log_loss, auc, noise. Noise is
     the larger of the folds' spread and the adjusted standard error of the accuracy."""

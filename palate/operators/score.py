@@ -7,13 +7,17 @@ users instead, and each pair of blocks is a small dense product; ``score_pairs``
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palate.functions.scalars import sigmoid
 from palate.functions.text import describe_feature
+from palate.sources.storage import scratch
 
 FULL_VOTES, FULL_CLASS = 40.0, 8.0
 
@@ -128,15 +132,132 @@ def rescore_all(features: DataFrame, weights: DataFrame, runs: DataFrame) -> Dat
     return _grid(features, weights, runs, blocks)
 
 
+_BEST = "user_id long, story_id long, z double, known double, mass double, rev long, n_votes long, n_pos long, n_neg long, scoped long"
+#: How near the k-th score rows stay in hand, so that the rounding of scores can still decide.
+NEAR = 2e-9
+
+
+def _approximate(z: np.ndarray, known: np.ndarray, mass: np.ndarray, n: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    """``evidence``'s score of stories (rows) for users (columns), to about NEAR."""
+    coverage = np.divide(known, mass, out=np.zeros_like(known), where=mass > 0)
+    sure = np.minimum(n / FULL_VOTES, 1) * np.minimum(np.minimum(pos, neg) / FULL_CLASS, 1) * (0.3 + 0.7 * coverage)
+    return 0.5 + (1 / (1 + np.exp(-np.clip(z, -700, 700))) - 0.5) * (0.3 + 0.7 * np.clip(sure, 0, 1))
+
+
+def _best_of_block(fs: pd.DataFrame, ws: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Of the stories of ``fs`` the first k of every user of ``ws`` by score, comments and id, and those too near to tell;
+    ``scoped`` sums to the number of stories that the user has not judged."""
+    voted, ws = ws[ws["judged"]], ws[~ws["judged"]]
+    if not len(fs) or not len(ws):
+        return pd.DataFrame({c.split()[0]: [] for c in _BEST.split(", ")})
+    grid = _score_block(fs.drop(columns="num_comments"), ws.drop(columns=["voted", "judged"]))
+    users, stories = pd.unique(grid["user_id"]), pd.unique(fs["story_id"])
+    comments = fs.groupby("story_id")["num_comments"].first()
+    judged = pd.MultiIndex.from_arrays([voted["user_id"], voted["voted"]])
+    grid = grid[~pd.MultiIndex.from_arrays([grid["user_id"], grid["story_id"]]).isin(judged)] if len(judged) else grid
+    columns = (grid[c].to_numpy(dtype=float) for c in ("z", "known", "mass", "n_votes", "n_pos", "n_neg"))
+    # equal to twelve places: equal, whatever the order of summation
+    s = np.round(_approximate(*columns), 12)
+    order = np.lexsort((-grid["story_id"].to_numpy(), -grid["story_id"].map(comments).to_numpy(), -s, grid["user_id"].to_numpy()))
+    grid, s = grid.iloc[order], s[order]
+    owner = grid["user_id"].to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, dtype=int)
+    size = np.diff(np.append(first, len(owner)))
+    place = np.arange(len(owner)) - np.repeat(first, size)
+    last = np.repeat(s[np.minimum(first + k, first + size) - 1], size) if len(owner) else s
+    keep = (place < k) | (s < last) & (s >= last - NEAR)
+    return grid.assign(scoped=np.where(place == 0, np.repeat(size, size), 0))[keep]
+
+
+def best_scored(scope: DataFrame, features: DataFrame, weights: DataFrame, runs: DataFrame, votes: DataFrame, k: int) -> DataFrame:
+    """The head of every user's ranking straight from features and weights: of ``scope`` (story_id, num_comments) what the
+    user has not judged in ``votes`` (user_id, story_id), about ``k`` rows a user and block of stories, as (user_id,
+    story_id, score, confidence, model_rev, scoped). The grid of scores is made block by block, cut to its heads in the
+    same task, and never written, sorted or shuffled. ``scoped`` sums to the size of the user's whole ranking."""
+    story_block, user_block = F.floor(F.col("story_id") / STORIES).alias("sb"), F.floor(F.col("user_id") / USERS).alias("ub")
+    f = features.join(scope.select("story_id", "num_comments"), "story_id").select(
+        story_block, "story_id", "feature", "value", is_content(F.col("feature")).cast("double").alias("content"), "num_comments"
+    )
+    models = runs.select("user_id", *(F.col(c).cast("long").alias(c) for c in ("rev", "n_votes", "n_pos", "n_neg")))
+    blocks = _blocks(scope, "story_id", STORIES, "sb").crossJoin(_blocks(runs, "user_id", USERS, "ub"))
+    w = models.join(weights.select("user_id", "feature", "weight"), "user_id", "left").withColumns(
+        {"judged": F.lit(False), "voted": F.lit(0).cast("long"), "ub": user_block}
+    )
+    cast = votes.select("user_id", "story_id").join(models.select("user_id"), "user_id", "left_semi").select(
+        user_block, "user_id", *(F.lit(0).cast("long").alias(c) for c in ("rev", "n_votes", "n_pos", "n_neg")),
+        F.lit("").alias("feature"), F.lit(0.0).alias("weight"), F.lit(True).alias("judged"), F.col("story_id").alias("voted"), story_block,
+    )
+    right = w.join(blocks, "ub").unionByName(cast)
+    best = f.join(blocks, "sb").groupBy("sb", "ub").cogroup(right.groupBy("sb", "ub")).applyInPandas(lambda x, y: _best_of_block(x, y, k), _BEST)
+    s = evidence(F.col("z"), F.col("known"), F.col("mass"), F.col("n_votes"), F.col("n_pos"), F.col("n_neg"))
+    return best.withColumn("s", s).select("user_id", "story_id", "s.score", "s.confidence", F.col("rev").cast("int").alias("model_rev"), "scoped")
+
+
+#: Ids of one bitmap: what Spark's bitmap functions put into one bucket.
+BITS = 32768
+_GAPS = "user_id long, bucket long, whole boolean, stories array<long>"
+
+
+def _ids(bucket: int, places: np.ndarray) -> np.ndarray:
+    """Ids behind the places of a bitmap; bucket 0 counts down from 0."""
+    return (bucket - 1) * BITS + 1 + places if bucket > 0 else bucket * BITS - places
+
+
+def _holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(user, bucket, items' bitmap, bitmap of what is scored or null) to the items that are not: none, all, or a list."""
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for user, bucket, want, have in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            wanted = np.frombuffer(want, dtype=np.uint8)
+            lack = wanted if have is None else wanted & ~np.frombuffer(have, dtype=np.uint8)
+            if lack.any():
+                whole = have is None or bool((lack == wanted).all())
+                places = [] if whole else np.flatnonzero(np.unpackbits(lack, bitorder="little"))
+                for column, v in zip(out, (user, bucket, whole, None if whole else _ids(bucket, places)), strict=True):
+                    column.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["user_id", "bucket", "whole", "stories"])
+
+
+def coverage_gaps(items: DataFrame, scores: DataFrame, runs: DataFrame) -> DataFrame:
+    """What is not scored under the current revisions: (user_id, bucket, whole, stories), a row for each user and bucket of
+    BITS story ids that lacks something; ``stories`` lists them unless it is the whole bucket. Scores are folded to a
+    bitmap a user and bucket before anything is shuffled, and items to one a bucket; pairs are never made."""
+    bucket, place = F.bitmap_bucket_number("story_id"), F.bitmap_construct_agg(F.bitmap_bit_position("story_id"))
+    fresh = runs.select("user_id", F.col("rev").cast("long").alias("model_rev"))
+    current = scores.select("user_id", "story_id", F.col("model_rev").cast("long").alias("model_rev")).join(fresh, ["user_id", "model_rev"], "left_semi")
+    have = current.groupBy("user_id", bucket.alias("bucket")).agg(place.alias("have"))
+    want = items.groupBy(bucket.alias("bucket")).agg(place.alias("want"))
+    every = runs.select("user_id").crossJoin(want.select("bucket"))  # users by buckets of BITS items
+    both = every.join(have, ["user_id", "bucket"], "left").join(want, "bucket").select("user_id", "bucket", "want", "have")
+    return both.mapInArrow(_holes, _GAPS)
+
+
 def score_missing(items: DataFrame, features: DataFrame, scores: DataFrame, weights: DataFrame, runs: DataFrame) -> DataFrame:
     """Scores for user-item pairs that have none under the user's current revision; users without a model are skipped.
-    Only items and blocks that lack something are scored."""
-    fresh = runs.select("user_id", F.col("rev").alias("model_rev"))
-    have = scores.join(fresh, ["user_id", "model_rev"], "left_semi").select("user_id", "story_id")
-    lack = items.select("story_id").crossJoin(runs.select("user_id")).join(have, ["user_id", "story_id"], "left_anti")
-    blocks = lack.select(F.floor(F.col("story_id") / STORIES).alias("sb"), F.floor(F.col("user_id") / USERS).alias("ub"))
-    some = features.join(lack.select("story_id").distinct(), "story_id", "left_semi")
-    return _grid(some, weights, runs, blocks.distinct()).join(lack, ["user_id", "story_id"], "left_semi")
+    Bitmaps tell what is missing: where nothing is, nothing is scored; only blocks that lack something are, and only in
+    buckets that lack a part are single pairs looked at."""
+    spark = items.sparkSession
+    path = scratch(spark, "gaps")
+    coverage_gaps(items, scores, runs).write.parquet(path)
+    gaps = spark.read.schema(_GAPS).parquet(path)
+    whole, part = gaps.where("whole"), gaps.where("not whole")
+    user_block, story_block = F.floor(F.col("user_id") / USERS).alias("ub"), F.floor(F.col("story_id") / STORIES).alias("sb")
+    bucket = F.bitmap_bucket_number("story_id").alias("bucket")
+    out = None
+    if not whole.isEmpty():
+        places = items.select(bucket, story_block).distinct()
+        blocks = whole.select("bucket", user_block).distinct().join(places, "bucket").select("sb", "ub").distinct()
+        known = features.join(items.select("story_id"), "story_id", "left_semi").withColumn("bucket", bucket)
+        some = known.join(whole.select("bucket").distinct(), "bucket", "left_semi").drop("bucket")
+        # a row for each user and bucket
+        out = _grid(some, weights, runs, blocks).withColumn("bucket", bucket).join(whole.select("user_id", "bucket"), ["user_id", "bucket"], "left_semi").drop("bucket")
+    if not part.isEmpty():
+        pairs = part.select("user_id", F.explode("stories").alias("story_id"))
+        some = features.join(pairs.select("story_id").distinct(), "story_id", "left_semi")
+        holes = _grid(some, weights, runs, pairs.select(story_block, user_block).distinct()).join(pairs, ["user_id", "story_id"], "left_semi")
+        out = holes if out is None else out.unionByName(holes)
+    return out if out is not None else scores.select("user_id", "story_id", "score", "confidence", F.col("model_rev").cast("int").alias("model_rev")).limit(0)
 
 
 def contributions(pairs: DataFrame, features: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:

@@ -51,14 +51,18 @@ def training_gate(votes: DataFrame) -> DataFrame:
 
 def frozen_prediction(votes: DataFrame, history: DataFrame) -> DataFrame:
     """Each vote with the score in force before it: the latest of ``history`` (user_id, story_id, score, confidence,
-    model_rev, scored_at) up to the vote's updated_at; nulls where nothing had been scored."""
-    h = history.select("user_id", "story_id", "score", "confidence", "model_rev", "scored_at")
-    both = votes.join(h, ["user_id", "story_id"], "left")
-    in_time = F.col("scored_at") <= F.col("updated_at")
-    last = F.max_by(F.struct("score", "confidence", "model_rev"), F.when(in_time, F.struct("scored_at", "model_rev")))
-    return both.groupBy("user_id", "story_id", "value", "updated_at").agg(last.alias("p")).select(
-        "user_id", "story_id", "value", "updated_at", "p.score", "p.confidence", "p.model_rev"
-    )
+    model_rev, scored_at) up to the vote's updated_at; nulls where nothing had been scored. Votes and scores of a user
+    and item stand in one order of time, and each vote takes the last score before it: no vote meets a whole history."""
+    score = F.struct("score", "confidence", "model_rev")
+    cast = votes.select("user_id", "story_id", "value", F.col("updated_at").alias("at"), F.lit(True).alias("vote"), F.lit(None).cast("struct<score:double,confidence:double,model_rev:long>").alias("p"))
+    made = history.select(
+        "user_id", "story_id", F.lit(None).cast(votes.schema["value"].dataType).alias("value"), F.col("scored_at").alias("at"), F.lit(False).alias("vote"),
+        score.cast("struct<score:double,confidence:double,model_rev:long>").alias("p"),
+    )
+    order = Window.partitionBy("user_id", "story_id").orderBy("at", "vote", F.col("p.model_rev")).rowsBetween(Window.unboundedPreceding, 0)
+    both = cast.unionByName(made).withColumn("p", F.last("p", ignorenulls=True).over(order)).where("vote")
+    model_rev = F.col("p.model_rev").cast(history.schema["model_rev"].dataType).alias("model_rev")
+    return both.select("user_id", "story_id", "value", F.col("at").alias("updated_at"), "p.score", "p.confidence", model_rev)
 
 
 def judge_agreement(predictions: DataFrame) -> DataFrame:

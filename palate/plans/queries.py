@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palate.functions import scalars, text
 from palate.operators import decks, feed, features, model, reports, rounds, score, votes
+from palate.operators.ranking import permuted_sql
 from palate.plans import sql as s
 from palate.plans.fixtures import AS_OF, Tables
 from palate.sources import ingest
@@ -159,14 +160,17 @@ def _(t: Tables) -> DataFrame:
     return ingest.import_votes(v, first.unionByName(last).unionByName(junk))[0]
 
 
-@query("a12_write_scores", f"""WITH {s.VOTES},{s.HISTORY} SELECT user_id, story_id, round(score, 6) AS score, CASE WHEN user_id % 64 < 32 THEN 2 ELSE 1 END AS model_rev
-    FROM history WHERE model_rev = 1""")
+@query("a12_write_scores", f"""WITH {s.VOTES},{s.HISTORY} SELECT user_id, story_id, round(CASE WHEN story_id % 5 = 0 THEN score / 4 WHEN story_id % 3 = 0 AND user_id % 2 = 0
+    THEN score / 2 ELSE score END, 6) AS score, CASE WHEN story_id % 5 = 0 THEN 3 WHEN story_id % 3 = 0 AND user_id % 2 = 0 THEN 2 ELSE 1 END AS model_rev FROM history WHERE model_rev = 1""")
 def _(t: Tables) -> DataFrame:
-    rows = t.history().where("model_rev = 1").select("user_id", "story_id", *r6("score"), "model_rev")
+    """Three writes that overlap in parts of users and of items, the second made once more at the end."""
+    rows = t.history().where("model_rev = 1").select("user_id", "story_id", "score", "confidence", "model_rev")
     path = scratch(t.spark, "scores")
-    ingest.write_scores(rows, path)
-    ingest.write_scores(rows.where("user_id % 64 < 32").withColumn("model_rev", F.lit(2)), path)
-    return t.spark.read.parquet(path).select("user_id", "story_id", "score", "model_rev")
+    second = rows.where("story_id % 3 = 0 and user_id % 2 = 0").withColumns({"model_rev": F.lit(2), "score": F.col("score") / 2})
+    third = rows.where("story_id % 5 = 0").withColumns({"model_rev": F.lit(3), "score": F.col("score") / 4})
+    for number, some in ((0, rows), (1, second), (2, third), (1, second)):
+        ingest.write_scores(some, path, "runs", number)
+    return ingest.read_scores(t.spark, path).select("user_id", "story_id", *r6("score"), "model_rev")
 
 
 # --- B: votes -------------------------------------------------------------------------------------
@@ -253,9 +257,13 @@ def _(t: Tables) -> DataFrame:
 # --- C: text --------------------------------------------------------------------------------------
 
 
-@query("c1_fold_text", f"SELECT doc_id, {s.fold_sql('text')} AS folded FROM documents")
+@query("c1_fold_text", f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, text || ' {s.EXOTIC}' FROM documents)
+    SELECT doc_id, {s.exact_fold_sql('text')} AS folded FROM d""")
 def _(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", text.fold_text(F.col("text")).alias("folded"))
+    """Whole texts, and whole texts with characters behind them that decompose to several."""
+    docs = t.raw("documents").select("doc_id", "text")
+    more = docs.select((-1 - F.col("doc_id")).alias("doc_id"), F.concat("text", F.lit(" " + s.EXOTIC)).alias("text"))
+    return docs.unionByName(more).select("doc_id", text.fold_text(F.col("text")).alias("folded"))
 
 
 @query("c2_tokenize", f"SELECT doc_id, array_to_string({s.tokens_sql('text')}, ' ') AS tokens FROM documents")
@@ -289,11 +297,12 @@ _family("c13_author_feature", "feature like 'by:%'")
 _family("c14_featurize", "true")
 
 
-@query("c6_compound_parts", f"""WITH {s.ITEMS}, i2 AS (SELECT story_id, replace(title, ' ', '-') AS title, domain, author FROM items),
-    {s.TOKENS.replace('FROM items', 'FROM i2')} SELECT story_id, 'w:' || {s.stem_sql('p')} AS feature, i, j FROM part""")
+@query("c6_compound_parts", f"""WITH items AS (SELECT doc_id AS story_id, regexp_replace(text, '([^ ]+) ([^ ]+)', '\\1-\\2', 'g') AS title, NULL AS domain, NULL AS author FROM documents),
+    {s.TOKENS} SELECT story_id, 'w:' || {s.stem_sql('p')} AS feature, i, j FROM part""")
 def _(t: Tables) -> DataFrame:
-    raw = text.tokenize(F.translate("title", " ", "-"))
-    kept = t.items().select("story_id", F.transform(text.drop_stopwords(raw), text.stem).alias("k"))
+    """Parts of the compounds that every two words of a whole text make."""
+    raw = text.tokenize(F.regexp_replace("text", "([^ ]+) ([^ ]+)", "$1-$2"))
+    kept = t.raw("documents").select(F.col("doc_id").alias("story_id"), F.transform(text.drop_stopwords(raw), text.stem).alias("k"))
     rows = kept.select("story_id", F.inline(features.compound_parts(F.col("k"))))
     at = F.col("pos") - features.SECTION - 1
     return rows.select("story_id", "feature", F.floor(at / 100).alias("i"), (at % 100).alias("j"))
@@ -339,11 +348,17 @@ def _(t: Tables) -> DataFrame:
     return t.raw("events").select("event_id", scalars.day_bounds(d).alias("b")).select("event_id", "b.start", "b.stop")
 
 
-@query("d3_days", """WITH u AS (SELECT user_id, min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS z FROM events GROUP BY 1)
-    SELECT user_id, strftime(unnest(generate_series(a, z, INTERVAL 1 DAY)), '%Y-%m-%d') AS day FROM u""")
+@query("d3_days", """WITH u AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS z FROM events), n AS (SELECT CAST(ts AS DATE) AS d, count(*) AS events FROM events GROUP BY 1),
+    r AS (SELECT strftime(z - CAST(i AS INTEGER), '%Y-%m-%d') AS day, CAST(i AS INTEGER) AS pos FROM u, range(0, 10) AS t(i))
+    SELECT strftime(x.d, '%Y-%m-%d') AS day, coalesce(events, 0) AS events, pos FROM (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS d FROM u) x
+    LEFT JOIN n ON n.d = x.d LEFT JOIN r ON r.day = strftime(x.d, '%Y-%m-%d')""")
 def _(t: Tables) -> DataFrame:
-    u = t.raw("events").groupBy("user_id").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("z"))
-    return u.select("user_id", F.explode(F.sequence("a", "z")).alias("d")).select("user_id", F.date_format("d", "yyyy-MM-dd").alias("day"))
+    """Events of every day of the table's range, and each day's place among the last ten."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    first, last = t.raw("events").agg(F.min(day), F.max(day)).first()
+    counts = t.raw("events").groupBy(day.alias("day")).agg(F.count("*").alias("events"))
+    every = scalars.days_between(t.spark, first, last).join(counts, "day", "left").join(scalars.recent_days(t.spark, 10, last), "day", "left")
+    return every.select("day", F.coalesce("events", F.lit(0)).alias("events"), "pos")
 
 
 @query("d4_sigmoid", f"""WITH {s.VOTES},{s.HISTORY} SELECT user_id, story_id, model_rev, round(1 / (1 + exp(-((score - 0.5::DOUBLE) * 60))), 6) AS p,
@@ -397,7 +412,7 @@ def _(t: Tables) -> DataFrame:
 
 # --- E: models ------------------------------------------------------------------------------------
 
-VOCAB = f"""{s.BOTH},{s.FEATURES},{s.EXAMPLES}, vs AS (SELECT user_id, feature, count(*) AS support, min(ord * 10000000 + pos) AS at FROM examples JOIN features USING (story_id) GROUP BY 1, 2)"""
+VOCAB = f"""{s.BOTH},{s.FEATURES},{s.EXAMPLES}, vs AS (SELECT user_id, feature, count(*) AS support, min({{'o': ord, 'p': pos}}) AS at FROM examples JOIN features USING (story_id) GROUP BY 1, 2)"""
 
 
 @query("e1_vocabulary", f"""WITH {VOCAB} SELECT user_id, feature, support, row_number() OVER (PARTITION BY user_id ORDER BY at, feature) - 1 AS idx
@@ -435,9 +450,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("e4_fit_checks", f"""WITH {s.ITEMS},{s.FEATURES}, ex AS (SELECT doc_id + 1 AS story_id, quality FROM labels WHERE quality IS NOT NULL)
-    SELECT count(DISTINCT story_id) AS examples, TRUE AS known, TRUE AS ranks FROM ex JOIN features USING (story_id)""")
+    SELECT count(DISTINCT story_id) AS examples, TRUE AS known, TRUE AS ranks, TRUE AS bias FROM ex JOIN features USING (story_id)""")
 def _(t: Tables) -> DataFrame:
-    """What must hold of the pooled fit: weights of the examples' features only, good examples above bad ones on average."""
+    """What must hold of the pooled fit: weights of the examples' features only, a bias, good examples above bad ones."""
     labels = t.raw("labels").where("quality is not null")
     ex = labels.select((F.col("doc_id") + 1).alias("story_id"), F.col("quality").cast("int").alias("label"))
     rows = ex.join(t.features(), "story_id")
@@ -445,7 +460,8 @@ def _(t: Tables) -> DataFrame:
     z = rows.join(w, "feature", "left").groupBy("story_id", "label").agg(F.sum(F.col("value") * F.coalesce("weight", F.lit(0.0))).alias("z"))
     ranks = F.avg(F.when(F.col("label") == 1, F.col("z"))) > F.avg(F.when(F.col("label") == 0, F.col("z")))
     odd = w.join(rows, "feature", "left_anti").agg((F.count("*") == 0).alias("known"))
-    return z.agg(F.count("*").alias("examples"), ranks.alias("ranks")).crossJoin(odd)
+    bias = w.agg((F.count_if(F.col("feature") == "__bias__") == 1).alias("bias"))
+    return z.agg(F.count("*").alias("examples"), ranks.alias("ranks")).crossJoin(odd).crossJoin(bias)
 
 
 @query("e4_fit_pooled")
@@ -485,6 +501,15 @@ def _(t: Tables) -> DataFrame:
     return model.auc(rows, ["user_id", "model_rev"]).withColumn("auc", F.round("auc", 6))
 
 
+@query("e7_auc_pooled", f"""WITH {AUC}, rp AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS q FROM l),
+    b AS (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n, sum(q) FILTER (label = 1) AS s FROM rp)
+    SELECT CASE WHEN p > 0 AND n > 0 THEN round((s - p * (p + 1) / 2.0::DOUBLE) / (p * n), 6) END AS auc FROM b""")
+def _(t: Tables) -> DataFrame:
+    rows = t.votes().where("value <> 0").join(t.oof(), ["user_id", "story_id"])
+    rows = rows.select((F.col("value") > 0).cast("int").alias("label"), F.round("score", 1).alias("score"))
+    return model.auc(rows, []).withColumn("auc", F.round("auc", 6))
+
+
 FOLDS = f"""{s.BOTH},{s.EXAMPLES}, folds AS (SELECT *, CASE WHEN k >= 2 THEN (row_number() OVER (PARTITION BY user_id, label ORDER BY ord) - 1) % k END AS fold FROM (
     SELECT *, least(5, count(*) FILTER (label = 1) OVER (PARTITION BY user_id), count(*) FILTER (label = 0) OVER (PARTITION BY user_id)) AS k FROM examples))"""
 
@@ -598,14 +623,14 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     have = t.items().select("story_id").crossJoin(t.runs().select("user_id")).where("story_id % 6 <> 0")
     stale = (F.col("story_id") % 6 == 1) & (F.col("user_id") % 2 == 0)
-    have = have.select("user_id", "story_id", F.when(stale, 1).otherwise(2).alias("model_rev"))
+    have = have.select("user_id", "story_id", F.when(stale, 1).otherwise(2).alias("model_rev"), F.lit(0.5).alias("score"), F.lit(0.5).alias("confidence"))
     out = score.score_missing(t.items(), t.features(), have, t.weights(), t.runs())
     return out.select("user_id", "story_id", "score")
 
 
 @query("f3_score_missing_all", f"WITH {s.SCORED} SELECT user_id, story_id, score FROM scores")
 def _(t: Tables) -> DataFrame:
-    none = t.items().select(F.lit(0).cast("long").alias("user_id"), "story_id", F.lit(0).alias("model_rev")).limit(0)
+    none = t.items().select(F.lit(0).cast("long").alias("user_id"), "story_id", F.lit(0).alias("model_rev"), F.lit(0.5).alias("score"), F.lit(0.5).alias("confidence")).limit(0)
     out = score.score_missing(t.items(), t.features(), none, t.weights(), t.runs())
     return out.select("user_id", "story_id", "score")
 
@@ -637,7 +662,7 @@ def _again(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     items, path = _arrive(t, _again(t), "part = 0 and story_id % 2 = 0", "part = 1", "part = 0 and story_id % 2 = 1")
     jobs.stream_items(items.drop("part"), f"{path}/items", f"{path}/checkpoint").awaitTermination()
-    return jobs.latest(t.spark, f"{path}/items").select("story_id", "title", "points", "num_comments", "created_at")
+    return jobs.latest_items(t.spark, f"{path}/items").select("story_id", "title", "points", "num_comments", "created_at")
 
 
 @query("g2_stream_votes", f"WITH {s.COUNTS},{s.events_sql(True)} SELECT user_id, story_id, value, created_at, updated_at FROM votes")
@@ -660,7 +685,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     items, path = _arrive(t, _again(t), "part = 0 and story_id % 2 = 0", "part = 1", "part = 0 and story_id % 2 = 1")
     jobs.stream_score_arrivals(items.drop("part"), f"{path}/items", f"{path}/scores", f"{path}/checkpoint", t.weights(), t.runs()).awaitTermination()
-    return jobs.latest(t.spark, f"{path}/scores").select("user_id", "story_id", "score", "model_rev")
+    return ingest.read_scores(t.spark, f"{path}/scores").select("user_id", "story_id", "score", "model_rev")
 
 
 @query("g5_items_per_day_stream", f"WITH {s.ITEMS} SELECT day, count(*) AS stories FROM items GROUP BY 1")
@@ -711,6 +736,12 @@ _feed("h4_feed_new", feed.FeedOptions(mode="new", limit=20), "TRUE", "created_at
 _feed("h5_feed_page", feed.FeedOptions(day="2024-01-12", limit=5, offset=5, min_score=0.3), "day = '2024-01-12' AND score >= 0.3", "score DESC, num_comments DESC")
 
 
+@query("h2_feed_from_models", SQL["h2_feed_foryou"])
+def _(t: Tables) -> DataFrame:
+    out = feed.feed_from_models(t.items(), t.features(), t.weights(), t.runs(), t.votes(), feed.FeedOptions(limit=20), AS_OF)
+    return out.select("user_id", "story_id", "pos", "total", "score")
+
+
 @query("h6_vote_log", f"""WITH {s.BOTH},{s.HISTORY}, l AS (SELECT v.user_id, v.story_id, title, value, row_number() OVER (PARTITION BY v.user_id ORDER BY v.updated_at DESC, v.story_id DESC) AS pos,
     count(*) OVER (PARTITION BY v.user_id) AS total FROM votes v JOIN items i ON i.story_id = v.story_id WHERE value = 1)
     SELECT l.user_id, l.story_id, title, pos, total, round(a.score, 6) AS score, round(b.score, 6) AS oof_score FROM l
@@ -744,7 +775,12 @@ def _(t: Tables) -> DataFrame:
     return decks.allocate_each(t.items().select(F.col("points").alias("cards")))
 
 
-DECK = f"""{s.SCORED}, c0 AS (SELECT r.user_id, r.rev, i.story_id, i.num_comments, i.created_at, s.score, s.confidence,
+PLACE = permuted_sql("r.user_id", "r.rev", "1", "j.place", "z.bits")
+
+DECK = f"""{s.SCORED}, num AS (SELECT story_id, row_number() OVER (ORDER BY story_id) - 1 AS number FROM items WHERE points >= 30),
+    z AS (SELECT greatest(CAST(ceil(log2(greatest(count(*), 2))) AS INTEGER), 1) AS bits FROM num),
+    pl AS (SELECT r.user_id, n.story_id, j.place FROM runs r CROSS JOIN z CROSS JOIN (SELECT unnest(range(0, (1::BIGINT << bits))) AS place FROM z) j JOIN num n ON n.number = {PLACE}),
+    c0 AS (SELECT r.user_id, r.rev, i.story_id, i.num_comments, i.created_at, s.score, s.confidence,
     round((s.score - 0.5::DOUBLE) / (0.3::DOUBLE + 0.7::DOUBLE * s.confidence), 9) AS off,
     (i.story_id * 2654435761 + (r.user_id * 374761393 + r.rev * 668265263 + 1 * 2246822519) % 4294967296) % 4294967296 AS x
     FROM runs r CROSS JOIN items i JOIN scores s ON s.user_id = r.user_id AND s.story_id = i.story_id
@@ -755,7 +791,7 @@ DECK = f"""{s.SCORED}, c0 AS (SELECT r.user_id, r.rev, i.story_id, i.num_comment
     rp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY num_comments DESC, story_id DESC) AS page FROM c WHERE created_at >= {AS_OF - 3 * 86400}) WHERE page > 2 AND page <= 8),
     r AS (SELECT user_id, story_id, 'recent' AS reason, at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY page) AS at FROM rp WHERE (user_id, story_id) NOT IN (SELECT (user_id, story_id) FROM b UNION ALL SELECT (user_id, story_id) FROM n)) WHERE at <= 2),
     bnr AS (SELECT * FROM b UNION ALL SELECT * FROM n UNION ALL SELECT * FROM r),
-    x AS (SELECT user_id, story_id, 'explore' AS reason, at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k, story_id) AS at FROM c WHERE (user_id, story_id) NOT IN (SELECT (user_id, story_id) FROM bnr)) WHERE at <= 2),
+    x AS (SELECT user_id, story_id, 'explore' AS reason, at FROM (SELECT c.*, row_number() OVER (PARTITION BY c.user_id ORDER BY place) AS at FROM c JOIN pl USING (user_id, story_id) WHERE (user_id, story_id) NOT IN (SELECT (user_id, story_id) FROM bnr)) WHERE at <= 2),
     pk AS (SELECT * FROM bnr UNION ALL SELECT * FROM x),
     il AS (SELECT user_id, story_id, reason, row_number() OVER (PARTITION BY user_id ORDER BY at, CASE reason WHEN 'boundary' THEN 0 WHEN 'novel' THEN 1 WHEN 'recent' THEN 2 ELSE 3 END) AS pos FROM pk),
     hv AS (SELECT user_id, count(*) AS have FROM il GROUP BY 1),
@@ -784,12 +820,12 @@ def _(t: Tables) -> DataFrame:
 @query("h12_stratum_recent", f"WITH {DECK}, rr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY page) AS at FROM rp) SELECT user_id, story_id, at FROM rr WHERE at <= 2")
 def _(t: Tables) -> DataFrame:
     none = t.votes().select("user_id", "story_id").limit(0)
-    return decks.stratum_recent(_strata(t), 2, 1, AS_OF, none).select("user_id", "story_id", "at")
+    return decks.stratum_recent(t.runs(), t.items(), t.votes(), 2, 1, AS_OF, 30, none).select("user_id", "story_id", "at")
 
 
-@query("h13_stratum_explore", f"WITH {DECK}, xx AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k, story_id) AS at FROM c) SELECT user_id, story_id, at FROM xx WHERE at <= 7")
+@query("h13_stratum_explore", f"WITH {DECK}, xx AS (SELECT c.user_id, c.story_id, row_number() OVER (PARTITION BY c.user_id ORDER BY place) AS at FROM c JOIN pl USING (user_id, story_id)) SELECT user_id, story_id, at FROM xx WHERE at <= 7")
 def _(t: Tables) -> DataFrame:
-    return decks.stratum_explore(_strata(t), 7).select("user_id", "story_id", "at")
+    return decks.stratum_explore(t.runs(), t.items(), t.votes(), 7, 1, 30).select("user_id", "story_id", "at")
 
 
 @query("h14_fill_from_boundary", f"WITH {DECK}, ff AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(off), CASE WHEN off < 0 THEN 1 ELSE 0 END, story_id) AS at FROM c WHERE (user_id, story_id) NOT IN (SELECT (user_id, story_id) FROM b)), hb AS (SELECT user_id, count(*) AS have FROM b GROUP BY 1) SELECT ff.user_id, story_id, at FROM ff LEFT JOIN hb ON hb.user_id = ff.user_id WHERE at <= 12 - coalesce(have, 0)")

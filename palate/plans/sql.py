@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from palate.functions.text import DELETED, STOP, fold_pairs
 from palate.plans.fixtures import AS_OF
 
@@ -64,6 +67,25 @@ def fold_sql(c: str) -> str:
     return f"regexp_replace({out}, '[^a-z0-9+#.&/\\s-]', ' ', 'g')"
 
 
+#: Characters that decompose to several, to none, or to what is kept: ligatures, fractions, units, marks, squared words.
+EXOTIC = "ﬁ ﬄ ½ ⅞ ㎏ ㏂ № ℡ Ǆ ŉ é é ｆｕｌｌ … ‥ ª ² ﷲ 한국 ㊀ ⒈ ⑽ ´ ¨ ‘q’ ｀ Å ß ﬆ ĳ 🄀 𝐀𝟗"
+
+
+def exact_fold_sql(c: str) -> str:
+    """Folding from the character database alone: a value for each character that does not become one space."""
+    values = {}
+    for code in [*range(128, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x20000)]:
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not 0x300 <= ord(x) <= 0x36F and x not in DELETED)
+        out = re.sub(r"[^a-z0-9+#.&/\s-]", " ", plain, flags=re.A)
+        if out != " ":
+            values[code] = out
+    table = "MAP {" + ", ".join(f"{k}: {q(v)}" for k, v in values.items()) + "}"
+    hangul = "CASE WHEN (ord(x) - 44032) % 28 = 0 THEN '  ' ELSE '   ' END"  # two or three letters a syllable
+    plain = "CASE WHEN regexp_matches(x, '[a-z0-9+#.&/\\s-]') THEN x WHEN ord(x) IN (39, 96) THEN '' ELSE ' ' END"
+    one = f"CASE WHEN ord(x) < 128 THEN {plain} WHEN ord(x) BETWEEN 44032 AND 55203 THEN {hangul} ELSE coalesce({table}[ord(x)], ' ') END"
+    return f"array_to_string(list_transform(regexp_extract_all(lower({c}), '(?s).'), lambda x: {one}), '')"
+
+
 def tokens_sql(c: str) -> str:
     parts = f"regexp_split_to_array({fold_sql(c)}, '\\s+')"
     return f"list_filter(list_transform({parts}, lambda w: trim(w, '.-&/')), lambda w: w <> '' AND length(w) < 30)"
@@ -92,16 +114,16 @@ dom AS (SELECT story_id, domain, string_split(domain, '.') AS l FROM kept WHERE
 site AS (SELECT *, array_to_string(l[len(l) - CASE WHEN len(l) > 3 THEN 2 ELSE 1 END:], '.') AS s FROM dom),
 fall AS (
     SELECT story_id, '__bias__' AS feature, 1.0::DOUBLE AS value, 0 AS pos FROM kept
-    UNION ALL SELECT story_id, 'w:' || w, 1.0, 1000000 + i * 100 FROM word
-    UNION ALL SELECT story_id, 'w:' || {stem_sql("p")}, 0.5, 1000001 + i * 100 + j FROM part
-    UNION ALL SELECT a.story_id, 'b:' || a.w || '_' || b.w, 0.7, 2000000 + a.i FROM word a JOIN word b ON b.story_id = a.story_id AND b.i = a.i + 1
-    UNION ALL SELECT story_id, f, 0.6, 3000000 + i FROM style WHERE f IS NOT NULL
-    UNION ALL SELECT story_id, 't:len' || CAST(least(len(raw) // 3, 6) AS VARCHAR), 0.3, 4000000 FROM kept
-    UNION ALL SELECT story_id, 'dom:' || domain, 1.0, 5000000 FROM dom
-    UNION ALL SELECT story_id, 'dom:' || s, 0.5, 5000001 FROM site WHERE len(l) > 2 AND s <> domain
-    UNION ALL SELECT story_id, 'tld:' || l[len(l)], 0.3, 5000002 FROM dom
-    UNION ALL SELECT story_id, 't:selfpost', 1.0, 5000000 FROM kept WHERE domain IS NULL
-    UNION ALL SELECT story_id, 'by:' || lower(author), 0.6, 6000000 FROM kept WHERE author IS NOT NULL),
+    UNION ALL SELECT story_id, 'w:' || w, 1.0, 1000000000000000 + i * 100 FROM word
+    UNION ALL SELECT story_id, 'w:' || {stem_sql("p")}, 0.5, 1000000000000001 + i * 100 + j FROM part
+    UNION ALL SELECT a.story_id, 'b:' || a.w || '_' || b.w, 0.7, 2000000000000000 + a.i FROM word a JOIN word b ON b.story_id = a.story_id AND b.i = a.i + 1
+    UNION ALL SELECT story_id, f, 0.6, 3000000000000000 + i FROM style WHERE f IS NOT NULL
+    UNION ALL SELECT story_id, 't:len' || CAST(least(len(raw) // 3, 6) AS VARCHAR), 0.3, 4000000000000000 FROM kept
+    UNION ALL SELECT story_id, 'dom:' || domain, 1.0, 5000000000000000 FROM dom
+    UNION ALL SELECT story_id, 'dom:' || s, 0.5, 5000000000000001 FROM site WHERE len(l) > 2 AND s <> domain
+    UNION ALL SELECT story_id, 'tld:' || l[len(l)], 0.3, 5000000000000002 FROM dom
+    UNION ALL SELECT story_id, 't:selfpost', 1.0, 5000000000000000 FROM kept WHERE domain IS NULL
+    UNION ALL SELECT story_id, 'by:' || lower(author), 0.6, 6000000000000000 FROM kept WHERE author IS NOT NULL),
 features AS (SELECT story_id, feature, round(sum(value), 6) AS value, min(pos) AS pos FROM fall GROUP BY 1, 2)"""
 
 EXAMPLES = """

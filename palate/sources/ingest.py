@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palate.functions.scalars import day_key
 from palate.functions.text import domain_of
+from palate.sources.merge_table import MergeTable, newest
 
 HIT = (
     "objectID string, title string, story_title string, url string, story_url string, author string, points long,"
@@ -91,16 +92,9 @@ def lookup_missing(votes: DataFrame, items: DataFrame, raw: DataFrame) -> tuple[
 def merge_items(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert by id: newest title, url, domain and fetch time win, counts never fall, author and times stay as first
     seen. Doing it again changes nothing. Order is by fetched_at, current rows first."""
-    rows = current.select(*ITEM_COLUMNS).withColumn("seq", F.lit(0)).unionByName(
-        incoming.select(*ITEM_COLUMNS).withColumn("seq", F.lit(1))
+    return fold_items(
+        current.select(*ITEM_COLUMNS).withColumn("__run", F.lit(0)).unionByName(incoming.select(*ITEM_COLUMNS).withColumn("__run", F.lit(1)))
     )
-    at = F.struct("seq", "fetched_at", "title", "url")
-    newest = F.max_by(F.struct("title", "url", "domain", "fetched_at"), at)
-    oldest = F.min_by(F.struct("author", "created_at", "day"), at)
-    out = rows.groupBy("story_id").agg(
-        newest.alias("n"), oldest.alias("o"), F.max("points").alias("points"), F.max("num_comments").alias("num_comments")
-    )
-    return out.select("story_id", "n.title", "n.url", "n.domain", "o.author", "points", "num_comments", "o.created_at", "o.day", "n.fetched_at")
 
 
 def sync_report(requested: DataFrame, current: DataFrame, incoming: DataFrame, failures: DataFrame) -> DataFrame:
@@ -197,8 +191,29 @@ def write_items(items: DataFrame, path: str) -> None:
     items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
-def write_scores(scores: DataFrame, path: str, buckets: int = 64) -> None:
-    """Parquet by a bucket of the user's id: writing again replaces the buckets in ``scores`` whole and leaves others as
-    they are, so a bucket's users are written together."""
-    out = scores.withColumn("user_bucket", F.pmod("user_id", F.lit(buckets)).cast("int"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_bucket").parquet(path)
+def scores_table(spark: SparkSession, path: str) -> MergeTable:
+    keys = ["user_id", "story_id"]
+    return MergeTable(spark, path, keys, newest(keys, "model_rev"))
+
+
+def write_scores(scores: DataFrame, path: str, source: str = "", number: int | None = None) -> bool:
+    """Upsert by user and item: what is written last holds, all other rows stay. A write with the ``number`` of one that its
+    ``source`` has made already changes nothing."""
+    return scores_table(scores.sparkSession, path).write(scores, source, number)
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame | None:
+    return scores_table(spark, path).read()
+
+
+def fold_items(rows: DataFrame) -> DataFrame:
+    """Rows of one item in several runs (``__run``) as one: the rule of ``merge_items`` over any number of writes."""
+    at = F.struct("__run", "fetched_at", "title", "url")
+    new = F.max_by(F.struct("title", "url", "domain", "fetched_at"), at)
+    old = F.min_by(F.struct("author", "created_at", "day"), at)
+    out = rows.groupBy("story_id").agg(new.alias("n"), old.alias("o"), F.max("points").alias("points"), F.max("num_comments").alias("num_comments"))
+    return out.select("story_id", "n.title", "n.url", "n.domain", "o.author", "points", "num_comments", "o.created_at", "o.day", "n.fetched_at")
+
+
+def items_table(spark: SparkSession, path: str) -> MergeTable:
+    return MergeTable(spark, path, ["story_id"], fold_items)

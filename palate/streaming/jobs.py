@@ -1,7 +1,7 @@
 """Incremental forms of the batch jobs. Each takes a streaming DataFrame and gives a started query or a stream.
 
-Tables that batches change are kept in buckets by key: a batch reads and rewrites the buckets it touches, under its own
-number, so a batch that runs again replaces its own version, and readers take each bucket's newest whole version.
+Tables that batches change are logs of runs (``sources.merge_table``): a batch writes its own rows, and a batch that runs
+again after its run counted changes nothing.
 """
 
 from __future__ import annotations
@@ -12,61 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from palate.operators.features import featurize
 from palate.operators.rounds import VOID_AFTER
 from palate.operators.score import rescore_all
 from palate.operators.votes import fold_votes, frozen_prediction
-from palate.sources.ingest import ITEM_COLUMNS, merge_items
-
-BUCKETS = 64
-
-
-def _fs(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    fs, where = _fs(spark, path)
-    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
-
-
-def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[str, list[str]]:
-    """Bucket folder to the numbers of the whole versions that have it, ascending."""
-    out: dict[str, list[str]] = {}
-    for number in _names(spark, path):
-        if before is None or int(number) < before:
-            found = _names(spark, f"{path}/{number}")
-            for bucket in (x for x in found if x.startswith("bucket=") and "_SUCCESS" in found):
-                out.setdefault(bucket, []).append(number)
-    return out
-
-
-def latest(spark: SparkSession, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-    """Newest whole version of every bucket, or of some buckets before a batch; None where there is nothing yet."""
-    wanted = None if buckets is None else {f"bucket={b}" for b in buckets}
-    found = {k: v[-1] for k, v in _versions(spark, path, before).items() if wanted is None or k in wanted}
-    paths = [f"{path}/{number}/{bucket}" for bucket, number in sorted(found.items())]
-    return spark.read.parquet(*paths) if paths else None
-
-
-def upsert(batch: DataFrame, path: str, number: int, key: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
-    """One batch into the table under ``path``. ``merge(current, batch)`` gives the new rows of the buckets that the batch
-    touches, and must leave none of them without rows. Of older versions the last one before this batch stays."""
-    spark = batch.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-    touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # BUCKETS at most
-    if not touched:
-        return
-    new = merge(latest(spark, path, number, touched), batch)
-    new.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{number:012d}")
-    for name, numbers in _versions(spark, path, number).items():
-        for old in numbers[:-1]:
-            fs, where = _fs(spark, f"{path}/{old}/{name}")
-            fs.delete(where, True)
-
+from palate.sources.ingest import ITEM_COLUMNS, items_table, write_scores
+from palate.sources.merge_table import MergeTable
 
 def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -75,34 +28,39 @@ def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint
 def stream_items(items: DataFrame, path: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Late and repeated items merge into the table under ``path`` and never lower it. ``then(batch, id)`` runs after."""
 
-    def merge(current: DataFrame | None, batch: DataFrame) -> DataFrame:
-        empty = batch.select(*ITEM_COLUMNS).limit(0)
-        return merge_items(current if current is not None else empty, merge_items(empty, batch))
-
     def step(batch: DataFrame, number: int) -> None:
-        upsert(batch, path, number, "story_id", merge)
+        items_table(batch.sparkSession, path).write(batch.select(*ITEM_COLUMNS), checkpoint, number)
         if then:
             then(batch, number)
 
     return _start(items, step, checkpoint)
 
 
+def latest_items(spark: SparkSession, path: str) -> DataFrame | None:
+    return items_table(spark, path).read()
+
+
+def _fold_log(rows: DataFrame) -> DataFrame:
+    """Of each user and item the latest tombstone and the events after it, each event once."""
+    at = F.struct("ts", "event_id")
+    rows = rows.drop("__run").dropDuplicates(["user_id", "story_id", "event_id"])
+    gone = F.max(F.when(F.col("value").isNull(), at)).over(Window.partitionBy("user_id", "story_id"))
+    rows = rows.withColumn("gone", gone)
+    return rows.where(F.col("gone").isNull() | (at >= F.col("gone"))).drop("gone")
+
+
+def votes_log(spark: SparkSession, path: str) -> MergeTable:
+    return MergeTable(spark, path, ["user_id", "story_id"], _fold_log)
+
+
 def stream_votes(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Vote events, tombstones included, kept per user and item as what a fold needs: the latest tombstone and the events
     after it. ``latest_votes`` folds them."""
-
-    def merge(current: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = batch if current is None else current.unionByName(batch)
-        at = F.struct("ts", "event_id")
-        gone = F.max(F.when(F.col("value").isNull(), at)).over(Window.partitionBy("user_id", "story_id"))
-        rows = rows.dropDuplicates(["event_id"]).withColumn("gone", gone)
-        return rows.where(F.col("gone").isNull() | (at >= F.col("gone"))).drop("gone")
-
-    return _start(events, lambda batch, number: upsert(batch, path, number, "user_id", merge), checkpoint)
+    return _start(events, lambda batch, number: votes_log(batch.sparkSession, path).write(batch, checkpoint, number) and None, checkpoint)
 
 
 def latest_votes(spark: SparkSession, path: str) -> DataFrame | None:
-    log = latest(spark, path)
+    log = votes_log(spark, path).read()
     return None if log is None else fold_votes(log)
 
 
@@ -112,25 +70,21 @@ def stream_predictions(events: DataFrame, history: DataFrame, path: str, checkpo
 
     def step(batch: DataFrame, number: int) -> None:
         cast = batch.where("value is not null").withColumnRenamed("ts", "updated_at")
-        frozen_prediction(cast, history).write.mode("overwrite").parquet(f"{path}/number={number}")
+        own = history.join(cast.select("user_id", "story_id").distinct(), ["user_id", "story_id"], "left_semi")
+        frozen_prediction(cast, own).write.mode("overwrite").parquet(f"{path}/number={number}")
 
     return _start(events, step, checkpoint)
 
 
 def stream_score_arrivals(items: DataFrame, path: str, scores_path: str, checkpoint: str, weights: DataFrame, runs: DataFrame) -> StreamingQuery:
     """Nothing is ingested without being scored: each batch is merged, then its items, as merged, are scored for every
-    user with a model; earlier scores of other items stay."""
-
-    def merge(current: DataFrame | None, new: DataFrame) -> DataFrame:
-        if current is None:
-            return new
-        return current.join(new.select("user_id", "story_id"), ["user_id", "story_id"], "left_anti").unionByName(new)
+    user with a model and upserted; earlier scores of other items stay."""
 
     def then(batch: DataFrame, number: int) -> None:
-        merged = latest(batch.sparkSession, path)
-        if merged is not None:
-            arrived = merged.join(batch.select("story_id").distinct(), "story_id", "left_semi")
-            upsert(rescore_all(featurize(arrived), weights, runs), scores_path, number, "story_id", merge)
+        spark = batch.sparkSession
+        arrived = items_table(spark, path).read(only=batch.select("story_id"))
+        if arrived is not None:
+            write_scores(rescore_all(featurize(arrived), weights, runs), scores_path, checkpoint, number)
 
     return stream_items(items, path, checkpoint, then)
 
@@ -143,34 +97,45 @@ def items_per_day_stream(items: DataFrame, late: str = "2 days") -> DataFrame:
     )
 
 
-def stale_round_expiry(deals: DataFrame, late: str = "0 seconds", void_after: int = VOID_AFTER) -> DataFrame:
-    """Rounds of a stream of deals (user_id, seq, dealt_at) that became void: (user_id, seq, expired_at). A deal is void
-    ``void_after`` seconds after it, unless the user has been dealt another by then; event time tells, by a timer per
-    user, so a round expires without any further row of its user. Deals of one user come in order."""
+class _Expiry(StatefulProcessor):
+    """Open deals of one user by their number, each with a timer; when it rings, all deals up to then have arrived."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
+    def __init__(self, void_after: int):
+        self.void_after = void_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.deals = handle.getMapState("deals", "seq long", "dealt_at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for seq, dealt in zip(batch["seq"], batch["dealt_at"], strict=True):
+                self.deals.updateValue((int(seq),), (int(dealt),))
+                self.handle.registerTimer((int(dealt) + self.void_after) * 1000)
+        yield pd.DataFrame({"user_id": [], "seq": [], "expired_at": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        held = sorted((row[0], seq[0]) for seq, row in self.deals.iterator())
         out = []
-        if state.hasTimedOut:
-            out.append((key[0], held[0], held[1] + void_after))
-            state.remove()
-        else:
-            rows = sorted((int(d), int(s)) for b in batches for s, d in zip(b["seq"], b["dealt_at"], strict=True))
-            for dealt, seq in rows:
-                if held and dealt >= held[1] + void_after:
-                    out.append((key[0], held[0], held[1] + void_after))
-                held = (seq, dealt)
-            end = (held[1] + void_after) * 1000
-            if end <= state.getCurrentWatermarkMs():
-                out.append((key[0], held[0], held[1] + void_after))
-                if state.exists:
-                    state.remove()
-            else:
-                state.update(held)
-                state.setTimeoutTimestamp(end)
-        yield pd.DataFrame(out, columns=["user_id", "seq", "expired_at"])
+        for at, (dealt, seq) in enumerate(held):
+            if dealt + self.void_after <= now:
+                if at + 1 == len(held) or held[at + 1][0] >= dealt + self.void_after:
+                    out.append((key[0], seq, dealt + self.void_after))
+                self.deals.removeKey((seq,))
+        yield pd.DataFrame(out, columns=["user_id", "seq", "expired_at"]).astype("int64")
+
+    def close(self) -> None:
+        pass
 
+
+def stale_round_expiry(deals: DataFrame, late: str = "0 seconds", void_after: int = VOID_AFTER) -> DataFrame:
+    """Rounds of a stream of deals (user_id, seq, dealt_at) that became void: (user_id, seq, expired_at). A deal is void
+    ``void_after`` seconds after it, unless the user has been dealt another by then. Each deal has a timer in event time,
+    so a round expires without any further row of its user, and deals may come in any order within ``late``. The state
+    is kept in RocksDB, which the session is set to."""
+    deals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed = deals.withColumn("at", F.timestamp_seconds("dealt_at")).withWatermark("at", late)
-    return timed.groupBy("user_id").applyInPandasWithState(
-        run, "user_id long, seq long, expired_at long", "seq long, dealt_at long", "append", GroupStateTimeout.EventTimeTimeout
+    return timed.groupBy("user_id").transformWithStateInPandas(
+        _Expiry(void_after), "user_id long, seq long, expired_at long", "Append", "EventTime"
     )

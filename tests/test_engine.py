@@ -131,8 +131,8 @@ def test_streams_accumulate(spark, tmp_path):
         spark.createDataFrame(df, ITEMS).coalesce(1).write.mode("append").parquet(f"{at}/in")
         stream = spark.readStream.schema(ITEMS).parquet(f"{at}/in")
         jobs.stream_score_arrivals(stream, f"{at}/items", f"{at}/scores", f"{at}/cp", w, runs).awaitTermination()
-    items = jobs.latest(spark, f"{at}/items")
-    assert rows(jobs.latest(spark, f"{at}/scores"), "story_id", "score") == rows(rescore_all(featurize(items), w, runs), "story_id", "score")
+    items = jobs.latest_items(spark, f"{at}/items")
+    assert rows(ingest.read_scores(spark, f"{at}/scores"), "story_id", "score") == rows(rescore_all(featurize(items), w, runs), "story_id", "score")
     deals = "user_id long, seq long, dealt_at long"
     for part in ([(1, 1, 1_000), (2, 1, 2_000)], [(2, 2, 40_000)], [(3, 1, 100_000)], [(3, 2, 300_000)]):
         spark.createDataFrame(part, deals).coalesce(1).write.mode("append").parquet(f"{at}/deals")
@@ -193,7 +193,7 @@ def test_stream_of_items_equals_batch(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(ITEMS).parquet(src)
         jobs.stream_items(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert rows(jobs.latest(spark, str(tmp_path / "out")), *cols) == rows(ingest.merge_items(a, b), *cols)
+    assert rows(jobs.latest_items(spark, str(tmp_path / "out")), *cols) == rows(ingest.merge_items(a, b), *cols)
 
 
 def test_stream_of_votes_equals_batch(spark, tmp_path):
