@@ -28,16 +28,18 @@ from palate.llm.common import components, discard, join_components, materialise,
 from palate.llm.near_dup import confirm
 
 PERCENT = 80
-GROUPS = 64
+GROUPS = 256
+#: Sets of more shingles have a second point in more groups, for the pairs that the first one lets pass.
+FINE = 1024
 #: Slots that shingles are counted in to tell the frequent ones; a slot is frequent from so many times the mean on.
 SLOTS, FREQUENT = 1 << 16, 4
 #: Points of a leaf, and children of an inner node.
 FAN = 16
 #: Members of a cell and size class in one block; cells of up to SMALL need no tree.
 BLOCK, SMALL = 2048, 48
-_FULL = np.uint16(0xFFFF)
+_FULL = np.uint8(0xFF)
 
-SKETCH = "doc_id long, n_shingles long, fp binary, counts binary, keys array<long>"
+SKETCH = "doc_id long, n_shingles long, fp binary, counts binary, fine binary, keys array<long>"
 
 
 def slot(shingles: np.ndarray) -> np.ndarray:
@@ -47,7 +49,28 @@ def slot(shingles: np.ndarray) -> np.ndarray:
 def group_counts(shingles: np.ndarray) -> np.ndarray:
     """The point of a set: shingles in each group. A coordinate that is full stands for any number."""
     found = np.bincount(((shingles >> np.uint64(40)) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return np.minimum(found, int(_FULL)).astype(np.uint16)
+    return np.minimum(found, int(_FULL)).astype(np.uint8)
+
+
+def fine_counts(shingles: np.ndarray) -> bytes:
+    """The point of a set of over FINE shingles in about a quarter as many groups as it has shingles, a power of two; each
+    group of fewer is a run of groups of more. Nothing for smaller sets, which GROUPS tell apart well enough."""
+    if len(shingles) <= FINE:
+        return b""
+    bits = min(int(len(shingles) / 4 - 1).bit_length(), 24)
+    group = ((shingles >> np.uint64(16)) & np.uint64((1 << 24) - 1)) >> np.uint64(24 - bits)
+    return np.minimum(np.bincount(group.astype(np.int64), minlength=1 << bits), int(_FULL)).astype(np.uint8).tobytes()
+
+
+def fine_bound(x: bytes, y: bytes) -> int | None:
+    """``bound`` of two fine points, the finer one summed up to the groups of the other; None where there is none."""
+    if not x or not y:
+        return None
+    a, b = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (x, y))
+    if (a == _FULL).any() or (b == _FULL).any():
+        return None
+    n = min(len(a), len(b))
+    return int(np.minimum(a.reshape(n, -1).sum(axis=1), b.reshape(n, -1).sum(axis=1)).sum())
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -98,16 +121,17 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
 def _sketches(levels: np.ndarray, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [batch.column(0).to_pylist(), [], [], [], []]
+            rows: list[list] = [batch.column(0).to_pylist(), [], [], [], [], []]
             for _, texts in text_parts(batch.column(1)):
                 for s in shingle_sets(texts):
                     twice = mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
                     rows[1].append(len(s))
                     rows[2].append(s.sum(dtype=np.uint64).tobytes() + twice.sum(dtype=np.uint64).tobytes())
                     rows[3].append(group_counts(s).tobytes())
-                    rows[4].append(prefix(s, levels, percent).view(np.int64) if len(s) else [])
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc_id", "n_shingles", "fp", "counts", "keys"])
+                    rows[4].append(fine_counts(s))
+                    rows[5].append(prefix(s, levels, percent).view(np.int64) if len(s) else [])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc_id", "n_shingles", "fp", "counts", "fine", "keys"])
 
     return run
 
@@ -115,7 +139,7 @@ def _sketches(levels: np.ndarray, percent: int):
 def _points(column: pa.Array) -> np.ndarray:
     """A binary column of points as a matrix."""
     at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].view(np.uint16).reshape(-1, GROUPS)
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].reshape(-1, GROUPS)
 
 
 def _bounded(percent: int):
@@ -131,6 +155,19 @@ def _bounded(percent: int):
     return run
 
 
+def _refined(percent: int):
+    """Pairs (a, b, na, nb, fa, fb) that the bound of fine points allows, as (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = needed(*(batch.column(c).to_numpy() for c in ("na", "nb")), percent).tolist()
+            most = (fine_bound(x, y) for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True))
+            keep = [m is None or m >= n for m, n in zip(most, need, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 class Tree:
     """A packed tree over points: sorted by size into slabs and in each by the coordinate that differs most, FAN points a
     leaf, FAN leaves an inner node; each node has the upper corner of its box and the range of its sizes."""
@@ -241,7 +278,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = materialise(whole.select("doc_id", "n_shingles", "fp"), "named")
     classes = named.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     full = whole.where("n_shingles > 0").drop("fp")
-    reps = classes.join(full, classes.rep == full.doc_id).select("rep", classes.fp, F.col("n_shingles").alias("n"), "counts", "keys")
+    reps = classes.join(full, classes.rep == full.doc_id).select("rep", classes.fp, F.col("n_shingles").alias("n"), "counts", "fine", "keys")
     reps = materialise(reps, "classes")
     discard(whole)
     comp = _linked(reps, texts, percent)
@@ -252,27 +289,40 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.unionByName(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
+def _fine(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that their fine points allow."""
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_refined(percent), "a long, b long")
+
+
 def _linked(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Components (id, comp) of class representatives; those without a link have no row."""
     members = reps.select("rep", F.explode("keys").alias("key"))
     cells = members.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("top")).where("center < top")
-    shared = materialise(members.join(cells.select("key", "center"), "key"), "cells")
+    cells = materialise(cells.select("key", "center"), "cells")
+    shared = materialise(members.join(cells, "key"), "shared")
+    discard(cells)
     points = reps.select("rep", "n", "counts")
     side = lambda x: points.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
     stars = shared.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     sized = stars.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    near = sized.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_bounded(percent), "a long, b long")
-    comp = materialise(components(confirm(near, texts, percent), "stars"), "labels")
+    near = materialise(sized.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_bounded(percent), "a long, b long"), "near")
+    comp = materialise(components(confirm(_fine(near, reps, percent), texts, percent), "stars"), "labels")
+    discard(near)
     of = shared.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     of = of.join(comp.select(F.col("id").alias("center"), F.col("comp").alias("home")), "center", "left").select(
         "key", "rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("home", "center").alias("home"), (F.col("rep") == F.col("center")).alias("tested")
     )
-    of = materialise(of, "placed")
-    # a cell's smallest member has met all others; a cell whose other members are all at home has nothing left to test
-    open_ = of.where("comp <> home").select("key").distinct()
-    left = of.where("not tested").join(open_, "key", "left_semi").withColumn("rest", F.col("comp") != F.col("home"))
+    # a cell's smallest member has met all others
+    of = materialise(of.where("not tested"), "placed")
+    discard(shared)
+    # where the others are in one component there is nothing left to test
+    open_ = of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     size = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
+    left = of.join(open_, "key", "left_semi").withColumn("rest", F.col("comp") != F.col("home"))
     left = materialise(left.join(points, "rep").select("key", "rep", "n", "comp", "rest", "counts", size.alias("size")), "open")
+    discard(of)
     many = left.groupBy("key", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     # a set as large or larger, yet similar enough, is of the same size class or the next
     every = left.withColumn("query", F.lit(False)).unionByName(
@@ -287,5 +337,8 @@ def _linked(reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
     block = ("key", "size", "i", "j")
     found = rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(_search_blocks(percent), "a long, b long").distinct()
-    second = materialise(confirm(found, texts, percent), "links")
+    found = materialise(found, "found")
+    discard(left)
+    second = materialise(confirm(_fine(found, reps, percent), texts, percent), "links")
+    discard(found)
     return comp if second.isEmpty() else join_components(comp, second)
