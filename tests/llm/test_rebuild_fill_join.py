@@ -202,3 +202,26 @@ def test_tree_finds_what_the_bound_allows(n):
     assert sorted(zip(q.tolist(), p.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(may)), strict=True))
     for i in range(0, n, 7):
         assert (most[i] >= [len(np.intersect1d(sets[i], s)) for s in sets]).all()
+
+
+@pytest.mark.parametrize("broken", [0, 100, 400])
+def test_passage_behind_many_broken_copies(spark, broken):
+    """Two documents share an edited passage that any number of earlier ones hold broken up, each in another way."""
+    from palate.llm import substring_dedup
+
+    r = random.Random(9)
+    pick = lambda n: [r.choice(WORDS) for _ in range(n)]
+    passage, rows = pick(150), []
+    for _ in range(broken):
+        words = list(passage)
+        for k in range(r.randrange(12), 150, 12):
+            words[k] = r.choice(WORDS)
+        rows.append(pick(20) + words + pick(20))
+    for edits in (0, 5):
+        words = list(passage)
+        for k in range(edits):
+            words[15 + 28 * k] = "edited"
+        rows.append(pick(30) + words + pick(30))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {(x.doc_id, x.source_id) for x in substring_dedup.repeated_passages(df).collect()}
+    assert (broken + 1, broken) in got
