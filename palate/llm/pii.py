@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 ROUNDS = 8
 #: Used where a caller brings no key of their own: good for tests, not for secrecy.
 SAMPLE_KEY = b"palate sample key, bring your own"
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
+FIRST_DAY, LAST_DAY = datetime.date.min, datetime.date.max
 
 
 class Feistel:
@@ -215,14 +215,13 @@ class Pseudonyms:
             date = datetime.date(int(y), int(month), int(day))
         except ValueError:
             return None
-        if not FIRST_DAY <= date <= LAST_DAY:
-            return None
         n = (LAST_DAY - FIRST_DAY).days + 1
-        # a day over 12 tells day-first and month-first apart, so pseudonyms of such dates keep one as well
+        # a day over 12 tells day-first and month-first apart, so such dates get such a pseudonym, and the others another
+        # one, in every layout: the same date is the same one however it is written
         new, late = date, date.day > 12
         while True:
             new = FIRST_DAY + datetime.timedelta(self.turn((new - FIRST_DAY).days, n, b"date"))
-            if first or (new.day > 12) == late:
+            if (new.day > 12) == late:
                 break
         y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
         digits = y + m + d if first else m + d + y if swapped else d + m + y
@@ -252,6 +251,7 @@ def pseudonymise(docs: DataFrame, key: bytes = SAMPLE_KEY, text_col: str = "text
     """``docs`` with valid values in ``text_col`` replaced, plus ``pii_found``: kinds and counts like
     ``card:2,email:1``, empty where nothing was found. An existing ``pii_found`` column is replaced.
 
+    Dates are those of the calendar from year 1 to 9999, and become any other of them; one date is linked in all layouts.
     Null texts stay null; empty texts, empty tables, repeated rows and other columns pass through. Dates whose day and
     month could be swapped are read day first. Values that fail their check stay as they are.
     """

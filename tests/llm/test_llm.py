@@ -271,10 +271,9 @@ def personal_values(text):
         (valid if luhn(word) and len(set(word)) > 1 else other).append(word)
     for word in re.findall(r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", text):
         try:
-            year = datetime.date.fromisoformat(word).year
+            datetime.date.fromisoformat(word)
+            valid.append(word)
         except ValueError:
-            year = 0
-        if not year:
             other.append(word)
     valid += re.findall(r"(?<=\s)[a-z0-9.]+@[a-z0-9.]+\.com(?=\s)", text)
     valid += re.findall(r"(?<=\s)\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?=\s)", text)
@@ -318,6 +317,22 @@ def test_pseudonyms(spark, docs, empty):
     assert out.where("text is null").count() == 1 and pii.pseudonymise(empty).count() == 0
 
 
+def test_dates_are_linked_in_all_layouts():
+    """The same date in all layouts gets the same pseudonym, which is of the same layout and leads back; so do dates
+    before 1900 and after 2099."""
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    for date in (datetime.date(1899, 12, 31), datetime.date(2100, 1, 1), datetime.date(1, 1, 1), datetime.date(9999, 12, 31), *(datetime.date(2024, 1, 1) + datetime.timedelta(11 * k) for k in range(60))):
+        y, m, d = f"{date.year:04d}", f"{date.month:02d}", f"{date.day:02d}"
+        forms = {f"{y}-{m}-{d}": "ymd", f"{y}/{m}/{d}": "ymd", f"{d}.{m}.{y}": "dmy"} | ({f"{m}/{d}/{y}": "mdy"} if date.day > 12 else {})
+        got = set()
+        for text, order in forms.items():
+            new = p.replace(f"on {text} it")[0]
+            assert new != f"on {text} it" and back.replace(new)[0] == f"on {text} it"
+            parts = dict(zip(order, re.findall("[0-9]+", new), strict=True))
+            got.add(datetime.date(int(parts["y"]), int(parts["m"]), int(parts["d"])))
+        assert len(got) == 1 and (got.pop().day > 12) == (date.day > 12)
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = '<html lang="en"><head><title>T &amp; x</title></head><body><p>Hello<br>you</p><script>no</script><a href="/l">é</a></body></html>'
     pages = spark.createDataFrame([(1, "http://x/1", html), (2, None, None), (3, "http://x/3", "")], "page_id long, url string, html string")
