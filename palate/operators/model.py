@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,6 +82,39 @@ def _orders(n: int, options: FitOptions) -> np.ndarray:
     return out
 
 
+#: So few models of one size are trained one by one: a step of many costs about as much as FEW steps of one.
+FEW = 6
+
+
+def _train_one(label: np.ndarray, ends: np.ndarray, slot: np.ndarray, value: np.ndarray, options: FitOptions) -> np.ndarray:
+    """Weights of one model, by the rule of ``_train``. A slot's weight and its sum of squares stand side by side, so that
+    each example fetches and stores its own once."""
+    n, pos = len(label), float(label.sum())
+    weight = np.where(label == 1, n / (2 * pos), n / (2 * (n - pos))).tolist()
+    labels, l2, lr, exp = label.tolist(), options.l2 * max(200 / n, 1.0), options.lr, math.exp
+    begins = np.concatenate(([0], ends[:-1])).tolist()
+    own_slots = [slot[a:z] for a, z in zip(begins, ends.tolist(), strict=True)]
+    own_values = [value[a:z] for a, z in zip(begins, ends.tolist(), strict=True)]
+    both = np.zeros((int(slot.max()) + 1, 2))
+    both[:, 1] = 1e-8
+    sqrt, dot = np.sqrt, np.dot
+    for order in _orders(n, options).tolist():
+        for k in order:
+            i, x = own_slots[k], own_values[k]
+            held = both[i]
+            w = held[:, 0]
+            z = float(dot(w, x))
+            error = weight[k] * (1 / (1 + exp(-max(min(z, 700.0), -700.0))) - labels[k])
+            grad = x * error
+            grad += w * l2
+            held[:, 1] += grad * grad
+            grad *= lr
+            grad /= sqrt(held[:, 1])
+            w -= grad
+            both[i] = held
+    return np.round(both[:, 0], 6)
+
+
 def _train(model: np.ndarray, label: np.ndarray, ends: np.ndarray, slot: np.ndarray, value: np.ndarray, options: FitOptions) -> np.ndarray:
     """Weights of many models at once. Examples are sorted by ``model`` (numbered from 0); example i has the features
     ``slot`` and ``value`` before ``ends[i]``, and no two models share a slot.
@@ -90,6 +124,14 @@ def _train(model: np.ndarray, label: np.ndarray, ends: np.ndarray, slot: np.ndar
     example of every model that has one.
     """
     n = np.bincount(model)
+    if len(n) <= FEW:
+        w = np.zeros(slot.max() + 1)
+        for last, size in zip(np.cumsum(n).tolist(), n.tolist(), strict=True):
+            first = last - size
+            low, high = int(ends[first - 1]) if first else 0, int(ends[last - 1])
+            names, own = np.unique(slot[low:high], return_inverse=True)
+            w[names] = _train_one(label[first:last], ends[first:last] - low, own, value[low:high], options)
+        return w
     pos = np.bincount(model, weights=label)
     weight = np.where(label == 1, (n / (2 * pos))[model], (n / (2 * (n - pos)))[model])
     l2 = options.l2 * np.maximum(200 / n, 1.0)
@@ -121,10 +163,12 @@ def _train(model: np.ndarray, label: np.ndarray, ends: np.ndarray, slot: np.ndar
 FIT = "user_id long, fold int, idx long, feature string, weight double, support long"
 #: Examples trained together in one group; a model with more has a group of its own.
 TOGETHER = 16_384
+#: From this power of two of examples on, models are dealt out to a group each.
+ALONE = 9
 
 
 def fit_grouped(examples: DataFrame, features: DataFrame, options: FitOptions = FitOptions(), folds: bool = True) -> DataFrame:
-    """Weights of every trainable user: (user_id, fold, idx, feature, weight, support). Fold -1 is trained on all of a
+    """Weights of every user with both labels: (user_id, fold, idx, feature, weight, support). Fold -1 is trained on all of a
     user's examples; with ``folds``, examples need a ``fold`` column and each fold gets a model trained without it.
 
     A group holds models of about equal size, about TOGETHER examples of them, in sparse arrays: what it needs grows
@@ -143,7 +187,7 @@ def fit_grouped(examples: DataFrame, features: DataFrame, options: FitOptions =
     sizes = rows.groupBy("user_id", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
     sizes = sizes.where("pos > 0 and pos < n").withColumn("size", F.floor(F.log2("n")))
     # a row for each power of two
-    classes = sizes.groupBy("size").agg(F.ceil(F.sum("n") / TOGETHER).alias("groups"))
+    classes = sizes.groupBy("size").agg(F.greatest(F.ceil(F.sum("n") / TOGETHER), F.when(F.col("size") >= ALONE, F.count("*")).otherwise(1)).alias("groups"))
     sizes = sizes.join(F.broadcast(classes), "size").select(
         "user_id", "fold", "size", F.pmod(F.xxhash64("user_id", "fold"), "groups").alias("part")
     )
@@ -151,7 +195,9 @@ def fit_grouped(examples: DataFrame, features: DataFrame, options: FitOptions =
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["user_id", "fold", "ord", "story_id", "pos"], kind="stable")
-        code, _ = pd.factorize(pdf["user_id"].to_numpy() * 1024 + pdf["fold"].to_numpy() + 1)
+        new_model = (np.diff(pdf["user_id"].to_numpy(), prepend=0) != 0) | (np.diff(pdf["fold"].to_numpy(), prepend=0) != 0)
+        new_model[0] = True
+        code = np.cumsum(new_model) - 1
         name, names = pd.factorize(pdf["feature"])
         own = code * len(names) + name
         if options.min_count > 1:

@@ -197,3 +197,40 @@ def test_places_of_a_long_title(spark):
     items = spark.createDataFrame([(1, words, None, None, None)], "story_id long, title string, url string, domain string, author string")
     f = featurize(items)
     assert f.count() == f.select("pos").distinct().count() and f.where(f"feature = 'w:q11999' and pos = {SECTION + 1_199_900}").count() == 1
+
+
+def test_models_alone_equal_models_together():
+    """Eight models step together, each alone in its own loop: the same weights."""
+    r = np.random.default_rng(4)
+    sizes, label, slot, value, of = [9, 30, 31, 12, 25, 18, 40, 22], [], [], [], []
+    for m, n in enumerate(sizes):
+        for k in range(n):
+            label.append(float(k % 3 == 0))
+            slot.append(np.unique(np.append(r.choice(50, 5, replace=False), 50)) + 51 * m)
+            value.append(r.choice([0.5, 1.0, 0.7], 6))
+            of.append(m)
+    ends, label, of = np.cumsum([len(s) for s in slot]), np.array(label), np.array(of)
+    flat, values = np.concatenate(slot), np.concatenate(value)
+    together = model._train(of, label, ends, flat, values, model.FitOptions())
+    for m in range(len(sizes)):
+        own = np.flatnonzero(of == m)
+        s, v = np.concatenate([slot[i] for i in own]), np.concatenate([value[i] for i in own])
+        names, short = np.unique(s, return_inverse=True)
+        alone = model._train_one(label[own], np.arange(1, len(own) + 1) * 6, short, v, model.FitOptions())
+        assert np.abs(together[names] - alone).max() < 2e-6
+
+
+def test_deals_out_of_order_expire_rightly(spark, tmp_path):
+    """Deals that come late within the delay, over a restart: as if they had come in order."""
+    from palate.streaming import jobs
+
+    at, deals = str(tmp_path), "user_id long, seq long, dealt_at long"
+    parts = ([(1, 2, 50_000), (2, 1, 1_000)], [(1, 1, 1_000), (2, 3, 200_000)], [(2, 2, 60_000), (3, 1, 260_000)], [(4, 1, 900_000)])
+    for some in (parts[:2], parts[2:]):
+        for part in some:
+            spark.createDataFrame(part, deals).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(deals).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        out = jobs.stale_round_expiry(stream, "3 days").writeStream.outputMode("append").option("checkpointLocation", f"{at}/cp").format("parquet")
+        out.trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    got = rows(spark.read.parquet(f"{at}/out"), "user_id", "seq", "expired_at")
+    assert got == [(1, 2, 136_400), (2, 2, 146_400), (2, 3, 286_400), (3, 1, 346_400)]
