@@ -779,7 +779,8 @@ PLACE = permuted_sql("r.user_id", "r.rev", "1", "j.place", "z.bits")
 
 DECK = f"""{s.SCORED}, num AS (SELECT story_id, row_number() OVER (ORDER BY story_id) - 1 AS number FROM items WHERE points >= 30),
     z AS (SELECT greatest(CAST(ceil(log2(greatest(count(*), 2))) AS INTEGER), 1) AS bits FROM num),
-    pl AS MATERIALIZED (SELECT r.user_id, n.story_id, j.place FROM runs r CROSS JOIN z CROSS JOIN (SELECT unnest(range(0, (1::BIGINT << bits))) AS place FROM z) j JOIN num n ON n.number = {PLACE}),
+    dr AS MATERIALIZED (SELECT r.user_id, j.place, {PLACE} AS number FROM runs r CROSS JOIN z CROSS JOIN (SELECT unnest(range(0, (1::BIGINT << bits))) AS place FROM z) j),
+    pl AS MATERIALIZED (SELECT dr.user_id, num.story_id, dr.place FROM dr JOIN num ON num.number = dr.number),
     c0 AS (SELECT r.user_id, r.rev, i.story_id, i.num_comments, i.created_at, s.score, s.confidence,
     round((s.score - 0.5::DOUBLE) / (0.3::DOUBLE + 0.7::DOUBLE * s.confidence), 9) AS off,
     (i.story_id * 2654435761 + (r.user_id * 374761393 + r.rev * 668265263 + 1 * 2246822519) % 4294967296) % 4294967296 AS x
