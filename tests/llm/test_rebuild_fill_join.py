@@ -225,3 +225,17 @@ def test_passage_behind_many_broken_copies(spark, broken):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     got = {(x.doc_id, x.source_id) for x in substring_dedup.repeated_passages(df).collect()}
     assert (broken + 1, broken) in got
+
+
+def test_fine_points_bound_the_overlap():
+    """Of sets of different sizes, and so of different numbers of groups, never less than what they share, and less than
+    what they need where they share little."""
+    r = np.random.default_rng(6)
+    pool = common.mix(r.integers(0, 1 << 63, 9000, dtype=np.uint64))
+    for n, m in ((1500, 1800), (4000, 5000), (2040, 2060), (8000, 7000)):
+        x, y = (np.unique(r.choice(pool, k, replace=False)) for k in (n, m))
+        both = len(np.intersect1d(x, y))
+        assert both <= count_tree.fine_bound(count_tree.fine_counts(x), count_tree.fine_counts(y)) <= min(n, m)
+        apart = common.mix(np.arange(m, dtype=np.uint64) + np.uint64(1 << 40))
+        assert count_tree.fine_bound(count_tree.fine_counts(x), count_tree.fine_counts(apart)) < count_tree.needed(np.array(n), np.array(m), 80)
+    assert count_tree.fine_bound(b"", count_tree.fine_counts(pool)) is None
