@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palate.functions import text
-from palate.operators import decks, feed, model, pooled, ranking, score, votes
+from palate.operators import decks, model, pooled, ranking, score, votes
 from palate.operators.features import SECTION, featurize
 from palate.sources import ingest
 from palate.sources.merge_table import MergeTable, newest
