@@ -170,6 +170,19 @@ def shuffles_freed(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, most: int):
+    """What is planned meanwhile sends Python at most so many rows at a time: a batch of whole texts is in memory on both
+    sides, whatever their length."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors, runs the plan once."""
     path = shared_path(df.sparkSession, name)
