@@ -90,6 +90,57 @@ def test_missing_scores_by_bitmaps(spark):
     assert gaps.count() == 0
 
 
+def test_gaps_are_bitmaps(spark):
+    """A bucket that lacks most of its ids is 4,096 bytes, not a list of them; ids under 1 count down."""
+    items = spark.range(-40_000, 40_000).select(F.col("id").alias("story_id"))
+    runs = spark.createDataFrame([(1, 3, 40, 20, 20)], "user_id long, rev int, n_votes long, n_pos long, n_neg long")
+    have = scores(spark, [(1, s, 0.5, 3) for s in range(-40_000, 40_000, 1000)])
+    got = score.coverage_gaps(items, have, runs).collect()
+    assert [len(r.lack) for r in got] == [4096] * 4
+    assert sum(bin(b).count("1") for r in got for b in r.lack) == 80_000 - 80
+    f = spark.createDataFrame([(s, "__bias__", 1.0) for s in (-32_768, -1, 0, 1, 32_769)], "story_id long, feature string, value double")
+    w = spark.createDataFrame([(1, "__bias__", 0.5)], "user_id long, feature string, weight double")
+    out = score.score_missing(f.select("story_id"), f, scores(spark, [(1, 1, 0.5, 3), (1, -1, 0.5, 3)]), w, runs)
+    assert [r.story_id for r in out.orderBy("story_id").collect()] == [-32_768, 0, 32_769]
+
+
+def test_blocks_hold_a_row_an_item(spark, monkeypatch):
+    """What blocks repeat is a row for each item and user, whatever features they have; sums of features that all share
+    and of rare ones are those of plain Python, over several tiles of blocks that have been doubled."""
+    monkeypatch.setattr(score, "STORIES", 8)
+    monkeypatch.setattr(score, "USERS", 4)
+    monkeypatch.setattr(score, "BLOCKS", 2)
+    r = random.Random(5)
+    names = ["__bias__", "t:len1", *(f"w:{i}" for i in range(200))]
+    f = [(s, n, r.choice((0.3, 0.7, 1.0))) for s in range(1, 41) for n in [*names[:6], *r.sample(names[6:], 5)]]
+    w = [(u, n, round(r.uniform(-1, 1), 6)) for u in range(1, 18) for n in [*names[:5], *r.sample(names[5:], 30)]]
+    features = spark.createDataFrame(f, "story_id long, feature string, value double")
+    weights = spark.createDataFrame(w, "user_id long, feature string, weight double")
+    runs = spark.createDataFrame([(u, 2, 40, 20, 20) for u in range(1, 19)], "user_id long, rev int, n_votes long, n_pos long, n_neg long")
+    stories, users = score._packed(features, weights, runs)
+    assert (stories.count(), users.count()) == (40, 18)
+    tall, wide = score._cut(stories, users)
+    assert tall > 8 or wide > 4
+    got = {(x.user_id, x.story_id): (x.score, x.confidence) for x in score.rescore_all(features, weights, runs).collect()}
+    known = {(u, n): x for u, n, x in w}
+    assert len(got) == 40 * 18
+    for (u, s), (x, sure) in got.items():
+        own = [(n, v) for at, n, v in f if at == s]
+        z = sum(v * known.get((u, n), 0.0) for n, v in own)
+        mass = sum(v for n, v in own if n[0] == "w")
+        seen = sum(v for n, v in own if n[0] == "w" and (u, n) in known)
+        confidence = 0.3 + 0.7 * (seen / mass)
+        assert abs(sure - confidence) < 2e-9 and abs(x - (0.5 + (1 / (1 + math.exp(-z)) - 0.5) * (0.3 + 0.7 * confidence))) < 2e-9
+
+
+def test_unjudged_items_are_counted(spark):
+    """Votes that repeat, on items that are gone, and of users that are not asked for; who has judged all has no row."""
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
+    items = spark.createDataFrame([(1,), (2,)], "story_id long")
+    v = spark.createDataFrame([(1, 1), (1, 1), (1, 9), (3, 1), (3, 2), (4, 1)], "user_id long, story_id long")
+    assert rows(decks.unjudged_counts(users, items, v), "user_id", "n") == [(1, 1), (2, 2)]
+
+
 def plain_objective(examples, w, l2):
     n, pos = len(examples), sum(y for y, _ in examples)
     total = 0.0
