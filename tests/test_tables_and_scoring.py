@@ -285,3 +285,20 @@ def test_deals_out_of_order_expire_rightly(spark, tmp_path):
         out.trigger(availableNow=True).start(f"{at}/out").awaitTermination()
     got = rows(spark.read.parquet(f"{at}/out"), "user_id", "seq", "expired_at")
     assert got == [(1, 2, 136_400), (2, 2, 146_400), (2, 3, 286_400), (3, 1, 346_400)]
+
+
+def test_held_out_scores_without_weights(spark):
+    """Models applied in the task that trains them score as their weights do in a join, and an example is one row for all
+    folds, but for users of many examples."""
+    r = random.Random(11)
+    items = [(s, " ".join(r.sample(["rust", "go", "apple", "phone", "kernel", "linux", "film", "song"], 4)), None, None, "a") for s in range(1, 41)]
+    f = featurize(spark.createDataFrame(items, "story_id long, title string, url string, domain string, author string"))
+    made = [(u, s, int(r.random() < 0.5), i) for u in (1, 2) for i, s in enumerate(r.sample(range(1, 41), 20))]
+    folded = model.cv_folds(spark.createDataFrame([*made, (3, 1, 1, 0)], "user_id long, story_id long, label int, ord long"))
+    o = model.FitOptions(epochs=5)
+    one, two = model.cross_validate(folded, f, o)[1], model.cross_validate(folded, f, o, weights=model.fit_grouped(folded, f, o))[1]
+    keep = ("user_id", "fold", "story_id", "label", "score", "confidence")
+    assert rows(one, *keep) == rows(two, *keep) and one.count() == 40
+    assert model.packed(f).count() == 40
+    z = score.sums_by_user(folded.select("user_id", "story_id", "label"), f, spark.createDataFrame([(1, "by:a", 0.5), (1, "w:none", 9.0)], "user_id long, feature string, weight double"))
+    assert {(x.user_id, round(x.z, 9)) for x in z.collect()} == {(1, 0.3)} and z.count() == 20
