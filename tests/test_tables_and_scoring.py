@@ -302,3 +302,13 @@ def test_held_out_scores_without_weights(spark):
     assert model.packed(f).count() == 40
     z = score.sums_by_user(folded.select("user_id", "story_id", "label"), f, spark.createDataFrame([(1, "by:a", 0.5), (1, "w:none", 9.0)], "user_id long, feature string, weight double"))
     assert {(x.user_id, round(x.z, 9)) for x in z.collect()} == {(1, 0.3)} and z.count() == 20
+
+
+def test_arriving_parts_are_many_files(spark):
+    """No task writes or reads a whole part of a stream, and every row of every part arrives."""
+    from palate.plans.fixtures import Tables
+    from palate.plans.queries import _arrive
+
+    stream, path = _arrive(Tables(spark, ""), spark.range(1000), "id < 700", "id >= 700")
+    assert stream.isStreaming and sorted(r.id for r in spark.read.parquet(f"{path}/in").collect()) == list(range(1000))
+    assert len(spark.read.parquet(f"{path}/in").inputFiles()) == 2 * spark.sparkContext.defaultParallelism
