@@ -312,3 +312,27 @@ def test_arriving_parts_are_many_files(spark):
     stream, path = _arrive(Tables(spark, ""), spark.range(1000), "id < 700", "id >= 700")
     assert stream.isStreaming and sorted(r.id for r in spark.read.parquet(f"{path}/in").collect()) == list(range(1000))
     assert len(spark.read.parquet(f"{path}/in").inputFiles()) == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_features_of_judged_items_travel_as_one_row(spark):
+    """What is kept by user and feature is shuffled by user alone, an item's features in one row; users without weights
+    have no contributions and know nothing, items without content features no signals."""
+    features = spark.createDataFrame(
+        [(1, "__bias__", 1.0, 0), (1, "w:a", 1.0, 1), (1, "w:b", 0.5, 2), (1, "t:x", 0.3, 3), (2, "__bias__", 1.0, 0), (2, "w:b", 1.0, 1)],
+        "story_id long, feature string, value double, pos long",
+    )
+    examples = spark.createDataFrame([(1, 1, 1, 0), (1, 2, 0, 1), (2, 2, 1, 0)], "user_id long, story_id long, label int, ord int")
+    seen = model.vocabulary(examples, features)
+    assert rows(seen, "user_id", "feature", "support", "idx") == [
+        (1, "__bias__", 2, 0), (1, "t:x", 1, 3), (1, "w:a", 1, 1), (1, "w:b", 2, 2), (2, "__bias__", 1, 0), (2, "w:b", 1, 1),
+    ]
+    weights = spark.createDataFrame([(1, "w:b", -0.5, 2, 0), (1, "w:a", 0.25, 1, 1), (3, "w:a", 1.0, 1, 0)], "user_id long, feature string, weight double, support long, idx int")
+    moved = score.contributions(examples, features, weights)
+    # equal effects stand in the order of places
+    assert rows(moved, "user_id", "story_id", "rank", "feature", "effect", "support") == [
+        (1, 1, 1, "w:a", 0.25, 1), (1, 1, 2, "w:b", -0.25, 2), (1, 2, 1, "w:b", -0.5, 2),
+    ]
+    fresh = votes.new_signals(examples, features, weights.where("feature = 'w:b'"))
+    assert rows(fresh, "user_id", "story_id", "total", "labels") == [(1, 1, 1, "a"), (2, 2, 1, "b")]
+    for made in (seen, moved, fresh):
+        assert "feature#" not in "".join(x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x)
