@@ -336,3 +336,28 @@ def test_features_of_judged_items_travel_as_one_row(spark):
     assert rows(fresh, "user_id", "story_id", "total", "labels") == [(1, 1, 1, "a"), (2, 2, 1, "b")]
     for made in (seen, moved, fresh):
         assert "feature#" not in "".join(x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_decks_and_feeds_come_from_heads_of_blocks(spark):
+    """The heads of blocks hold every row that a deck or a feed takes of the whole grid, and few others."""
+    from palate.operators import feed
+
+    n, users = 400, 3
+    items = spark.range(1, n + 1).selectExpr(
+        "id story_id", "concat('t', id) title", "cast(null as string) url", "cast(null as string) domain", "'a' author",
+        "id % 90 points", "id * 7 % 50 num_comments", "id * 11 created_at", "'2024-01-01' day", "0L fetched_at",
+    )
+    features = items.selectExpr("story_id", "inline(array(struct('__bias__' feature, 1.0D value, 0L pos), struct(concat('w:', story_id % 37) feature, 1.0D value, 1L pos)))")
+    weights = spark.range(users * 37).selectExpr("id % 3 + 1 user_id", "concat('w:', id div 3) feature", "(id * 13 % 29 - 14) / 10.0D weight", "2L support")
+    weights = weights.where("feature not like '%5'")
+    runs = spark.range(1, users + 1).selectExpr("id user_id", "2 rev", "40L n_votes", "20L n_pos", "20L n_neg", "0L trained_at")
+    votes_ = spark.range(60).selectExpr("id % 3 + 1 user_id", "id * 5 + 1 story_id", "cast(id % 3 - 1 as int) value", "0L created_at", "0L updated_at")
+    grid = score.rescore_all(features, weights, runs).localCheckpoint()
+    cut = score.deck_scores(features, weights, runs, votes_, 24, 1, decks.CONFIDENT, decks.NEAR).localCheckpoint()
+    assert cut.count() < grid.count() // 3
+    card = ("user_id", "story_id", "reason", "pos")
+    want = decks.training_queue(items, grid, votes_, runs, 6, 1, 0)
+    assert rows(decks.training_queue(items, cut, votes_, runs, 6, 1, 0, unjudged_scores=True), *card) == rows(want, *card)
+    place = ("user_id", "pos", "story_id", "total", "score")
+    for o in (feed.FeedOptions(mode="hybrid", limit=9), feed.FeedOptions(mode="new", limit=9, offset=3), feed.FeedOptions(min_score=0.4, max_score=0.6, limit=9)):
+        assert rows(feed.feed_from_models(items, features, weights, runs, votes_, o, 0), *place) == rows(feed.feed(items, grid, votes_, o, 0), *place)
