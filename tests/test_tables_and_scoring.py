@@ -361,3 +361,20 @@ def test_decks_and_feeds_come_from_heads_of_blocks(spark):
     place = ("user_id", "pos", "story_id", "total", "score")
     for o in (feed.FeedOptions(mode="hybrid", limit=9), feed.FeedOptions(mode="new", limit=9, offset=3), feed.FeedOptions(min_score=0.4, max_score=0.6, limit=9)):
         assert rows(feed.feed_from_models(items, features, weights, runs, votes_, o, 0), *place) == rows(feed.feed(items, grid, votes_, o, 0), *place)
+
+
+def test_blocks_are_few_and_bounded(spark, monkeypatch):
+    """What blocks repeat is bounded by their number; a side of a block with many entries is not doubled. A name has the same
+    number on both sides, wherever it stands in its list."""
+    codes = F.array(F.lit(1).cast("long")).alias("codes")
+    stories = spark.range(13).select((F.col("id") * score.STORIES + 1).alias("id"), codes)
+    users = spark.range(36).select((F.col("id") * score.USERS + 1).alias("id"), codes)
+    tall, wide = score._cut(stories, users)
+    assert -(-13 * score.STORIES // tall) * -(-36 * score.USERS // wide) <= 64
+    monkeypatch.setattr(score, "ENTRIES", 1)
+    assert score._cut(stories, users) == (score.STORIES, score.USERS)
+    f = spark.createDataFrame([(1, "w:a", 1.0), (1, "w:b", 1.0), (1, "w:c", 1.0)], "story_id long, feature string, value double")
+    w = spark.createDataFrame([(1, "w:c", 0.5)], "user_id long, feature string, weight double")
+    runs = spark.createDataFrame([(1, 2, 40, 20, 20)], "user_id long, rev int, n_votes long, n_pos long, n_neg long")
+    left, right = (df.first().codes for df in score._packed(f, w, runs))
+    assert len(set(left)) == 3 and set(right) < set(left)
