@@ -378,3 +378,15 @@ def test_blocks_are_few_and_bounded(spark, monkeypatch):
     runs = spark.createDataFrame([(1, 2, 40, 20, 20)], "user_id long, rev int, n_votes long, n_pos long, n_neg long")
     left, right = (df.first().codes for df in score._packed(f, w, runs))
     assert len(set(left)) == 3 and set(right) < set(left)
+
+
+def test_featurize_deals_by_size(spark, monkeypatch):
+    """Partitions follow the letters of the titles; an item that stands twice still sums to one."""
+    from palate.operators import features
+
+    monkeypatch.setattr(features, "LETTERS", 20)
+    items = [(i % 30, f"rust parser number {i % 30}", None, "x.org", "ann") for i in range(31)]
+    out = featurize(spark.createDataFrame(items, "story_id long, title string, url string, domain string, author string"))
+    assert out.rdd.getNumPartitions() >= 25
+    got = {(r.story_id, r.feature): r.value for r in out.collect()}
+    assert got[(0, "w:rust")] == 2.0 and got[(1, "w:rust")] == 1.0
