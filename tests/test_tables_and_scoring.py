@@ -390,3 +390,15 @@ def test_featurize_deals_by_size(spark, monkeypatch):
     assert out.rdd.getNumPartitions() >= 25
     got = {(r.story_id, r.feature): r.value for r in out.collect()}
     assert got[(0, "w:rust")] == 2.0 and got[(1, "w:rust")] == 1.0
+
+
+def test_folding_makes_its_text_once(spark):
+    """However dear the text is, it stands once in the plan; runs of ASCII beside other characters fold as they do alone."""
+    df = spark.createDataFrame([("It's A–B “Café”\nx_y 𝒵1 foods",), (None,)], "t string")
+    out = df.select(text.fold_text(F.regexp_replace("t", "foods", "FOODS")).alias("f"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(t#") == 1
+    assert [r.f for r in out.collect()] == ["its a b  cafe \nx y  1 foods", None]
+    words = ["sing", "going", "users", "glasses", "cats", "rated", "a.b-c", "plain"]
+    some = spark.createDataFrame([(w,) for w in words], "w string").select(text.stem(F.col("w")).alias("s"))
+    assert [r.s for r in some.collect()] == ["sing", "going", "user", "glass", "cats", "rated", "a.b-c", "plain"]
