@@ -363,6 +363,35 @@ def test_decks_and_feeds_come_from_heads_of_blocks(spark):
         assert rows(feed.feed_from_models(items, features, weights, runs, votes_, o, 0), *place) == rows(feed.feed(items, grid, votes_, o, 0), *place)
 
 
+def test_grids_are_never_folded(spark, tmp_path, monkeypatch):
+    """Writes of all pairs of some users and items hold over what is older, merged or not, without a fold; plain writes before
+    and after them stay what they were."""
+    from palate.sources import merge_table
+
+    monkeypatch.setattr(merge_table, "FAN", 3)
+    keys, r, calls = ["user_id", "story_id"], random.Random(11), []
+    fold = newest(keys, "model_rev")
+    table = MergeTable(spark, str(tmp_path / "t"), keys, lambda rows: calls.append(1) or fold(rows))
+    held, crowds = {}, ([1, 2, 3], [2, 4], [1, 2, 3])
+    side = lambda ids, key: spark.createDataFrame([(i,) for i in ids], f"{key} long")
+    for number in range(9):
+        users, items = crowds[number % 3], r.sample(range(8), 3)
+        new = [(u, i, number / 10, number) for u in users for i in items]
+        assert table.write(scores(spark, new), "job", number, (side(users, "user_id"), side(items, "story_id")))
+        assert not table.write(scores(spark, new), "job", number, (side(users, "user_id"), side(items, "story_id")))
+        held |= {x[:2]: x[2] for x in new}
+        if number in (4, 8):
+            assert {(x.user_id, x.story_id): x.score for x in table.read().collect()} == held and table.read().count() == len(held)
+    assert not calls and len(table.runs()) < 9
+    plain = [(1, 1, 0.95, 1), (9, 9, 0.9, 1)]
+    table.write(scores(spark, plain), "other", 0)
+    held |= {x[:2]: x[2] for x in plain}
+    assert calls and {(x.user_id, x.story_id): x.score for x in table.read().collect()} == held
+    table.write(scores(spark, [(1, 1, 0.5, 1)]), "job", 9, (side([1], "user_id"), side([1], "story_id")))
+    held[1, 1] = 0.5
+    assert {(x.user_id, x.story_id): x.score for x in table.read().collect()} == held and table.read().count() == len(held)
+
+
 def test_blocks_are_few_and_bounded(spark, monkeypatch):
     """What blocks repeat is bounded by their number; a side of a block with many entries is not doubled. A name has the same
     number on both sides, wherever it stands in its list."""
