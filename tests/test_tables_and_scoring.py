@@ -392,6 +392,25 @@ def test_grids_are_never_folded(spark, tmp_path, monkeypatch):
     assert {(x.user_id, x.story_id): x.score for x in table.read().collect()} == held and table.read().count() == len(held)
 
 
+def test_votes_are_dealt_by_number(spark, monkeypatch):
+    """Partitions of folded and of imported votes follow their number; importing again converges."""
+    from palate.sources import storage
+
+    monkeypatch.setattr(storage, "ROWS", 10)
+    events = spark.createDataFrame([(i % 7, i % 40 + 1, i % 3 - 1, 100 + i, i) for i in range(300)], "user_id long, story_id long, value int, ts long, event_id long")
+    folded = votes.fold_votes(events)
+    assert folded.rdd.getNumPartitions() >= 30 and folded.count() == 280
+    lines = [(1, 2, 1, 50, 1), (1, 2, -1, 40, 2), (1, 2, 9, 60, 3), (99, 5, 0, 7, 4)]
+    batch = spark.createDataFrame(lines, "user_id long, story_id long, value int, created_at long, seq long")
+    got, bad = ingest.import_votes(folded, batch)
+    again = ingest.import_votes(got, batch)[0]
+    columns = ("user_id", "story_id", "value", "created_at", "updated_at")
+    assert got.rdd.getNumPartitions() >= 28 and got.columns == list(columns)
+    want = {r[:2]: r for r in rows(folded, *columns)} | {(1, 2): (1, 2, -1, 40, 40), (99, 5): (99, 5, 0, 7, 7)}
+    assert rows(got, *columns) == sorted(want.values()) == rows(again, *columns)
+    assert rows(bad, "seq") == [(3,)]
+
+
 def test_blocks_are_few_and_bounded(spark, monkeypatch):
     """What blocks repeat is bounded by their number; a side of a block with many entries is not doubled. A name has the same
     number on both sides, wherever it stands in its list."""
