@@ -12,6 +12,7 @@ from palate.functions import scalars, text
 from palate.operators import decks, model, rounds, votes
 from palate.operators.features import featurize
 from palate.operators.score import rescore_all
+from palate.plans.fixtures import Tables
 from palate.sources import ingest
 from palate.streaming import jobs
 
@@ -122,6 +123,23 @@ def test_training_follows_the_rule(spark):
     assert models >= 8 and not any(user == 4 for user, _ in got)
 
 
+def test_a_fit_learns_with_one_example_far_off(spark, monkeypatch):
+    """A user's sums as the rule left them over 256,410 documents: 54 of 55 are right, and one, a word 126 times, is so far
+    off that its logarithmic loss alone exceeds that of no model."""
+    z = [(1, i, 1, 5.0) for i in range(22)] + [(1, i, 0, -5.0) for i in range(22, 54)] + [(1, 54, 0, 68.45)]
+    assert sum(math.log1p(math.exp(x)) for _, _, y, x in z if not y) / 33 > 2 * math.log(2)
+    z += [(2, i, i % 2, 0.0) for i in range(20)]  # no model
+    z += [(3, i, i % 2, 9.0 if i < 10 else -9.0) for i in range(20)]  # sure, and right by chance
+    z = spark.createDataFrame(z, "user_id long, story_id long, label int, z double")
+    assert rows(model.learns(z), "user_id", "learns") == [(1, True), (2, False), (3, False)]
+    monkeypatch.setattr("palate.operators.score.sums_by_user", lambda *_: z.where("user_id = 1"))
+    e = spark.createDataFrame([(1, i, i, i % 2) for i in range(8)], "user_id long, story_id long, ord int, label int")
+    f = spark.createDataFrame([(i, "__bias__", 1.0, 0) for i in range(8)], "story_id long, feature string, value double, pos int")
+    monkeypatch.setattr(Tables, "examples", lambda self: e)
+    monkeypatch.setattr(Tables, "features", lambda self: f)
+    assert rows(registry.queries()["e3_fit_checks"](spark, SF), "n_features", "support", "numbered", "learns") == [(1, 8, True, True)]
+
+
 def test_streams_accumulate(spark, tmp_path):
     """Scores of earlier batches stay, items are scored as merged, and a round expires without a new row of its user."""
     at = str(tmp_path)
