@@ -467,3 +467,61 @@ def test_rounds_expire_without_a_call_per_user(spark, tmp_path):
     out.writeStream.outputMode("append").option("checkpointLocation", f"{at}/cp").format("parquet").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
     want = [(1, 1, 1100), (1, 2, 1200), (2, 2, 1199), (3, 2, 1100), (4, 1, 9100)]
     assert rows(spark.read.parquet(f"{at}/out"), "user_id", "seq", "expired_at") == want
+
+
+def _made_grid(spark, n=60, users=7):
+    """Items, features, weights, runs and votes of a small grid."""
+    items = spark.range(1, n + 1).selectExpr(
+        "id story_id", "concat('t', id) title", "cast(null as string) url", "cast(null as string) domain", "'a' author",
+        "id % 9 points", "id * 7 % 50 num_comments", "id * 11 created_at", "'2024-01-01' day", "0L fetched_at",
+    )
+    features = items.selectExpr("story_id", "inline(array(struct('__bias__' feature, 1.0D value, 0L pos), struct(concat('w:', story_id % 11) feature, 1.0D value, 1L pos)))")
+    weights = spark.range(users * 11).selectExpr(f"id % {users} + 1 user_id", f"concat('w:', id div {users}) feature", "(id * 13 % 29 - 14) / 10.0D weight", "2L support")
+    runs = spark.range(1, users + 1).selectExpr("id user_id", "2 rev", "40L n_votes", "20L n_pos", "20L n_neg", "0L trained_at")
+    votes_ = spark.range(40).selectExpr(f"id % {users} + 1 user_id", "id * 3 % 60 + 1 story_id", "cast(id % 3 - 1 as int) value", "0L created_at", "0L updated_at")
+    return items, features, weights, runs, votes_
+
+
+def test_the_grid_is_made_without_a_shuffle(spark, monkeypatch):
+    """Stored tiles are crossed partition by partition: what is after them has no exchange, and what they give is the same in
+    tiles and slices of any size, with judged pairs left out, counted in bins or cut to the heads."""
+    from palate.operators import reports
+
+    items, features, weights, runs, votes_ = _made_grid(spark)
+    grid = score.rescore_all(features, weights, runs)
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    want = {(x.user_id, x.story_id): x.score for x in grid.collect()}
+    assert len(want) == 60 * 7
+    for name, size in (("STORIES", 8), ("USERS", 2), ("EXAMPLES", 100), ("TILE", 30)):
+        monkeypatch.setattr(score, name, size)
+    judged = {(x.user_id, x.story_id) for x in votes_.collect()}
+    got = {(x.user_id, x.story_id): x.score for x in score.rescore_all(features, weights, runs, votes_).collect()}
+    assert got == {k: x for k, x in want.items() if k not in judged}
+    tiles = score.pack_users(weights, runs)
+    assert tiles.count() > 3 and sorted(tiles.selectExpr("explode(u_id) id").toPandas()["id"]) == list(range(1, 8))
+    parts = score.binned_scores(features, weights, runs, votes_, 20).groupBy("user_id", "bin").agg(F.sum("n").alias("n"))
+    assert rows(reports.every_bin(parts, runs), "user_id", "bin", "n") == rows(reports.score_distribution(grid, votes_, runs), "user_id", "bin", "n")
+    cut = score.deck_scores(features, weights, runs, votes_, 12, 1, decks.CONFIDENT, decks.NEAR).localCheckpoint()
+    card = ("user_id", "story_id", "reason", "pos")
+    assert rows(decks.training_queue(items, cut, votes_, runs, 3, 1, 0, unjudged_scores=True), *card) == rows(decks.training_queue(items, grid, votes_, runs, 3, 1, 0), *card)
+
+
+def test_feeds_with_judged_items_come_from_models(spark):
+    """Orders that need no score rank once for all users, judged items or not, and only the page is scored."""
+    from palate.operators import feed
+
+    items, features, weights, runs, votes_ = _made_grid(spark)
+    grid = score.rescore_all(features, weights, runs).localCheckpoint()
+    place = ("user_id", "pos", "story_id", "total", "score")
+    for o in (feed.FeedOptions(mode="top", limit=9, include_voted=True), feed.FeedOptions(limit=9, offset=2, include_voted=True, min_score=0.4)):
+        assert rows(feed.feed_from_models(items, features, weights, runs, votes_, o, 0), *place) == rows(feed.feed(items, grid, votes_, o, 0), *place)
+
+
+def test_names_of_one_number_are_told_apart(spark, monkeypatch):
+    """Two names with one code are two names: a second number tells, within a tile and across."""
+    items, features, weights, runs, _ = _made_grid(spark)
+    key = lambda df: {(x.user_id, x.story_id): (x.score, x.confidence) for x in df.collect()}
+    want = key(score.rescore_all(features, weights, runs))
+    monkeypatch.setattr(score, "_code", lambda name, seed=0: F.when(name.startswith("w:"), F.lit(3) + 2 * (F.length(name) % 2)).otherwise(2).cast("long"))
+    assert key(score.rescore_all(features, weights, runs)) == want
