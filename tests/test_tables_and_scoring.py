@@ -525,3 +525,15 @@ def test_names_of_one_number_are_told_apart(spark, monkeypatch):
     want = key(score.rescore_all(features, weights, runs))
     monkeypatch.setattr(score, "_code", lambda name, seed=0: F.when(name.startswith("w:"), F.lit(3) + 2 * (F.length(name) % 2)).otherwise(2).cast("long"))
     assert key(score.rescore_all(features, weights, runs)) == want
+
+
+def test_missing_scores_are_made_without_a_shuffle(spark, monkeypatch):
+    """Gaps go with their users' tiles: what is after the tiles has no exchange, and gives what lacks and nothing else."""
+    items, features, weights, runs, _ = _made_grid(spark)
+    for name, size in (("STORIES", 8), ("USERS", 2)):
+        monkeypatch.setattr(score, name, size)
+    grid = score.rescore_all(features, weights, runs).localCheckpoint()
+    out = score.score_missing(items, features, grid.where("story_id % 4 <> 0 or user_id = 3"), weights, runs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert rows(out, "user_id", "story_id", "score") == rows(grid.where("story_id % 4 = 0 and user_id <> 3"), "user_id", "story_id", "score")
